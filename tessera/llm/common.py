@@ -76,11 +76,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of an odd number, modulo 2^64."""
-    p = np.full(max(n, 1), _M1, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+_R = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64; those of batches of a usual size are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    size = max(n, 1 << 20)
+    made = []
+    for r in (_R, pow(_R, -1, 1 << 64)):
+        p = np.full(size, r, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if size <= 5 << 20:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,16 +115,11 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     before = np.searchsorted(start, at)
     if not len(start):
         return np.zeros(0, np.uint64), start, end, before
-    # the sum of byte times power of its place in the word, by prefix sums modulo 2^64
-    place = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))[: n - start[0]] if start[0] == 0 else None
-    if place is None:
-        place = np.zeros(n, np.int64)
-        place[start[0] :] = np.arange(start[0], n) - np.repeat(start, np.diff(np.append(start, n)))
-    place[~inside] = 0
-    value = (raw.astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place]
-    value[~inside] = 0
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-    return mix(total[end] - total[start] + (end - start).astype(np.uint64)), start, end, before
+    # the sum of byte times power of its place by prefix sums modulo 2^64, moved to the word's begin by the inverse power
+    up, down = powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * up, out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end, before
 
 
 def shingles(h: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +137,7 @@ def shingles(h: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray,
     return out, of
 
 
-def split_by_size(batches, column: str, limit: int = 8 << 20):
+def split_by_size(batches, column: str, limit: int = 4 << 20):
     """Record batches of about limit bytes of one string column at most, so that memory follows bytes, not rows."""
     for b in batches:
         if not b.num_rows:

@@ -14,120 +14,118 @@ K1, B = 1.2, 0.75
 SHARE = 0.5
 #: Words of the n-grams that are held against question and answer, and the least share of each that a document must have.
 GRAM, OVERLAP = 5, 0.5
-#: Postings in a block.
-BLOCK = 16
-#: Bytes of test items that one index may have; more items are split into indexes, read one after another.
-INDEX_BYTES = 8 << 20
+#: Items in a block, and in an index; more items are split into indexes, which bounds an index's table of blocks.
+BLOCK, INDEX_ITEMS = 8, 1024
+#: Bytes of test items that are sent to the executors at once; with more, documents are read again for each share.
+SENT_BYTES = 8 << 20
 
 
 class Index:
-    """An inverted index: for each term, items in order with their BM25 weights, in blocks with the largest weight of each."""
+    """An inverted index: for each term, items in order with their BM25 weights, and the largest weight in each block of items.
+
+    Weights are divided by what their item needs, so an item is retrieved at a sum of 1. Items that share their most
+    frequent term stand together, which keeps the blocks' largest weights close to the items'.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
+        h, _, _, before = words(*buffers(pa.array([t for _, t in items], pa.string())))
+        common = dict(zip(*np.unique(h, return_counts=True)))
+        most = [max(((common[w], w) for w in h[a:b]), default=(0, 0)) for a, b in zip(before, before[1:])]
+        order = sorted(range(len(items)), key=lambda i: (*most[i], items[i]))
+        items = [items[i] for i in order]
         self.ids = [i for i, _ in items]
-        joined = pa.array([t for _, t in items], pa.string())
-        h, _, _, before = words(*buffers(joined))
+        h, _, _, before = words(*buffers(pa.array([t for _, t in items], pa.string())))
         n = np.diff(before)
         self.length = int(n.max()) if len(n) else 0
         of = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((of, h))
         term, item = h[order], of[order]
-        new = np.append(True, (term[1:] != term[:-1]) | (item[1:] != item[:-1])) if len(term) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (item[1:] != item[:-1]))) if len(term) else np.zeros(0, int)
         tf = np.diff(np.append(first, len(term)))
         term, item = term[first], item[first]
         self.terms, start = np.unique(term, return_index=True)
-        self.start = np.append(start, len(term))
+        self.start, self.item = np.append(start, len(term)), item
         df = np.diff(self.start)
         idf = np.log(1 + (len(n) - df + 0.5) / (df + 0.5))
-        self.item = item
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(1.0, n.mean()))) if len(term) else np.zeros(0)
-        self.most = np.maximum.reduceat(self.weight, start) if len(term) else np.zeros(0)
-        self.blocks = [[(int(self.item[min(i + BLOCK, e) - 1]), float(self.weight[i : min(i + BLOCK, e)].max())) for i in range(s, e, BLOCK)] for s, e in zip(self.start, self.start[1:])]
-        own = np.bincount(self.item, self.weight, minlength=len(n)) if len(term) else np.zeros(len(n))
-        self.need = np.where(own > 0, SHARE * own, np.inf)
-        self.least = float(self.need.min()) if len(n) else np.inf
-        # n-grams of question (the first half of the words) and answer, sorted, with their items
-        self.parts = []
+        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(1.0, n.mean()))) if len(term) else np.zeros(0)
+        self.own = np.bincount(item, weight, minlength=len(n)) if len(term) else np.zeros(len(n))
+        self.weight = weight / np.maximum(SHARE * self.own[item], 1e-9)
+        self.block = np.zeros((len(self.terms), -(-len(n) // BLOCK)), np.float32)
+        np.maximum.at(self.block, (np.repeat(np.arange(len(df)), df), item // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(9)))
+        self.postings = []
+        where = np.repeat(np.arange(len(df)), df)
+        for b in range(self.block.shape[1]):
+            mine = item // BLOCK == b
+            own, row = np.unique(where[mine], return_inverse=True)
+            dense = np.zeros((len(own), BLOCK))
+            dense[row, item[mine] - b * BLOCK] = self.weight[mine]
+            self.postings.append((own, dense))
+        # n-grams of question (the first half of the words) and answer, with their items; a half of fewer words is one window
+        self.parts, self.sizes = [], {GRAM}
         for cut in (0, 1):
             half = [(h[a : a + (b - a + 1) // 2] if cut == 0 else h[a + (b - a + 1) // 2 : b]) for a, b in zip(before, before[1:])]
-            size = np.append(0, np.cumsum([len(x) for x in half]))
-            g, gi = shingles(np.concatenate(half) if half else h, size, GRAM)
-            self.parts.append((g, gi, np.bincount(gi, minlength=len(n))))
-        self.grams = np.unique(np.concatenate([g for g, _, _ in self.parts]))
-        # shorter halves are one window of all their words, whose size must be looked for
-        self.sizes = sorted({GRAM} | {len(x) for a, b in zip(before, before[1:]) for x in (h[a : a + (b - a + 1) // 2], h[a + (b - a + 1) // 2 : b]) if 0 < len(x) < GRAM})
-
-    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items whose score for the distinct terms of a passage reaches their need, by block-max WAND.
-
-        Cursors stand in order of their items. The pivot is where the sums of the terms' largest weights reach the least need;
-        if the weights of the blocks there don't, all cursors before it go to the next block's begin, else the item is scored.
-        """
-        start, item, weight = self.start, self.item, self.weight
-        live = [[int(start[t]), int(start[t + 1]), int(t)] for t in terms]
-        out = []
-        while live:
-            live.sort(key=lambda c: item[c[0]])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(live):
-                bound += self.most[c[2]]
-                if bound >= self.least:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            at = item[live[pivot][0]]
-            while pivot + 1 < len(live) and item[live[pivot + 1][0]] == at:
-                pivot += 1
-            bound, until = 0.0, len(self.ids)
-            for c in live[: pivot + 1]:
-                for last, most in self.blocks[c[2]][(c[0] - start[c[2]]) // BLOCK :]:
-                    if last >= at:
-                        bound += most
-                        until = min(until, last + 1)
-                        break
-            if bound < self.least:
-                goal = max(until, at + 1)
-                if pivot + 1 < len(live):
-                    goal = min(goal, max(at + 1, int(item[live[pivot + 1][0]])))
-            else:
-                goal = at + 1
-                score = 0.0
-                for c in live[: pivot + 1]:
-                    c[0] += int(np.searchsorted(item[c[0] : c[1]], at))
-                    if c[0] < c[1] and item[c[0]] == at:
-                        score += weight[c[0]]
-                if score >= self.need[at]:
-                    out.append((int(at), score))
-            for c in live[: pivot + 1]:
-                c[0] += int(np.searchsorted(item[c[0] : c[1]], goal))
-            live = [c for c in live if c[0] < c[1]]
-        return out
+            self.sizes |= {len(x) for x in half if 0 < len(x) < GRAM}
+            self.parts.append(shingles(np.concatenate(half) if half else h, np.append(0, np.cumsum([len(x) for x in half])).astype(int), GRAM))
 
     def passages(self, h: np.ndarray, before: np.ndarray):
-        """(text, first word, words) of passages that could reach a need: windows of twice the longest item's words, half of
-        each shared with the next, so that an item lies whole in one. What could reach is bounded from above by the
-        weights of all index terms in a window, by prefix sums."""
-        at = np.minimum(np.searchsorted(self.terms, h), max(0, len(self.terms) - 1))
-        hit = self.terms[at] == h if len(self.terms) else np.zeros(len(h), bool)
-        total = np.append(0, np.cumsum(np.where(hit, self.most[at] if len(self.terms) else 0.0, 0)))
+        """Every passage as a query: (text, first word, last word, item, score) of all items at 1 or over.
+
+        Passages are windows of twice the longest item's words that share half with the next, so that an item lies whole in
+        one. Two levels of WAND: a passage goes on to a block of items only if the blocks' largest weights of its distinct
+        terms add up to 1; there, cursors of the terms' postings skip to the block, and its items are scored.
+        """
+        if not len(self.terms) or not len(h):
+            return
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        hit = self.terms[at] == h
         n = np.diff(before)
         step = max(1, self.length)
         count = np.where(n > 0, np.maximum(1, -(-n // step) - 1), 0)
         of = np.repeat(np.arange(len(n)), count)
         first = before[of] + step * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
-        last = np.minimum(first + 2 * step, before[of + 1]) if len(of) else first
-        for i in np.flatnonzero(total[last] - total[first] >= self.least):
-            t = np.unique(at[first[i] : last[i]][hit[first[i] : last[i]]])
-            if self.most[t].sum() >= self.least:
-                yield int(of[i]), int(first[i]), int(last[i]), t
+        last = np.minimum(first + 2 * step, before[of + 1])
+        places = np.flatnonzero(hit)
+        lo, hi = np.searchsorted(places, first), np.searchsorted(places, last)
+        wide = len(self.terms)
+        for a in range(0, len(of), 2048):
+            z = min(a + 2048, len(of))
+            many = hi[a:z] - lo[a:z]
+            if not many.sum():
+                continue
+            window = np.repeat(np.arange(z - a), many)
+            k = np.repeat(lo[a:z], many) + np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
+            pair = np.unique(window * wide + at[places[k]])
+            window, term = pair // wide, pair % wide
+            begin = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+            bound = np.add.reduceat(self.block[term], begin, axis=0)
+            end = np.append(begin[1:], len(term))
+            for b in np.flatnonzero((bound >= 1 - 1e-5).any(axis=0)):
+                ws = np.flatnonzero(bound[:, b] >= 1 - 1e-5)
+                size = end[ws] - begin[ws]
+                k = np.repeat(begin[ws], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                for w, item, score in self.scores(term[k], np.repeat(np.arange(len(ws)), size), int(b)):
+                    i = a + int(window[begin[ws[w]]])
+                    yield int(of[i]), int(first[i]), int(last[i]), item, score
+
+    def scores(self, terms: np.ndarray, window: np.ndarray, block: int):
+        """(window, item, score) of the items of a block that reach 1, from the distinct terms of some windows: the postings'
+        cursors go to the block, so terms without one there cost a search only."""
+        own, weight = self.postings[block]
+        at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
+        there = own[at] == terms
+        at, window = at[there], window[there]
+        if not len(at):
+            return
+        begin = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+        total = np.add.reduceat(weight[at], begin, axis=0)
+        for w, k in zip(*np.nonzero(total >= 1)):
+            yield int(window[begin[w]]), block * BLOCK + int(k), float(total[w, k])
 
     def verified(self, h: np.ndarray, item: int) -> tuple[float, float]:
         """The shares of question's and answer's n-grams that a passage has; a half without words counts as there."""
         seen = np.unique(np.concatenate([self._windows(h, k) for k in self.sizes]))
         out = []
-        for g, gi, n in self.parts:
+        for g, gi in self.parts:
             mine = g[gi == item]
             out.append(float(np.isin(mine, seen).mean()) if len(mine) else 1.0)
         return out[0], out[1]
@@ -146,38 +144,38 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question and answer of each document and test item that it holds: the best passage's BM25 score
     and the shares of the item's n-grams in it. Documents without a hit have no row.
 
-    The items' size is read first; they are cut into indexes of INDEX_BYTES of text at most, each sent to the
-    executors and read against all documents, so what is sent at once is bounded, however many items there are.
+    The items' size is read first; shares of SENT_BYTES of text at most are sent to the executors, each read against all
+    documents, so what is sent at once is bounded, however many items there are.
     Every passage of every whole text is a query. Null and empty texts or items match nothing; equal items are found
     each; documents that repeat are found each; empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = pick(items, "item_id", "text").select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = max(1, -(-size // INDEX_BYTES))
-    shared = docs
+    parts = max(1, -(-size // SENT_BYTES))
     out = None
     for p in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        got = _against(shared, spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in own.orderBy("item_id", "text").toLocalIterator()])))
-        out = got if out is None else out.union(got)
+        got = [(r[0], r[1]) for r in own.orderBy("item_id", "text").toLocalIterator()]
+        sent = spark.sparkContext.broadcast([Index(got[i : i + INDEX_ITEMS]) for i in range(0, len(got), INDEX_ITEMS)])
+        found = _against(docs, sent)
+        out = found if out is None else out.union(found)
     return out
 
 
-def _against(docs: DataFrame, index) -> DataFrame:
+def _against(docs: DataFrame, sent) -> DataFrame:
     def run(batches):
-        x = index.value
         for b in split_by_size(batches, "text"):
             h, _, _, before = words(*buffers(b.column(1)))
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            if len(x.ids) and len(h):
-                for text, a, e, terms in x.passages(h, before):
-                    for item, score in x.search(terms):
-                        q, w = x.verified(h[a:e], item)
-                        if q >= OVERLAP and w >= OVERLAP:
-                            found[text, item] = max(found.get((text, item), (0.0, 0.0, 0.0)), (score, q, w))
+            for x in sent.value:
+                for text, a, e, item, score in x.passages(h, before):
+                    q, w = x.verified(h[a:e], item)
+                    if q >= OVERLAP and w >= OVERLAP:
+                        key = (text, x.ids[item])
+                        found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (score * SHARE * float(x.own[item]), q, w))
             ids = b.column(0).to_pylist()
-            rows = [(ids[t], x.ids[i], *v) for (t, i), v in sorted(found.items())]
+            rows = [(ids[t], i, *v) for (t, i), v in sorted(found.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0))]
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, types)], names=["doc_id", "item_id", "score", "question", "answer"])
 
