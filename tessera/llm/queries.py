@@ -6,10 +6,11 @@ from tessera.llm.chat import op4_chat_format
 from tessera.llm.decontamination import op3_decontamination
 from tessera.llm.neardup import op7_near_duplicates
 from tessera.llm.packing import op2_packing
+from tessera.llm.pii import op10_pii
 from tessera.llm.quality import op5_quality_rules
 from tessera.llm.secrets import op9_secret_scan
 from tessera.llm.sharding import op6_sharding
 from tessera.llm.tokens import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op4_chat_format, op5_quality_rules, op6_sharding, op7_near_duplicates, op8_token_counts, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op4_chat_format, op5_quality_rules, op6_sharding, op7_near_duplicates, op8_token_counts, op9_secret_scan, op10_pii)}
 ORACLES: dict[str, str] = {}
