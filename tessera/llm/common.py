@@ -143,7 +143,7 @@ def split_by_size(batches, column: str, limit: int = 4 << 20):
         if not b.num_rows:
             continue
         c = b.column(b.schema.get_field_index(column))
-        size = np.cumsum(np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)) if pa.types.is_string(c.type) else np.diff(np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]))
+        size = np.cumsum(np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)) if pa.types.is_string(c.type) or pa.types.is_binary(c.type) else np.diff(np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]))
         i = 0
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, "right")))

@@ -10,7 +10,8 @@ from tessera.llm.pii import op10_pii
 from tessera.llm.quality import op5_quality_rules
 from tessera.llm.secrets import op9_secret_scan
 from tessera.llm.sharding import op6_sharding
+from tessera.llm.suffix import op1_suffix_dedup
 from tessera.llm.tokens import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op4_chat_format, op5_quality_rules, op6_sharding, op7_near_duplicates, op8_token_counts, op9_secret_scan, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_decontamination, op4_chat_format, op5_quality_rules, op6_sharding, op7_near_duplicates, op8_token_counts, op9_secret_scan, op10_pii)}
 ORACLES: dict[str, str] = {}
