@@ -16,7 +16,7 @@ from tessera.llm.graph import components
 BANDS, ROWS = 22, 6
 #: Words of a shingle and least similarity.
 SIZE, LEAST = 5, 0.8
-#: A signature tells similarity within SURE at over three standard deviations; nearer to LEAST, texts are compared.
+#: A signature tells similarity within SURE at over three standard deviations; nearer to LEAST, shingles are compared.
 SURE = 0.1
 _SIGN = "doc_id long, ch1 long, ch2 long, bands array<long>, sig binary"
 
@@ -50,7 +50,7 @@ def signatures(cells: np.ndarray, of: np.ndarray, n: int, k: int) -> np.ndarray:
         c, o, time, turn = cells[live], of[live], np.zeros(int(live.sum()), np.float32), 0
         while len(c):
             turn += 1
-            dart = mix(c + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15))
+            dart = mix(c + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64))
             time = time - np.log((((dart >> np.uint64(40)).astype(np.float32)) + 0.5) * np.float32(2.0**-24))
             keep = time < limit[o]
             c, o, time, dart = c[keep], o[keep], time[keep], mix(dart[keep])
@@ -106,44 +106,86 @@ def estimated(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, est double")
 
 
-def similarity(x: str, y: str) -> float:
-    """Weighted Jaccard similarity of the multisets of shingles of two texts; 0 if either has no word."""
-    out = []
-    for t in (x, y):
-        raw = np.frombuffer(t.encode(), np.uint8)
-        h, _, _, before = words(raw, np.array([0, len(raw)]))
-        out.append(weighted(*shingles(h, before, SIZE))[0])
-    both = len(np.intersect1d(*out, assume_unique=True))
-    return both / max(1, len(out[0]) + len(out[1]) - both)
-
-
-def compared(pairs: DataFrame, docs: DataFrame, broadcast_ids: int = 200_000) -> DataFrame:
-    """Those pairs (a, b) whose texts are similar. Texts of the ids in pairs only are moved: ids go to the documents by
-    broadcast if they are broadcast_ids at most, which is counted first, else by a shuffled semi-join."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def cell_sets(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 200_000) -> DataFrame:
+    """(rep, cells): sorted 32-bit hashes of the unit cells of the documents that ids name. Only those texts are read again: ids go to
+    the documents by broadcast if they are broadcast_ids at most, which is counted first, else by a shuffled semi-join."""
+    ids = written(ids.toDF("doc_id"), "ids")
     ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    t = texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def run(batches):
-        for b in batches:
-            ok = [similarity(x, y) >= LEAST for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    both = pairs.join(t.toDF("a", "text_a"), "a").join(t.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+        for b in split_by_size(batches, "text", 2 << 20):
+            h, _, _, before = words(*buffers(b.column(1)))
+            cells, of, _ = weighted(*shingles(h, before, SIZE))
+            cut = np.searchsorted(of, np.arange(b.num_rows + 1))
+            small = (cells >> np.uint64(32)).astype(np.uint32)
+            yield pa.record_batch([b.column(0), pa.array([np.unique(small[i:j]).tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["rep", "cells"])
+
+    return texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "rep long, cells binary")
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity from two arrays of unit cells."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def forest(band: int, root: np.ndarray, block: np.ndarray, bands: np.ndarray, sig: np.ndarray, cells: list[bytes]) -> list[tuple[int, int]]:
+    """Links within a bucket that join different components: every pair of members of different components is looked at, nearest
+    first by signature, unless a link made before joins the two. A pair whose signatures leave it open is
+    decided by its cells. Pairs that share an earlier band are left to that bucket. With two blocks, pairs across them only."""
+    two = len(np.unique(block)) > 1
+    near: list[np.ndarray] = []
+    for x in range(len(root) - 1):
+        y = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
+        if two:
+            y = y[block[y] != block[x]]
+        if len(y) and band:
+            y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
+        if len(y):
+            est = (sig[y] == sig[x]).mean(axis=1)
+            ok = est >= LEAST - SURE
+            if ok.any():
+                near.append(np.column_stack([-est[ok], np.full(ok.sum(), x), y[ok]]))
+    if not near:
+        return []
+    pairs = np.concatenate(near)
+    up = {r: r for r in root.tolist()}
+
+    def top(r):
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    out, seen = [], {}
+    for est, x, y in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]:
+        x, y = int(x), int(y)
+        a, b = top(int(root[x])), top(int(root[y]))
+        if a == b:
+            continue
+        for z in (x, y):
+            if z not in seen:
+                seen[z] = np.frombuffer(cells[z], np.uint32)
+        if -est >= LEAST + SURE or similarity(seen[x], seen[y]) >= LEAST:
+            up[a] = b
+            out.append((x, y))
+    return out
+
+
+#: Members of a bucket that are looked at in one task; larger buckets are cut into blocks of which each two meet in a task.
+BLOCK = 1024
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), a row for
-    each row of docs. Documents are in one class if links of similarity 0.8 or more join them: weighted Jaccard of five-word shingles.
+    """doc_id, class_id (the least doc_id of the class), a row for each row of docs. Documents are in one class if links of
+    similarity 0.8 or more join them: weighted Jaccard of five-word shingles.
 
     1. Documents with the same multiset of shingles are one node, whatever their number. 2. Each bucket of a band links its
     members to two leaders, its least and greatest node, found by partial aggregation; links that signatures prove join
-    nodes to components. 3. Members of a bucket in different components are paired; pairs that
-    signatures neither prove nor rule out are compared by text. So a group of copies costs links in proportion to its
-    size, and no pair that could join two components is left out.
+    nodes to components. 3. In buckets with members of several components, members of different ones are held against
+    each other; what comes out is a forest, so never more links than members, and no pair that could join two components is left out.
+    So a group of copies costs links in proportion to its size.
 
-    Null and empty texts, or of spaces only, are classes of their own, as is a null doc_id. Rows with the same doc_id are one
+    Null and empty texts, or of spaces only, are classes of their own; a row without doc_id has the class of equal texts, if there are any, else none. Rows with the same doc_id are one
     document. Shorter texts than five words are one shingle. An empty table gives no rows. Other columns are ignored.
     """
     signed = written(sign(docs), "signed")
@@ -153,19 +195,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = buckets.groupBy("band", "h").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     members = written(buckets.join(leaders, ["band", "h"]), "buckets")  # buckets of two nodes at least
     star = members.select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    est = estimated(star, reps)
-    first = written(est.where(F.col("est") >= LEAST - SURE), "links")
-    sure = first.where(F.col("est") >= LEAST + SURE).select("a", "b")
+    sure = written(estimated(star, reps).where(F.col("est") >= LEAST + SURE).select("a", "b"), "links")
     roots = written(components(sure), "roots")
     # what the sure links leave apart, within each bucket
-    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).select("band", "h", "rep", "root")
-    mixed = placed.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "h")
-    placed = written(placed.join(mixed, ["band", "h"]), "mixed")
-    x, y = placed.toDF("band", "h", "a", "ra"), placed.toDF("band", "h", "b", "rb")
-    cross = x.join(y, ["band", "h"]).where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    est = written(estimated(cross, reps).where(F.col("est") >= LEAST - SURE), "cross")
-    links = est.where(F.col("est") >= LEAST + SURE).select("a", "b").union(sure).union(compared(est.where(F.col("est") < LEAST + SURE).select("a", "b"), docs))
-    roots = written(components(links, "classes"), "roots")
+    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "h", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = placed.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(mixed, ["band", "h"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    other = F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) as i, greatest(k, block) as j))"))
+    placed = written(placed.withColumn("ij", other).select("band", "h", "ij.i", "ij.j", "block", "rep", "root"), "mixed")
+    sets = cell_sets(docs, placed.select("rep").distinct())
+    held = placed.join(reps.select("rep", "bands", "sig").join(sets, "rep"), "rep")
+
+    def link(key, table):
+        order = np.argsort(table.column("rep").to_numpy())
+        rep, root, block = (table.column(n).to_numpy()[order] for n in ("rep", "root", "block"))
+        bands = np.array(table.column("bands").to_pylist(), np.int64)[order]
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(rep), -1)[order]
+        cells = table.column("cells").to_pylist()
+        got = forest(key[0].as_py(), root, block, bands, sig, [cells[i] for i in order])
+        return pa.table([pa.array([int(rep[x]) for x, _ in got], pa.int64()), pa.array([int(rep[y]) for _, y in got], pa.int64())], names=["a", "b"])
+
+    links = held.groupBy("band", "h", "i", "j").applyInArrow(link, "a long, b long")
+    roots = written(components(sure.union(links), "classes"), "roots")
     nodes = signed.join(reps.select("ch1", "ch2", "rep"), ["ch1", "ch2"], "left").select("doc_id", "rep")
     out = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"))
