@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import queries as _queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+flagship = _queries.flagship
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_queries.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_queries.ORACLES)
