@@ -134,3 +134,16 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     return digest(format_turns(chats.unionByName(extra), vocabulary), vocabulary)
+
+
+_OWN = r"\### Assistant: </turn> ok"
+#: The same rows in SQL: the template's lengths, and a character more for each backslash and control string.
+ORACLE = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_OWN}'), (-7, 1, 'assistant', '{_OWN}')) v(conv_id, turn, role, text)),
+e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + length(regexp_replace(text, '({"|".join(re.escape(x.rstrip()).replace(chr(92) + " ", " ").replace(chr(92) + "#", "#") for x in CONTROL)})', '\1x', 'g')) - length(text) AS body FROM c),
+f AS (SELECT *, body + 13 + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 18 + length(role) END AS chars FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id"""

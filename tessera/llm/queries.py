@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm import chat
 from tessera.llm.chat import op4_chat_format
 from tessera.llm.decontamination import op3_decontamination
 from tessera.llm.neardup import op7_near_duplicates
@@ -14,4 +15,4 @@ from tessera.llm.suffix import op1_suffix_dedup
 from tessera.llm.tokens import op8_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_decontamination, op4_chat_format, op5_quality_rules, op6_sharding, op7_near_duplicates, op8_token_counts, op9_secret_scan, op10_pii)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_format": chat.ORACLE}
