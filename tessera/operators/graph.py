@@ -142,3 +142,19 @@ def drifted(base: DataFrame, drifts: DataFrame, share: float = 0.3) -> DataFrame
     rows = base.join(drifts, "memory_id", "left")
     mixed = F.zip_with("embedding", "drift", lambda b, d: b.cast("double") * (1 - share) + d * share)
     return rows.select("memory_id", F.when(F.col("drift").isNull(), F.transform("embedding", lambda x: x.cast("double"))).otherwise(mixed).alias("embedding"))
+
+
+def stored(synapses: DataFrame, more: DataFrame) -> DataFrame:
+    """Weights after more (m1, m2, weight) in either order: old ones grow up to 1, new ones stand as they come, over 1 too."""
+    own = more.select(F.least("m1", "m2").alias("m1"), F.greatest("m1", "m2").alias("m2"), "weight").groupBy("m1", "m2").agg(F.sum("weight").alias("add"))
+    both = synapses.select("m1", "m2", "weight").join(own, ["m1", "m2"], "full")
+    return both.select("m1", "m2", F.when(F.col("weight").isNull(), F.col("add")).otherwise(F.least(F.lit(1.0), F.col("weight") + F.coalesce("add", F.lit(0.0)))).alias("weight"))
+
+
+def recent_access(accessed: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Accesses (memory_id, at) of the last days."""
+    return accessed.where(F.to_timestamp("at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def cluster_summary(clusters: DataFrame, energy: DataFrame) -> DataFrame:
+    return clusters.groupBy("cluster").agg(F.count("*").alias("members")).join(energy, "cluster", "left").select("cluster", "members", F.coalesce("energy", F.lit(0.5)).alias("energy"))

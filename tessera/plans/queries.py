@@ -646,6 +646,95 @@ def drift(spark, sf):
     return G.drifted(base, d).join(d, "memory_id").select("memory_id", F.round(F.col("drift")[0], 6).alias("drift"), F.round(F.col("embedding")[0], 6).alias("moved"))
 
 
+@query(f"{MEM}, {_SYN}, o AS (SELECT m1, m2, weight FROM s0 WHERE weight > 0.52), n AS (SELECT m1, m2, 2 * weight AS w FROM s0 WHERE weight > 0.32) SELECT m1, m2, round(CASE WHEN weight IS NULL THEN w ELSE least(1.0, weight + coalesce(w, 0)) END, 6) AS weight FROM o FULL JOIN n USING (m1, m2)")
+def synapse_upsert(spark, sf):
+    s = _syn(mem(spark, sf))
+    more = s.where("weight > 0.32").select(F.col("m2").alias("m1"), F.col("m1").alias("m2"), (2 * F.col("weight")).alias("weight"))
+    return G.stored(s.where("weight > 0.52"), more).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"{MEM} SELECT memory_id, when_ts AS at FROM memories WHERE when_ts::TIMESTAMP > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
+def access_window(spark, sf):
+    return G.recent_access(mem(spark, sf).select("memory_id", F.col("when_ts").alias("at")), AS_OF)
+
+
+@query(f"{MEM}, sm AS (SELECT * FROM memories WHERE vec_id < 60), {_CL} SELECT cluster, count(*) AS members, coalesce(any_value(energy), 0.5)::DOUBLE AS energy FROM cl LEFT JOIN en USING (cluster) GROUP BY 1")
+def cluster_summary(spark, sf):
+    return G.cluster_summary(mem(spark, sf).where("vec_id < 60").select("memory_id", (F.col("vec_id") % 4).alias("cluster")), _energy(spark))
+
+
+@query("SELECT count(*) AS batches, sum(r)::BIGINT AS records, sum(m)::BIGINT AS memories, round(sum(r) / sum(s), 6) AS records_per_s, round(sum(m) / sum(s), 6) AS memories_per_s, round(100.0 * (sum(r) - sum(f)) / sum(r), 6) AS success_pct, round(avg(s), 6) AS avg_batch_s, max(s) AS max_batch_s FROM (SELECT event_id // 100 AS b, count(*) AS r, count(*) FILTER (event_type <> 'error') AS m, count(*) FILTER (event_type = 'error') AS f, 1.0 + (event_id // 100) % 5 AS s FROM events GROUP BY event_id // 100)")
+def import_stats(spark, sf):
+    from tessera.sources import jobs
+
+    e = fx.table(spark, sf, "events").withColumn("b", F.floor(F.col("event_id") / 100))
+    bad = F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0))
+    rows = e.groupBy("b").agg(F.count("*").alias("records"), (F.count("*") - bad).alias("memories"), bad.alias("failed")).withColumn("seconds", 1.0 + F.col("b") % 5)
+    got = jobs.throughput(rows)
+    return got.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes])
+
+
+@query("""SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 1 THEN lang END, ''), source) AS content, CASE doc_id % 4 WHEN 1 THEN 'llm_message' WHEN 2 THEN 'system' ELSE 'user_message' END AS event_type,
+  CASE doc_id % 4 WHEN 1 THEN 'llm:' WHEN 2 THEN 'system:' ELSE 'user:' END || source AS actor, false AS is_memory, length(coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 1 THEN lang END, ''), source)) > 500 AS is_long FROM documents""")
+def record_dispatch(spark, sf):
+    from tessera.sources import readers
+
+    d = fx.table(spark, sf, "documents")
+    kind = F.when(F.col("doc_id") % 4 == 1, "llm").when(F.col("doc_id") % 4 == 2, "system")
+    rows = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("").alias("raw_text"), F.when(F.col("doc_id") % 3 == 1, F.col("lang")).alias("text"), F.col("source").alias("content"), kind.alias("who_type"), F.col("source").alias("who_id"))
+    return rows.select("doc_id", *[c.alias(n) for n, c in readers.dispatch_columns(rows).items()])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '[Part ' || (doc_id % 3) || ' of ' || (1 + doc_id % 3) || '] ' ELSE '' END || text || CASE WHEN doc_id % 2 = 0 THEN '\n[Source: ' || source || ']' ELSE '' END AS memory_text FROM documents")
+def part_text(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    part = F.col("doc_id") % 3
+    return d.select("doc_id", X.part_text(F.col("text"), part, part + 1, F.when(F.col("doc_id") % 2 == 0, F.col("source"))).alias("memory_text"))
+
+
+@query("SELECT DISTINCT event_type, CASE WHEN event_type IN ('tool_call', 'tool_result') THEN 'tool' WHEN event_type = 'user_message' THEN 'user' WHEN event_type = 'llm_message' THEN 'llm' ELSE 'system' END AS who_type FROM (SELECT event_type FROM events UNION ALL SELECT unnest(['tool_call', 'tool_result', 'user_message', 'llm_message', 'system']))")
+def who_types(spark, sf):
+    own = spark.createDataFrame([(x,) for x in ("tool_call", "tool_result", "user_message", "llm_message", "system")], "event_type string")
+    return fx.table(spark, sf, "events").select("event_type").union(own).distinct().select("event_type", X.who_type(F.col("event_type")).alias("who_type"))
+
+
+@query("SELECT event_id, 'mem_' || substr(md5(event_id::VARCHAR), 1, 12) AS memory_id FROM events")
+def stable_ids(spark, sf):
+    return fx.table(spark, sf, "events").select("event_id", F.concat(F.lit("mem_"), F.substring(F.md5(F.col("event_id").cast("string")), 1, 12)).alias("memory_id"))
+
+
+@query(f"{MEM} SELECT memory_id, round({_REC.format(w='when_ts')}, 6) AS score FROM memories WHERE where_value = 'src3' ORDER BY when_ts DESC, memory_id LIMIT 100")
+def place_candidates(spark, sf):
+    from tessera.operators import legacy
+
+    return legacy.hinted(mem(spark, sf), AS_OF, place="src3").withColumn("score", F.round("score", 6))
+
+
+@query(f"{_FULL} SELECT query_id, memory_id, round(least(1.0, (semantic + 0.1 * (actor > 0)::INT + 0.1 * (temporal > 0)::INT + 0.05 * least(1, coalesce(accesses, 0) / 100.0)) * CASE WHEN query_id = 7 THEN 1.5 ELSE 1.0 END), 6) AS score FROM one")
+def additive_rerank(spark, sf):
+    from tessera.operators import legacy
+
+    m = mem(spark, sf)
+    rows = R.signals(R.candidates(m, asked(m)), m, asked(m), AS_OF, usage=m.select("memory_id", "accesses"))
+    return legacy.additive(rows, F.col("query_id") == 7).select("query_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query(f"{MEM} SELECT memory_id, '- ' || what || ' (' || substr(coalesce(why, ''), 1, 100) || ')' AS line FROM memories ORDER BY when_ts DESC, memory_id LIMIT 10")
+def context_lines(spark, sf):
+    top = store.newest(mem(spark, sf), F.lit(True), 10)
+    return top.select("memory_id", F.concat(F.lit("- "), F.col("what"), F.lit(" ("), F.substring(F.coalesce("why", F.lit("")), 1, 100), F.lit(")")).alias("line"))
+
+
+for _n, _desc in (("who_id", False), ("token_count", True), ("where_value", False), ("created_at", True)):
+    made(f"sorted_by_{_n}", lambda spark, sf, n=_n, d=_desc: store.page(mem(spark, sf).select(*COL, "created_at"), n, d, 1, 30).select(*COL), f"{MEM} SELECT {COLS} FROM memories ORDER BY {_n} {'DESC NULLS LAST' if _desc else 'ASC NULLS FIRST'}, memory_id LIMIT 30")
+
+
+@query(f"{MEM}, s AS (SELECT session_id, substr(when_ts,1,10)::DATE AS day, count(*) AS n FROM memories GROUP BY 1, 2) SELECT session_id, max(n) AS busiest, count(*) AS days FROM s GROUP BY 1")
+def session_days(spark, sf):
+    rows = mem(spark, sf).groupBy("session_id", F.to_date(F.substring("when_ts", 1, 10)).alias("day")).agg(F.count("*").alias("n"))
+    return rows.groupBy("session_id").agg(F.max("n").alias("busiest"), F.count("*").alias("days"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search with grouping, packed into a budget, as result cards."""
     m = mem(spark, sf)

@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -61,21 +61,26 @@ def any_records(spark: SparkSession, path: str) -> DataFrame:
     return {"json": json_records, "csv": csv_records, "text": text_records}[kind_of(head[0] if head else "")](spark, path)
 
 
-def dispatched(records: DataFrame) -> DataFrame:
-    """What an import does with each record: content, event_type, actor, and whether it is a memory already, or long enough for several."""
+def dispatch_columns(records: DataFrame) -> dict[str, Column]:
+    """content (the first text field with any, else the record as JSON), event_type, actor, and whether a record is a memory already, or long enough for several."""
     have = set(records.columns)
     col = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
     texts = [F.nullif(col(c), F.lit("")) for c in ("raw_text", "text", "content")]
     content = F.coalesce(*texts, F.to_json(F.struct(*records.columns)))
     who = F.coalesce(col("who_type"), F.lit("user"))
     kind = F.when(who == "llm", "llm").when(who == "system", "system").otherwise("user")
-    return records.select(
-        content.alias("content"),
-        F.when(kind == "llm", "llm_message").when(kind == "system", "system").otherwise("user_message").alias("event_type"),
-        F.concat_ws(":", kind, F.coalesce(col("who_id"), F.lit("unknown"))).alias("actor"),
-        (col("memory_id").isNotNull() & col("who_type").isNotNull()).alias("is_memory"),
-        (F.length(content) > 500).alias("is_long"),
-    )
+    return {
+        "content": content,
+        "event_type": F.when(kind == "llm", "llm_message").when(kind == "system", "system").otherwise("user_message"),
+        "actor": F.concat_ws(":", kind, F.coalesce(col("who_id"), F.lit("unknown"))),
+        "is_memory": col("memory_id").isNotNull() & col("who_type").isNotNull(),
+        "is_long": F.length(content) > 500,
+    }
+
+
+def dispatched(records: DataFrame) -> DataFrame:
+    """What an import does with each record."""
+    return records.select(*[c.alias(n) for n, c in dispatch_columns(records).items()])
 
 
 class _Html(html.parser.HTMLParser):
