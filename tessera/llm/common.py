@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -33,8 +34,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of an Arrow batch, at most, so that what goes through Python at once follows bytes and not rows.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of Arrow batches to BATCH_BYTES: long texts fill a batch long before its rows do."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
 def texts(df: DataFrame) -> DataFrame:
     """doc_id as a long and the whole text, null as empty."""
+    in_small_batches(df.sparkSession)
     return pick(df, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
@@ -149,3 +175,4 @@ def split_by_size(batches, column: str, limit: int = 4 << 20):
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, "right")))
             yield b.slice(i, j - i)
             i = j
+    trim()
