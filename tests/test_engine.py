@@ -290,3 +290,30 @@ def test_config():
     assert t.data == s.data
     s.reset("a")
     assert s.data == {"a": {"b": 1, "c": 2}}
+
+
+def test_import_jobs():
+    from tessera.sources.jobs import Jobs
+
+    jobs = Jobs()
+    a = jobs.create("a.csv", 30)
+
+    def bad():
+        raise ValueError("broken")
+
+    jobs.run(a, [lambda: (10, 0), bad, lambda: (15, 5)])
+    assert a.status() == {"number": 1, "state": "completed", "total": 30, "processed": 25, "failed": 5, "percent": 83.3, "errors": ["ValueError: broken"]}
+    b = jobs.run(jobs.create("b"), [bad] * 12)
+    assert b.state == "failed" and len(b.status()["errors"]) == 10
+    c = jobs.create("c", 2)
+    jobs.run(c, [lambda: (1, 0), lambda: (jobs.cancel(3), 0), lambda: (1, 0)])
+    assert c.state == "cancelled" and not jobs.cancel(3) and not jobs.cancel(99)
+    assert [j["number"] for j in jobs.latest(2)] == [3, 2]
+    assert jobs.clean(24, now=b.ended + 25 * 3600) == 3 and not jobs.known
+
+
+def test_stored_synapses(spark):
+    s = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.2)], "m1 string, m2 string, weight double")
+    more = spark.createDataFrame([("b", "a", 0.5), ("d", "c", 1.5)], "m1 string, m2 string, weight double")
+    got = {(r.m1, r.m2): r.weight for r in graph.stored(s, more).collect()}
+    assert got == {("a", "b"): 1.0, ("a", "c"): 0.2, ("c", "d"): 1.5}
