@@ -172,7 +172,7 @@ def forest(band: int, root: np.ndarray, block: np.ndarray, bands: np.ndarray, si
 
 
 #: Members of a bucket that are looked at in one task; larger buckets are cut into blocks of which each two meet in a task.
-BLOCK = 1024
+BLOCK = 256
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
