@@ -34,7 +34,8 @@ def buckets_of(docs: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
 
     # the text takes part, so that rows of one id are scattered as well
     scattered = docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(n)))
-    return written(scattered.groupBy("bucket").applyInArrow(shuffle, "doc_id long, text string, bucket long, place long"), "shuffled")
+    # as many partitions as buckets, so a task's share doesn't grow with the input
+    return written(scattered.repartition(n, "bucket").groupBy("bucket").applyInArrow(shuffle, "doc_id long, text string, bucket long, place long"), "shuffled")
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
