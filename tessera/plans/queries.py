@@ -735,6 +735,20 @@ def session_days(spark, sf):
     return rows.groupBy("session_id").agg(F.max("n").alias("busiest"), F.count("*").alias("days"))
 
 
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+def stream_timeline(spark, sf):
+    """The timeline as a stream over the event files, run until it has seen them all; its final windows are a table in memory."""
+    import uuid
+
+    name = f"timeline_{uuid.uuid4().hex}"
+    schema = fx.table(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = rows.select(F.col("ts").cast("timestamp").alias("timestamp"), "event_type").withWatermark("timestamp", "1 day")
+    days = rows.groupBy(F.window("timestamp", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("errors"))
+    days.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination(600)
+    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "errors")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search with grouping, packed into a budget, as result cards."""
     m = mem(spark, sf)
