@@ -11,8 +11,9 @@ from tessera.llm.common import buffers, documents, in_small_batches, mix, pick,
 
 #: Bytes of an n-gram, at most. The order falls until a table has MOST_GRAMS entries at most, so the model's size is bounded.
 ORDER, MOST_GRAMS = 5, 1 << 22
-#: A band reaches from the median of a language's log perplexities to SPREAD times the distance of its outer deciles.
-SPREAD = 4.0
+#: A band reaches from the median of a language's log perplexities to SPREAD times the distance of its outer deciles, which are
+#: taken to lie DECILE median absolute deviations from it, as normal ones do: bad rows can't move these while they are under a half.
+SPREAD, DECILE = 4.0, 1.9
 #: And to this factor of the median at least, so that a language of even texts does not reject harmless ones.
 LEAST_RATIO = 1.35
 #: The model learns from texts that pass the base rules and have a symbol of `#*$%&|<>` in a hundredth of their words at most.
@@ -222,8 +223,9 @@ def _normal(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, lang, the text's counts as in scored(), low and high, the perplexity band of its language, and kept.
 
-    kept: not base_failed, and log_ppl within the band. The band is of the texts that don't fail the base rules: the median plus
-    and minus SPREAD times the distance to the ninth and first decile, and a factor of LEAST_RATIO in perplexity at least.
+    kept: not base_failed, and log_ppl within the band. The band is of the texts the model learnt from, or of all that don't fail the
+    base rules in a language it learnt nothing of: the median plus and minus SPREAD * DECILE median absolute deviations, and a factor
+    of LEAST_RATIO in perplexity at least.
 
     Null texts are empty and fail; a null language is one of its own; rows that repeat are judged alike; an
     empty table gives no rows; other columns are ignored. The model is of bytes, so a text of any length or script is scored whole.
@@ -241,13 +243,16 @@ def passing(docs: DataFrame) -> DataFrame:
 
 
 def banded(out: DataFrame) -> DataFrame:
-    q = F.percentile_approx("log_ppl", [0.1, 0.5, 0.9], 2000)
-    bands = out.where("not base_failed").groupBy("lang").agg(q.alias("q"))
-    ratio = float(np.log(LEAST_RATIO))
-    low = F.col("q")[1] - F.greatest(F.lit(ratio), SPREAD * (F.col("q")[1] - F.col("q")[0]))
-    high = F.col("q")[1] + F.greatest(F.lit(ratio), SPREAD * (F.col("q")[2] - F.col("q")[1]))
-    bands = written(bands.select("lang", low.alias("low"), high.alias("high")), "bands")  # a row for each language
-    out = out.join(F.broadcast(bands) if bands.count() <= MOST_LANGUAGES else bands, "lang", "left")
+    def each(rows):  # a row for each language
+        return F.broadcast(rows) if rows.count() <= MOST_LANGUAGES else rows
+
+    half = lambda c: F.percentile_approx(c, 0.5, 2000)
+    fine = out.where("not base_failed").select("lang", "log_ppl", (F.col("n_symbols") <= SYMBOLS * F.col("n_words")).alias("learnt"))
+    middle = fine.groupBy("lang").agg(F.coalesce(half(F.when(F.col("learnt"), F.col("log_ppl"))), half("log_ppl")).alias("mid"), F.max("learnt").alias("some"))
+    off = fine.join(each(written(middle, "middles")), "lang").where("learnt or not some").groupBy("lang", "mid").agg(half(F.abs(F.col("log_ppl") - F.col("mid"))).alias("mad"))
+    far = F.greatest(F.lit(float(np.log(LEAST_RATIO))), SPREAD * DECILE * F.col("mad"))
+    bands = off.select("lang", (F.col("mid") - far).alias("low"), (F.col("mid") + far).alias("high"))
+    out = out.join(each(written(bands, "bands")), "lang", "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False)))
 
 

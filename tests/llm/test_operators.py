@@ -195,6 +195,18 @@ def test_perplexity_band_rejects_symbols(spark):
     assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(5))
 
 
+@pytest.mark.parametrize("share", [0.15, 0.33])
+def test_perplexity_band_stands_much_junk(spark, share):
+    rnd = random.Random(3)
+    syllables = ["ta", "lo", "mi", "ren", "su", "ke", "dor"]
+    prose = lambda: " ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) for _ in range(120))
+    bad = round(100 * share)
+    rows = [(i, " ".join(w + "$%&" for w in prose().split()) if i < bad else prose(), "xx") for i in range(100)]
+    rows += [(100 + i, prose(), "yy") for i in range(20)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sorted(i for i in got if not got[i]) == list(range(bad))
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
