@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import buffers, documents, in_small_batches, mix, pick, shingles, split_by_size, words, written
 
-#: Bytes of an n-gram, at most. The order falls until a table has MOST_GRAMS entries at most, so the model's size is bounded.
+#: Bytes of an n-gram, at every size; and the longest n-grams a share of the model may have: with more, the model is cut into shares
+#: of half as many on average, which are built, sent and applied one after the other.
 ORDER, MOST_GRAMS = 5, 1 << 22
 #: A band reaches from the median of a language's log perplexities to SPREAD times the distance of its outer deciles, which are
 #: taken to lie DECILE median absolute deviations from it, as normal ones do: bad rows can't move these while they are under a half.
@@ -119,20 +122,16 @@ class KneserNey:
 
     counts: for each order from 1 up, (language's number, n-gram, count); counts of lower orders are numbers of distinct bytes before.
     keys[n]: sorted hashes of (language, n-gram); prob[n]: natural logarithm; context[n], back[n]: hashes of contexts and the logarithm of what they leave.
+    discounts: for each order, (languages, 4), if counts are a share of the model's; else they are taken from counts.
     """
 
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], discounts: list[np.ndarray] | None = None):
         self.langs, self.order = langs, len(counts)
         self.keys, self.prob, self.context, self.back, self.first = [], [], [], [], []
         for n, (lang, gram, c) in enumerate(counts, 1):
             ctx = self.key(n - 1, lang, gram >> np.uint64(8)) if n > 1 else self.key(0, lang, gram * np.uint64(0))
             uniq, at = np.unique(ctx, return_inverse=True)
-            d = np.zeros((len(langs), 4))
-            for i in range(len(langs)):
-                n1, n2, n3, n4 = (int(((c == k) & (lang == i)).sum()) for k in (1, 2, 3, 4))
-                y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-                d[i, 1:] = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-            d = np.clip(d, 0.1, [0.1, 0.9, 1.9, 2.9])
+            d = discounts[n - 1] if discounts else self.discounts([[int(((c == k) & (lang == i)).sum()) for k in (1, 2, 3, 4)] for i in range(len(langs))])
             total = np.bincount(at, c)
             taken = d[lang, np.minimum(c, 3)]
             left = np.bincount(at, taken) / total
@@ -148,6 +147,15 @@ class KneserNey:
             self.context.append(uniq)
             self.back.append(np.log(left).astype(np.float32))
 
+    @staticmethod
+    def discounts(seen: list[list[int]]) -> np.ndarray:
+        """What n-grams seen once, twice and more often give up, from the numbers of those seen 1 to 4 times in each language."""
+        d = np.zeros((len(seen), 4))
+        for i, (n1, n2, n3, n4) in enumerate(seen):
+            y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            d[i, 1:] = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        return np.clip(d, 0.1, [0.1, 0.9, 1.9, 2.9])
+
     @staticmethod
     def key(n: int, lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
         return mix(gram + (lang.astype(np.uint64) << np.uint64(44)) + (np.uint64(n) << np.uint64(41)))
@@ -176,43 +184,97 @@ class KneserNey:
         return out
 
 
-def train(docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> KneserNey:
-    """Counts by Spark over all texts that pass the plain rules; what comes to the driver is a table of most entries at most for each order."""
-    top = written(gram_counts(docs, order), "grams")
-    tables = [top]
+def share_of(salt, context, shares: int):
+    """The share of a language (crc32 of its name) and the two bytes before an n-gram's last; of numbers, arrays or columns."""
+    return (salt + context * 2654435761) % 1000003 % shares
+
+
+class Shares:
+    """A model in shares. The n-grams of three bytes or more of a language that agree in the two bytes before the last are in one share, and
+    so are all they back off to and their contexts; n-grams of one and two bytes stand in each. So a share gives the very probabilities of the
+    whole model, and what the driver or a worker holds at once is a share."""
+
+    def __init__(self, tables: list[DataFrame], most: int):
+        self.tables, self.order = tables, len(tables)
+        top = tables[-1].count()
+        self.n = 1 if top <= most else -(-2 * top // most)
+        self.langs = sorted(r[0] for r in tables[0].select("lang").distinct().collect())
+        self.discounts = None
+        if self.n > 1:
+            self.discounts = []
+            for t in tables:
+                seen = {r[0]: list(r[1:]) for r in t.groupBy("lang").agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()}
+                self.discounts.append(KneserNey.discounts([seen[x] for x in self.langs]))
+
+    def model(self, i: int) -> KneserNey:
+        own = share_of(F.crc32(F.col("lang").cast("binary")), F.shiftright("gram", 8).bitwiseAND(0xFFFF), self.n) == i
+        got = [(t.where(own) if self.n > 1 and k > 2 else t).toArrow() for k, t in enumerate(self.tables, 1)]
+        number = {x: k for k, x in enumerate(self.langs)}
+        return KneserNey(self.langs, [(np.array([number[x] for x in g.column("lang").to_pylist()], np.int64), g.column("gram").to_numpy().view(np.uint64), g.column("n").to_numpy().astype(np.int64)) for g in got], self.discounts)
+
+
+def train(docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> Shares:
+    """Counts by Spark over all texts that pass the plain rules, in written tables; each order is kept, however many n-grams it has."""
+    tables = [written(gram_counts(docs, order), "grams")]
     for n in range(order - 1, 0, -1):
         tables.append(tables[-1].groupBy("lang", F.expr(f"gram & {(1 << 8 * n) - 1}L").alias("gram")).agg(F.count("*").alias("n")))
-    tables = tables[::-1]
-    while len(tables) > 1 and tables[-1].count() > most:
-        tables.pop()
-    got = [t.toArrow() for t in tables]
-    langs = sorted(set(got[0].column("lang").to_pylist()))
-    number = {x: i for i, x in enumerate(langs)}
-    return KneserNey(langs, [(np.array([number[x] for x in g.column("lang").to_pylist()], np.int64), g.column("gram").to_numpy().view(np.uint64), g.column("n").to_numpy().astype(np.int64)) for g in got])
+    if tables[0].count() > most:  # shares read them again and again
+        tables = tables[:1] + [written(t, "grams") for t in tables[1:]]
+    return Shares(tables[::-1], most)
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def scored(docs: DataFrame, model: KneserNey, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs, all columns, with the plain counts and log_ppl, the mean negative log probability of a byte (null for an empty text)."""
+def _sums(m: KneserNey, raw, at, langs, share: int, shares: int) -> np.ndarray:
+    """Of each text, the sum of the logarithms of those of its n-grams that are of a share."""
+    g, of = grams_of(raw, at, m.order)
+    number = {x: i for i, x in enumerate(m.langs)}
+    code = np.array([number.get(x or "", len(number)) for x in langs], np.int64)
+    if shares > 1:
+        salt = np.array([zlib.crc32((x or "").encode()) for x in langs], np.int64)
+        mine = share_of(salt[of], ((g >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64), shares) == share
+        g, of = g[mine], of[mine]
+    return np.bincount(of, m.find(m.order, code[of], g), minlength=len(at) - 1)
+
+
+def scored(docs: DataFrame, model: Shares, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs, all columns, with the plain counts and log_ppl, the mean negative log probability of a byte (null for an empty text).
+
+    With several shares docs are written with row numbers first, each share's sums are a table of numbers, and rows meet their sum by number."""
     in_small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sc, shares = docs.sparkSession.sparkContext, model.n
+    if shares > 1:
+        docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        parts = None
+        for i in range(shares):
+            sent = sc.broadcast(model.model(i))
+
+            def add(batches, sent=sent, i=i):
+                for b in split_by_size(batches, "text", 1 << 18):
+                    raw, at = buffers(b.column(2).fill_null(""))
+                    yield pa.record_batch([b.column(0), pa.array(_sums(sent.value, raw, at, b.column(1).to_pylist(), i, shares), pa.float64())], names=["_row", "_sum"])
+
+            part = written(docs.select("_row", F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(add, "_row long, _sum double"), "sums")
+            parts = part if parts is None else parts.unionByName(part)
+            sent.destroy()
+        docs = docs.join(parts.groupBy("_row").agg(F.sum("_sum").alias("_sum")), "_row").drop("_row")
+    shared = sc.broadcast(model.model(0)) if shares == 1 else None
 
     def run(batches):
-        m = shared.value
-        number = {x: i for i, x in enumerate(m.langs)}
         for b in split_by_size(batches, text, 1 << 18):
             raw, at = buffers(b.column(b.schema.get_field_index(text)).fill_null(""))
             got = measured(raw, at, [raw[i:j].tobytes() for i, j in zip(at, at[1:])])
-            g, of = grams_of(raw, at, m.order)
-            code = np.array([number.get(x or "", len(number)) for x in b.column(b.schema.get_field_index(lang)).to_pylist()], np.int64)
-            p = m.find(m.order, code[of], g)
+            if shared is None:
+                total = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+                b = b.select(b.schema.names[:-1])
+            else:
+                total = _sums(shared.value, raw, at, b.column(b.schema.get_field_index(lang)).to_pylist(), 0, 1)
             n = np.diff(at)
-            mean = -np.bincount(of, p, minlength=len(n)) / np.maximum(n, 1)
+            mean = -total / np.maximum(n, 1)
             yield pa.record_batch([*b.columns, *[pa.array(got[x], pa.int64()) for x in MEASURES], pa.array(base_failed(got), pa.bool_()), pa.array(mean, pa.float64(), mask=n == 0)], names=[*b.schema.names, *MEASURES, "base_failed", "log_ppl"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "_sum")
     return docs.mapInArrow(run, f"{kinds}, {', '.join(f'{x} long' for x in MEASURES)}, base_failed boolean, log_ppl double")
 
 

@@ -207,6 +207,21 @@ def test_perplexity_band_stands_much_junk(spark, share):
     assert sorted(i for i in got if not got[i]) == list(range(bad))
 
 
+def test_model_keeps_its_order_in_shares(spark):
+    rnd = random.Random(4)
+    rows = [(i, _words(rnd, 80, 60) + " é🙂", "a" if i % 3 else "b") for i in range(12)] + [(12, "", "a"), (13, "not seen: QZ " * 30, "b"), (14, "of no language", "c"), (15, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = {}
+    for most in (1 << 22, 400):
+        model = quality.train(quality._normal(docs), most=most)
+        assert model.order == quality.ORDER and (model.n > 2) == (most == 400)
+        got = quality.scored(docs, model)
+        assert got.columns[:3] == docs.columns
+        seen[most] = {r.doc_id: r.log_ppl for r in got.collect()}
+    assert set(seen[400]) == set(range(16)) and seen[400][12] is None and seen[400][15] is None
+    assert all(x is None or abs(x - seen[400][i]) < 1e-6 for i, x in seen[1 << 22].items())
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
