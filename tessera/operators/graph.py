@@ -20,9 +20,21 @@ def pairs(lists: DataFrame, key: str, item: str = "memory_id") -> DataFrame:
     return two.groupBy("m1", "m2").agg(F.count("*").alias("n"))
 
 
+def all_pairs(lists: DataFrame, key: str, item: str = "memory_id", block: int = MOST_ACTIVE // 2) -> DataFrame:
+    """pairs() of lists of any length: long ones are cut into blocks of about block items, of which each two meet in a group of their own."""
+    own = lists.select(F.col(key).alias("k"), F.col(item).alias("x")).where("x is not null").distinct()
+    size = own.groupBy(F.col("k").alias("long")).agg(F.count("*").alias("n")).where(F.col("n") > block)
+    cut = own.join(size, F.col("k").eqNullSafe(F.col("long")) & F.col("n").isNotNull(), "left").select("k", "x", F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int").alias("n"))
+    rows = cut.withColumn("b", F.pmod(F.xxhash64("x"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = rows.groupBy("k", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("x", "b"))).alias("xs"))
+    one = met.select("lo", "hi", "xs", F.posexplode("xs").alias("i", "one"))
+    two = one.select("lo", "hi", "one", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("two")).where("lo = hi or one.b <> two.b")
+    return two.groupBy(F.col("one.x").alias("m1"), F.col("two.x").alias("m2")).agg(F.count("*").alias("n"))
+
+
 def hebbian(synapses: DataFrame, activations: DataFrame, key: str, rate: float = 0.01) -> DataFrame:
     """Each list two memories are active in adds rate to their weight, 1 at most."""
-    more = pairs(activations, key).select("m1", "m2", (F.col("n") * rate).alias("weight"))
+    more = all_pairs(activations, key).select("m1", "m2", (F.col("n") * rate).alias("weight"))
     return synapses.select("m1", "m2", "weight").unionByName(more).groupBy("m1", "m2").agg(F.least(F.lit(1.0), F.sum("weight")).alias("weight"))
 
 

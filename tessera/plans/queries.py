@@ -547,12 +547,12 @@ def _acts(m):
 
 def _syn(m):
     n = F.substring("m1", 5, 12).cast("long") + F.substring("m2", 5, 12).cast("long")
-    return G.pairs(_acts(m), "act").select("m1", "m2", F.least(F.lit(1.0), 0.05 * (1 + n % 20)).alias("weight"))
+    return G.all_pairs(_acts(m), "act").select("m1", "m2", F.least(F.lit(1.0), 0.05 * (1 + n % 20)).alias("weight"))
 
 
 @query(f"{MEM}, {_ACT} SELECT m1, m2, n FROM pr")
 def cooccurrence(spark, sf):
-    return G.pairs(_acts(mem(spark, sf)), "act")
+    return G.all_pairs(_acts(mem(spark, sf)), "act")
 
 
 @query(f"{MEM}, {_SYN} SELECT m1, m2, round(least(1.0, weight + 0.01 * n), 6) AS weight FROM s0 JOIN pr USING (m1, m2)")
@@ -596,7 +596,7 @@ _PULL = "bo AS (SELECT m1 AS memory_id, m2 AS other, affinity FROM af UNION ALL
 def _few(m):
     few = m.where("vec_id < 60")
     last = few.select("memory_id", F.to_timestamp("when_ts").alias("last_access"))
-    return few, G.affinity(few.select("memory_id", "embedding"), G.pairs(_acts(m), "act"), last), few.select("memory_id", (F.col("vec_id") % 4).alias("cluster"))
+    return few, G.affinity(few.select("memory_id", "embedding"), G.all_pairs(_acts(m), "act"), last), few.select("memory_id", (F.col("vec_id") % 4).alias("cluster"))
 
 
 def _energy(spark):

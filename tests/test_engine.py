@@ -151,6 +151,16 @@ def test_graph_refuses_long_lists(spark):
         graph.pairs(long, "act").count()
 
 
+def test_pairs_of_long_lists(spark):
+    n = graph.MOST_ACTIVE + 100
+    acts = spark.range(n).selectExpr("'a' as act", "lpad(id, 6, '0') as memory_id").union(spark.range(3).selectExpr("'b'", "lpad(id, 6, '0')"))
+    got = graph.hebbian(spark.createDataFrame([], "m1 string, m2 string, weight double"), acts, "act")
+    assert got.where("m1 < m2").count() == got.count() == n * (n - 1) // 2
+    assert got.where("weight > 0.015").count() == 3
+    few = acts.where("memory_id < '000050'")
+    assert sorted(graph.all_pairs(few, "act", block=7).collect()) == sorted(graph.pairs(few, "act").collect())
+
+
 def test_flow_and_merge(spark):
     v = spark.createDataFrame([(f"m{i}", [1.0, i / 100]) for i in range(6)] + [("z", [-1.0, 0.0])], "memory_id string, embedding array<double>")
     c = spark.createDataFrame([(f"m{i}", i % 2) for i in range(6)] + [("z", 5)], "memory_id string, cluster long")
