@@ -622,8 +622,8 @@ def flow_step(spark, sf):
 
 @query()
 def merge_clusters(spark, sf):
-    few, _, c = _few(mem(spark, sf))
-    return G.merged(few.select("memory_id", "embedding"), c, _energy(spark), 0.2)
+    m = mem(spark, sf)
+    return G.merged(m.select("memory_id", "embedding"), m.select("memory_id", (F.col("vec_id") % 4).alias("cluster")), _energy(spark), 0.2)
 
 
 @query()

@@ -42,5 +42,10 @@ def test_query(name, spark, sf_dir, con):
     assert _rows(rows, [got.columns.index(c) for c in columns]) == _rows(want.fetchall(), [want.columns.index(c) for c in columns])
 
 
+def test_merge_clusters_takes_all_memories(spark, sf_dir):
+    rows = registry.queries()["merge_clusters"](spark, sf_dir).select("memory_id").collect()
+    assert len(rows) == len(set(rows)) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
 def test_entry_gives_cards(spark):
     assert registry.flagship(spark, "/root/testdata/sf0.001").count() > 0
