@@ -483,7 +483,7 @@ def json_salvage(spark, sf):
 
 @query()
 def tool_calls(spark, sf):
-    return _phrases(spark).select("id", F.array_join(F.transform(X.tool_calls(F.col("text")), lambda c: c["name"]), ",").alias("calls"), X.without_tool_calls(F.col("text")).alias("rest"))
+    return fx.conversations(spark, sf).select("conv_id", "turn", F.array_join(F.transform(X.tool_calls(F.col("text")), lambda c: c["name"]), ",").alias("calls"), X.without_tool_calls(F.col("text")).alias("rest"))
 
 
 _N = "try_cast(regexp_extract(lower(text), '(\\d+)\\s+(day|week|month|year)s?\\s+ago', 1) AS INT)"

@@ -47,5 +47,12 @@ def test_merge_clusters_takes_all_memories(spark, sf_dir):
     assert len(rows) == len(set(rows)) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
 
 
+def test_tool_calls_reads_all_messages(spark, sf_dir):
+    got = registry.queries()["tool_calls"](spark, sf_dir)
+    want = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    keys = lambda rows: sorted((r.conv_id, r.turn) for r in rows.select("conv_id", "turn").collect())
+    assert keys(got) == keys(want)
+
+
 def test_entry_gives_cards(spark):
     assert registry.flagship(spark, "/root/testdata/sf0.001").count() > 0
