@@ -377,14 +377,14 @@ def test_pii_base(spark):
     got = pii.extract(docs).collect()
     assert len(got) == len(texts) + 1
     for r in got:
-        assert [(s.kind, s.start, s.end) for s in r.spans if s.kind != "id"] == _personal(texts[r.doc_id])
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.KINDS] == _personal(texts[r.doc_id])
     assert pii.extract(docs.limit(0)).count() == 0
 
 
 def test_pii_learns_contexts(spark):
     rows = [(i, f"note {i} reach me at u{i}@mail.example.com or by") for i in range(6)] + [(10, "please reach me at ZX-48213-77 soon"), (11, "the part no ZX-11111-22 is out")]
     got = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(rows, DOCS)).collect()}
-    assert [(s.kind, s.value) for s in got[10]] == [("id", "ZX-48213-77")] and got[11] == []
+    assert [(s.kind, s.value) for s in got[10]] == [("id_email", "ZX-48213-77")] and got[11] == []
 
 
 def test_secret_base_against_the_patterns(spark):
@@ -424,3 +424,78 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == keep
     assert corpus_pipeline.quality(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def _contexts(left):
+    plain = re.sub(r"[0-9]+(?:[ .-][0-9]+)*", "0", left[-pii.CONTEXT :].lower())
+    words = plain.split()
+    return [words[-1][-pii.WORD :], *([" ".join(w[-pii.WORD :] for w in words[-2:])] if len(words) > 1 else [])] if words else []
+
+
+def _learnt(texts):
+    """A plain model of the bootstrapping: for each text, the (kind, start, end) of discovered spans."""
+    seen, where = {}, []
+    for i, t in enumerate(texts):
+        base = _personal(t)
+        for k, s, e in base:
+            for p in _contexts(t[:s]):
+                seen.setdefault(p, {}).setdefault(t[s:e], set()).add(pii.KINDS.index(k))
+        for m in re.finditer(r"[A-Za-z0-9_./#-]*[0-9][A-Za-z0-9_./#-]*", t or ""):
+            v = m[0].strip("_./#-")
+            s = m.start() + m[0].index(v)
+            if sum(c.isdigit() for c in v) >= 4 and not any(a < s + len(v) and s < b for _, a, b in base):
+                where.append((i, s, s + len(v), v))
+                for p in _contexts(t[:s]):
+                    seen.setdefault(p, {}).setdefault(v, set())
+    seeds = {}
+    for vs in seen.values():
+        for v, ks in vs.items():
+            for k in ks:
+                seeds.setdefault(v, [0.0] * 4)[k] = 1.0
+    known = dict(seeds)
+    for _ in range(pii.ROUNDS):
+        left = {}
+        for vs in seen.values():
+            free = sum(max(known.get(v, [0])) < pii.ACCEPT for v in vs)
+            good = [sum(known.get(v, [0] * 4)[k] >= pii.ACCEPT for v in vs) for k in range(4)]
+            conf = [g / (free + g + 1) if g >= pii.SUPPORT and g >= pii.CONFIDENCE * (free + g) else 0.0 for g in good]
+            for v in vs:
+                rest = left.setdefault(v, [1.0] * 4)
+                left[v] = [a * (1 - c) for a, c in zip(rest, conf)]
+        known = seeds | {v: [1 - x for x in r] for v, r in left.items() if v not in seeds and 1 - min(r) >= pii.ACCEPT}
+    out = {}
+    for i, s, e, v in where:
+        if v in known and v not in seeds:
+            out.setdefault(i, []).append((pii.FOUND[known[v].index(max(known[v]))], s, e))
+    return {i: sorted(x, key=lambda y: (pii.FOUND.index(y[0]), y[1])) for i, x in out.items()}
+
+
+def test_pii_discovers_what_a_plain_model_does(spark):
+    rnd = random.Random(13)
+    texts, planted = [], 0
+    for i in range(260):
+        head, way = _words(rnd, rnd.randint(0, 30), 400), rnd.choice((0, 0, 0, 0, 1, 1, 1, 1, 2, 3, 4, 5, 5, 5, 5, 6))
+        said = {
+            0: f"please write to u{i}@mail{i % 7}.org when",
+            1: f"the call went to +49 151 {rnd.randrange(10**6, 10**7)} and",
+            2: f"please write to member-{rnd.randrange(10**4, 10**6)}/x, as",
+            3: f"the call went to ext.{rnd.randrange(10**5, 10**6)} or",
+            4: f"a part of no {rnd.randrange(10**4, 10**5)} and #{rnd.randrange(10**4, 10**6)}-",
+            5: f"seen at host 10.{i % 256}.{rnd.randrange(256)}.{rnd.randrange(256)} and",
+            6: f"seen at host NODE-{rnd.randrange(10**4, 10**5)} and",
+        }[way]
+        planted += way in (2, 3, 6)
+        texts.append(f"{head} {said} {_words(rnd, rnd.randint(0, 20), 400)}")
+    texts += ["", "write to 12345@", "1234 " * 3, "é🙂 write to u@mail.org, then to AB-99881-C é"]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.FOUND] for r in pii.extract(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)).collect()}
+    want = _learnt(texts)
+    assert {i: x for i, x in got.items() if x} == want
+    hits = sum(len(x) for i, x in got.items() if i < 260)
+    assert planted > 30 and 0.9 * planted <= hits <= 1.05 * planted
+
+
+def test_pii_of_many_matches_and_odd_tables(spark):
+    many = " ".join(str(10000 + i) for i in range(40000)) + " a@b.cc" * 5000
+    docs = spark.createDataFrame([(1, many), (None, "x@y.zz"), (1, "x@y.zz")], DOCS).selectExpr("doc_id", "text", "doc_id as DOC_ID", "1 as TEXT", "2 as row", "3 as kind")
+    got = sorted((r.doc_id or 0, len(r.spans)) for r in pii.extract(docs).collect())
+    assert got == [(0, 1), (1, 1), (1, 5000)]
