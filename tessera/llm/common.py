@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -30,6 +32,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*out)
 
 
+def flattened(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1 ..., so that no names clash, and the place of each name: an exact match, else the first one in another case."""
+    at: dict[str, str] = {}
+    for i, c in enumerate(df.columns):
+        at.setdefault(c.lower(), f"c{i}")
+    at |= {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), at
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -38,10 +49,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark writes it: a number, and a unit of a power of 1024."""
+    m = re.fullmatch(r"\s*(-?[0-9]+)\s*([kmgtp]?)i?b?\s*", size.lower())
+    if m is None:
+        raise ValueError(f"not a size: {size!r}")
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
+
+
 def in_small_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound of Arrow batches to BATCH_BYTES: long texts fill a batch long before its rows do."""
+    """Lowers the session's bound of Arrow batches to BATCH_BYTES: long texts fill a batch long before its rows do. The bound is read when a
+    plan runs, which is after an operator has given its plan, so it stays lowered for the session."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "67108864b").rstrip("bB")) > BATCH_BYTES:
+    now = _bytes(spark.conf.get(key, "64m"))
+    if now <= 0 or now > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
@@ -65,20 +86,71 @@ def texts(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one with a local master, whose executors share
+    the machine; an error on a cluster, where tables in it would be incomplete."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Folders of the tables written since each open() of scratch, innermost last.
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: this cuts the lineage and survives lost executors."""
+    """The rows of df as a Parquet table in the shared folder: this cuts the lineage and survives lost executors. Names that differ by case only
+    are kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    flat = df if len({c.lower() for c in df.columns}) == len(df.columns) else flattened(df)[0]
+    flat.write.option("compression", "zstd").parquet(path)
+    if _open:
+        _open[-1].append(path)
+    back = spark.read.schema(flat.schema).parquet(path)
+    return back if flat is df else back.toDF(*df.columns)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that are written within it when it ends, but those that keep() names; nothing may read them later."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _open.pop())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, whose table outlives the scratch it was written in: it passes to the next one out, if there is one."""
+    if _open:
+        path = _open[-1].pop()
+        if len(_open) > 1:
+            _open[-2].append(path)
+    return df
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of written tables, in any store that Spark writes to."""
+    jvm = spark._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """left joined with right, which has a row for each key and in count the number of left's rows with it, of total in all. Keys with over a
+    100,000th of the rows, and 1000 at least, of which there are 100,000 at most, go to the rows by broadcast; so no task gets a hot key."""
+    cut = max(1000, total // 100_000)
+    hot = F.broadcast(right.where(F.col(count) > cut).withColumn("_hot", F.lit(True)))
+    rest = right.where(F.col(count) <= cut)
+    both = left.join(hot, on, "left")
+    cold = both.where("_hot is null").select(*left.columns).join(rest, on)
+    columns = [*left.columns, *[c for c in right.columns if c not in on]]
+    return both.where("_hot").select(*columns).unionByName(cold.select(*columns))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

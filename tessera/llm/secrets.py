@@ -4,23 +4,28 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, pick, split_by_size, texts
+from tessera.llm.common import documents, flattened, in_small_batches, split_by_size, texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
-#: Weak parts: what each looks like alone is common; kinds are listed after the base ones.
-WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|ABIA|ACCA)[A-Z0-9]{12,}|(?:client|account|access|user)_?(?:key_?)?id[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_-]{6,})", re.I | re.A)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/_-])")
+#: Weak parts: what each looks like alone is common; kinds are listed after the base ones. An identifier is a key's prefix or named by an
+#: assignment; a secret is a run of 20 characters or more, however long, with both cases of letters and a digit.
+NAMED_ID = r"(?:client|account|access|user)_?(?:key_?)?id[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_-]{6,})"
+WEAK_ID = re.compile(rf"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|ABIA|ACCA)[A-Z0-9]{{12,}}|{NAMED_ID}", re.I | re.A)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}")
+NAMED = re.compile(NAMED_ID, re.I | re.A)
 ENDPOINT = re.compile(r"(?:https?|s3|amqps?|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?)://[^\s\"'<>]+", re.A)
+#: What parts one block from the next: lines without a word.
+BLANK = re.compile(r"\n(?:[ \t\r]*\n)+")
 KINDS = (*BASE, "weak_id", "weak_secret", "endpoint")
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 #: Roles of which each completes the other.
@@ -36,35 +41,47 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def linked(text: str, base: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
-    """Weak parts with a completing part in the same scope: an interval join of the parts, widened by scope code points and
-    cut at blank lines, done by binary search in each role's sorted starts, so without making pairs."""
+def weak_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all weak parts that no base span touches. Inside an endpoint only the value of a parameter is a secret, and what an
+    assignment names an identifier is none."""
     weak = [(m.start(), m.end(), "weak_id") for m in WEAK_ID.finditer(text)]
     if "://" in text:
         weak += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
-    weak += [(m.start(), m.end(), "weak_secret") for m in WEAK_SECRET.finditer(text)] if weak or base else []
-    weak = _apart(weak, base)
+    if weak or base:
+        ends, ids = (_reach(sorted((s, e) for s, e, k in weak if k == kind)) for kind in ("endpoint", "weak_id"))
+        found = ((m.start(), m.end(), "weak_secret") for m in WEAK_SECRET.finditer(text))
+        weak += [w for w in found if not _meets(ids, w[0] + 1, w[1] - 1) and (text[w[0] - 1] == "=" or not _meets(ends, w[0] + 1, w[1] - 1))]
+    touched = _reach(sorted((s, e) for s, e, _ in base))
+    return [w for w in weak if not _meets(touched, w[0] + 1, w[1] - 1)]
+
+
+def linked(text: str, base: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
+    """Weak parts with a completing part in a scope of theirs: an interval join of parts and scopes by binary search in each role's
+    sorted starts, so without making pairs.
+
+    Scopes: a part's block, between blank lines, as far as scope code points from it; and for what an assignment names (an
+    identifier, a secret of kind assign) the whole text, where the other part is named as well. Either part completes the other.
+    """
+    weak = weak_spans(text, base)
     if not weak:
         return []
-    breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
+    cuts = [(m.start(), m.end()) for m in BLANK.finditer(text)]
+    begins, ends = [0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(text)]
     parts: dict[str, list[tuple[int, int]]] = {r: [] for r in COMPLETES}
     for s, e, kind in [*base, *weak]:
         parts[ROLE[kind]].append((s, e))
     reach = {r: _reach(sorted(p)) for r, p in parts.items()}
+    secret_named = any(k == "assign" for _, _, k in base)
     found = []
     for s, e, kind in weak:
-        i = bisect_left(breaks, s)
-        low, high = max(s - scope, breaks[i - 1] if i else 0), min(e + scope, breaks[i] if i < len(breaks) else len(text))
-        if any(_meets(reach[r], low, high) for r in COMPLETES[ROLE[kind]]):
+        i = bisect_right(begins, s) - 1
+        low, high = max(s - scope, begins[i] + 1), min(e + scope, ends[i] - 1)
+        near = any(_meets(reach[r], low, high) for r in COMPLETES[ROLE[kind]])
+        if near or kind == "weak_id" and secret_named and NAMED.match(text, s):
             found.append((s, e, kind))
     return found
 
 
-def _apart(weak, base):
-    starts, ends = _reach(sorted((s, e) for s, e, _ in base))
-    return [w for w in weak if not _meets((starts, ends), w[0] + 1, w[1] - 1)]
-
-
 def _reach(parts: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Sorted starts, and the farthest end so far."""
     ends, most = [], -1
@@ -88,8 +105,10 @@ def spans_of(text: str, scope: int = 200) -> list[tuple[int, int, str]]:
 def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     """Every whole text's secrets: doc_id and spans, an array of (kind, start, end) in code points by start, then kind.
 
+    Base spans are found by the plain patterns alone; weak ones are reported only where complementary parts meet in a scope, as linked() has it.
     Null and empty texts have none. Each row is scanned on its own, so rows that repeat repeat their result, and an
-    empty table gives none. Spans of different kinds may overlap; weak ones never overlap base ones.
+    empty table gives none; a null doc_id stays null; other columns are ignored. Spans of different kinds may overlap, as a secret that is a
+    parameter of an endpoint; weak ones never overlap base ones. Equal starts go by kind, as listed in KINDS.
     """
 
     def run(batches):
@@ -104,7 +123,7 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
 def redact(docs: DataFrame, scope: int = 200, mask: str = "[SECRET]") -> DataFrame:
     """docs with each run of overlapping secret spans in text replaced by mask; n_chars, if there, is counted anew.
 
-    Rows and all other columns stay as they are, null texts stay null.
+    Rows and all other columns stay as they are, whatever their names; null texts stay null; a table without text stays as it is.
     """
 
     def mask_one(x: str | None) -> str | None:
@@ -120,8 +139,14 @@ def redact(docs: DataFrame, scope: int = 200, mask: str = "[SECRET]") -> DataFra
     def masked(s: pd.Series) -> pd.Series:
         return pd.Series([mask_one(x) for x in s], dtype=object)
 
-    out = docs.withColumn("text", masked(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    in_small_batches(docs.sparkSession)
+    flat, at = flattened(docs)
+    if "text" not in at:
+        return docs
+    flat = flat.withColumn(at["text"], masked(F.col(at["text"]).cast("string")))
+    if "n_chars" in at:
+        flat = flat.withColumn(at["n_chars"], F.length(at["text"]).cast(flat.schema[at["n_chars"]].dataType))
+    return flat.toDF(*docs.columns)
 
 
 def _merged(spans):
@@ -150,4 +175,5 @@ def digest(docs: DataFrame, scope: int = 200) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pick(documents(spark, sf_dir), "doc_id", "text"))
+    """digest() of every document; nulls, ties and repeated rows as in scan()."""
+    return digest(documents(spark, sf_dir))
