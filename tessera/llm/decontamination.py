@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buffers, documents, mix, pick, shingles, split_by_size, texts, words
+from tessera.llm.common import buffers, documents, mix, pick, shingles, split_by_size, texts, words, written
 
 K1, B = 1.2, 0.75
 #: A passage is retrieved for an item from this share of the item's score for its own text.
@@ -20,14 +22,44 @@ BLOCK, INDEX_ITEMS = 8, 1024
 SENT_BYTES = 8 << 20
 
 
+@dataclass
+class Statistics:
+    """Of all items, whatever share of them an index holds: their number, mean and largest number of words, and for sorted terms the number of items that have them."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[str]) -> Statistics:
+        h, _, _, before = words(*buffers(pa.array(items, pa.string())))
+        n = np.diff(before)
+        own = _each(h, before)[0]
+        terms, df = np.unique(own, return_counts=True)
+        return cls(len(items), float(n.mean()) if len(n) else 0.0, int(n.max()) if len(n) else 0, terms, df)
+
+
+def _each(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each text, and their texts."""
+    of = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)]
+    return h[new], of[new]
+
+
 class Index:
     """An inverted index: for each term, items in order with their BM25 weights, and the largest weight in each block of items.
 
     Weights are divided by what their item needs, so an item is retrieved at a sum of 1. Items that share their most
-    frequent term stand together, which keeps the blocks' largest weights close to the items'.
+    frequent term stand together, which keeps the blocks' largest weights close to the items'. Document frequencies, the mean
+    length and the passages' length are those of all items (seen), so an item's scores don't depend on what shares its index.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], seen: Statistics | None = None):
+        seen = seen or Statistics.of([t for _, t in items])
         h, _, _, before = words(*buffers(pa.array([t for _, t in items], pa.string())))
         common = dict(zip(*np.unique(h, return_counts=True)))
         most = [max(((common[w], w) for w in h[a:b]), default=(0, 0)) for a, b in zip(before, before[1:])]
@@ -36,7 +68,7 @@ class Index:
         self.ids = [i for i, _ in items]
         h, _, _, before = words(*buffers(pa.array([t for _, t in items], pa.string())))
         n = np.diff(before)
-        self.length = int(n.max()) if len(n) else 0
+        self.length = seen.longest
         of = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((of, h))
         term, item = h[order], of[order]
@@ -46,8 +78,9 @@ class Index:
         self.terms, start = np.unique(term, return_index=True)
         self.start, self.item = np.append(start, len(term)), item
         df = np.diff(self.start)
-        idf = np.log(1 + (len(n) - df + 0.5) / (df + 0.5))
-        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(1.0, n.mean()))) if len(term) else np.zeros(0)
+        everywhere = seen.df[np.searchsorted(seen.terms, self.terms)]
+        idf = np.log(1 + (seen.n - everywhere + 0.5) / (everywhere + 0.5))
+        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(1.0, seen.mean))) if len(term) else np.zeros(0)
         self.own = np.bincount(item, weight, minlength=len(n)) if len(term) else np.zeros(len(n))
         self.weight = weight / np.maximum(SHARE * self.own[item], 1e-9)
         self.block = np.zeros((len(self.terms), -(-len(n) // BLOCK)), np.float32)
@@ -140,26 +173,50 @@ class Index:
         return out
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+def statistics(rows: DataFrame) -> tuple[DataFrame, tuple[int, float, int]]:
+    """Of all items (text): (term, n), the number of items with each term, written; and the number, mean and largest number of words of items."""
+
+    def run(batches):
+        for b in split_by_size(batches, "text"):
+            h, _, _, before = words(*buffers(b.column(0)))
+            terms, n = np.unique(_each(h, before)[0], return_counts=True)
+            size = np.diff(before)
+            yield pa.record_batch([pa.array(np.append(terms.view(np.int64), 0)), pa.array(np.append(n, len(size))), pa.array(np.append(np.zeros(len(n), np.int64), size.sum())), pa.array(np.append(np.full(len(n), -1), size.max()))], names=["term", "n", "words", "longest"])
+
+    counts = written(rows.select("text").mapInArrow(run, "term long, n long, words long, longest long"), "item-terms")
+    n, total, longest = counts.where("longest >= 0").agg(F.sum("n"), F.sum("words"), F.max("longest")).first()
+    return written(counts.where("longest < 0").groupBy("term").agg(F.sum("n").alias("n")), "item-frequencies"), (n or 0, (total or 0) / max(1, n or 0), longest or 0)
+
+
+def contamination(docs: DataFrame, items: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """doc_id, item_id, score, question and answer of each document and test item that it holds: the best passage's BM25 score
     and the shares of the item's n-grams in it. Documents without a hit have no row.
 
-    The items' size is read first; shares of SENT_BYTES of text at most are sent to the executors, each read against all
-    documents, so what is sent at once is bounded, however many items there are.
+    Document frequencies, mean length and passage length are counted over all items first. The items' size is read; shares of sent_bytes
+    of text at most are sent to the executors, each with the frequencies of its own terms, and read against all documents, so what is sent at
+    once is bounded, however many items there are, and a score is the same with any number of shares. Each share is a pass over the documents.
     Every passage of every whole text is a query. Null and empty texts or items match nothing; equal items are found
-    each; documents that repeat are found each; empty tables give no rows; other columns are ignored.
+    each; documents that repeat are found each; a null doc_id or item_id stays null; empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = pick(items, "item_id", "text").select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = max(1, -(-size // SENT_BYTES))
+    parts = max(1, -(-size // sent_bytes))
+    frequencies, (n, mean, longest) = statistics(rows)
     out = None
     for p in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         got = [(r[0], r[1]) for r in own.orderBy("item_id", "text").toLocalIterator()]
-        sent = spark.sparkContext.broadcast([Index(got[i : i + INDEX_ITEMS]) for i in range(0, len(got), INDEX_ITEMS)])
+        h = np.unique(words(*buffers(pa.array([t for _, t in got], pa.string())))[0])
+        few = frequencies
+        if parts > 1:
+            few = frequencies.join(spark.createDataFrame(pa.table({"term": h.view(np.int64)})), "term", "left_semi")
+        df = few.toArrow()  # the terms of a share
+        order = np.argsort(df.column("term").to_numpy().view(np.uint64))
+        seen = Statistics(n, mean, longest, df.column("term").to_numpy().view(np.uint64)[order], df.column("n").to_numpy()[order])
+        sent = spark.sparkContext.broadcast([Index(got[i : i + INDEX_ITEMS], seen) for i in range(0, len(got), INDEX_ITEMS)])
         found = _against(docs, sent)
-        out = found if out is None else out.union(found)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -183,4 +240,5 @@ def _against(docs: DataFrame, sent) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contamination() of all documents by all items of benchmark; nulls, ties and repeated rows as there."""
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -126,7 +126,8 @@ def test_index_finds_what_full_scoring_finds():
     from tessera.llm.common import buffers, words
 
     rnd = random.Random(9)
-    index = decontamination.Index([(i, _words(rnd, rnd.randint(5, 40), 400)) for i in range(50)])
+    items = [(i, _words(rnd, rnd.randint(5, 40), 400)) for i in range(50)]
+    index = decontamination.Index(items)
     h, _, _, before = words(*buffers(pa.array([_words(rnd, 900, 400) for _ in range(5)])))
     got = {(t, a, i): s for t, a, _, i, s in index.passages(h, before)}
     step, want = index.length, {}
@@ -554,3 +555,20 @@ def test_secrets_of_odd_tables(spark):
     assert out.columns == both.columns
     rows = [tuple(r) for r in out.collect()]
     assert {(r[0], r[1], r[2]) for r in rows} == {(None, "[SECRET]", 8), (1, None, None), (1, "[SECRET] " * 20000, 180000)}
+
+
+def test_scores_do_not_depend_on_shares(spark):
+    rnd = random.Random(15)
+    items = spark.createDataFrame([(i, _words(rnd, rnd.randint(8, 60), 300)) for i in range(90)] + [(None, _words(rnd, 20)), (3, None)], "item_id long, text string").repartition(3)
+    own = [r.text for r in items.collect() if r.text]
+    docs = spark.createDataFrame([(i, f"{_words(rnd, rnd.randint(0, 300), 300)} {rnd.choice(own)} {_words(rnd, 40, 300)}") for i in range(60)] + [(None, own[0]), (7, own[1] * 2)], DOCS).selectExpr("doc_id", "text", "1 as score", "2 as TEXT", "3 as item_id")
+    size = sum(len(t.encode()) + 16 for t in own)
+    seen = []
+    for sent in (1 << 20, size // 9):
+        got = decontamination.contamination(docs, items, sent).collect()
+        seen.append(sorted((r.doc_id or -1, r.item_id if r.item_id is not None else -1, round(r.score, 9), r.question, r.answer) for r in got))
+    assert seen[0] == seen[1] and len(seen[0]) >= 60 and seen[0][0][0] == -1
+    stats = decontamination.Statistics.of(own)
+    frequencies, (n, mean, longest) = decontamination.statistics(items.where("text is not null").select("text"))
+    assert (n, longest) == (stats.n, stats.longest) and abs(mean - stats.mean) < 1e-9
+    assert {r.term % 2**64: r.n for r in frequencies.collect()} == dict(zip(stats.terms.tolist(), stats.df.tolist()))
