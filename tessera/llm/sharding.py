@@ -2,64 +2,99 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, texts, written
 
+#: Buckets that one window of running sums covers; sums over these windows are a second, short level.
+LEVEL = 4096
+
+
+def scattered(docs: DataFrame, seed: int, n: int) -> DataFrame:
+    """doc_id, text and bucket of each row of texts: a seeded hash of the row, so that the same rows go to the same buckets in whatever order they
+    come. Rows of which over a 100,000th of all are the same, and 1000 at least, are counted and spread by a number of their own each."""
+    key = F.xxhash64(F.lit(seed), "doc_id", "text")
+    keyed = docs.withColumn("_key", key)
+    total = docs.count()
+    hot = written(keyed.groupBy("_key").count().where(F.col("count") > max(1000, total // 100_000)).select("_key"), "hot-rows")
+    cold = keyed.join(F.broadcast(hot), "_key", "left_anti").select("doc_id", "text", F.pmod("_key", F.lit(n)).alias("bucket"))
+    if hot.isEmpty():
+        return cold
+    each = keyed.join(F.broadcast(hot), "_key").groupBy("doc_id", "text").count()  # 100,000 hot rows at most, counted in part before the shuffle
+    each = each.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("_copy"))
+    spread = each.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", "_copy"), F.lit(n)).alias("bucket"))
+    return cold.unionByName(spread)
+
 
-def buckets_of(docs: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
-    """Both passes: doc_id, text, bucket and place, written in the shared folder in the order of the shuffle.
+def starts(counts: DataFrame) -> DataFrame:
+    """bucket and before, the rows in all buckets before it, from (bucket, count): running sums within LEVEL buckets, and over these."""
+    level = F.expr(f"bucket div {LEVEL}").alias("level")
+    own = counts.select("bucket", "count", level)
+    up_to = Window.unboundedPreceding, -1
+    high = own.groupBy("level").agg(F.sum("count").alias("all"))
+    high = high.select("level", F.coalesce(F.sum("all").over(Window.orderBy("level").rowsBetween(*up_to)), F.lit(0)).alias("base"))  # a row for LEVEL buckets
+    within = F.coalesce(F.sum("count").over(Window.partitionBy("level").orderBy("bucket").rowsBetween(*up_to)), F.lit(0))
+    return own.withColumn("within", within).join(high, "level").select("bucket", (F.col("base") + F.col("within")).alias("before"))
 
-    Pass 1 scatters rows by a seeded hash of the row into as many buckets as keep each near bucket_bytes, so a
-    task's memory is bounded. Pass 2 puts a bucket in an order of its own (id, text), so that the result doesn't
-    depend on how rows came, then shuffles it by Fisher and Yates with a generator seeded by seed and bucket, and writes it.
+
+def shuffled(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """Both passes: doc_id, text, bucket and row, its place in the whole shuffle, written in the shared folder in that order; and the number of rows.
+
+    Pass 1 scatters rows into as many buckets as keep each near bucket_bytes, a partition for each, so a task's memory is bounded. What
+    stands before a bucket goes to it as a row among its rows, so nothing is collected or broadcast. Pass 2 puts a bucket in an order
+    of its own (id, text), so that the result doesn't depend on how rows came, then shuffles it by Fisher and Yates with a generator
+    seeded by seed and bucket, and writes it.
     """
     docs = texts(docs)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-total // bucket_bytes))
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.count("*")).first()
+    n = max(1, -(-size // bucket_bytes))
+    dealt = scattered(docs, seed, n)
 
-    def shuffle(key, table):
-        bucket = key[0].as_py()
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    def one(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        before = table.column("before")
+        base = next(x for x in before.to_pylist() if x is not None)
+        table = table.filter(before.is_null()).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         rng = np.random.Generator(np.random.PCG64([seed, bucket]))
         order = np.arange(table.num_rows)
         for i, j in zip(range(len(order) - 1, 0, -1), rng.integers(0, np.arange(len(order), 1, -1))):
             order[i], order[j] = order[j], order[i]
         table = table.take(pa.array(order))
-        return pa.table([table.column("doc_id"), table.column("text"), pa.array(np.full(len(order), bucket, np.int64)), pa.array(np.arange(len(order)))], names=["doc_id", "text", "bucket", "place"])
+        return table.select(["doc_id", "text", "bucket"]).append_column("row", pa.array(base + np.arange(len(order), dtype=np.int64)))
+
+    def shuffle(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        del got
+        buckets = table.column("bucket").to_numpy()
+        for b in np.unique(buckets):  # one, unless partitions were merged
+            yield from one(table.filter(pa.array(buckets == b))).to_batches()
 
-    # the text takes part, so that rows of one id are scattered as well
-    scattered = docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(n)))
-    # as many partitions as buckets, so a task's share doesn't grow with the input
-    return written(scattered.repartition(n, "bucket").groupBy("bucket").applyInArrow(shuffle, "doc_id long, text string, bucket long, place long"), "shuffled")
+    head = starts(dealt.groupBy("bucket").count()).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"), "bucket", "before")
+    both = dealt.withColumn("before", F.lit(None).cast("long")).unionByName(head)
+    placed = both.repartitionById(n, F.col("bucket").cast("int")).mapInArrow(shuffle, "doc_id long, text string, bucket long, row long")
+    return written(placed, "shuffled"), rows
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """Rows of the shuffled buckets with shard and slot: row counts of shards differ by one at most (law `rows`).
+    """doc_id, text, bucket, shard and slot of each row of docs: row counts of shards differ by one at most (law `rows`).
 
     The shuffled order is bucket after bucket; row i of N goes to shard i * shards // N. Null texts are empty. Rows
-    that repeat keep a slot each. An empty table gives no rows. Other columns are ignored. What is
-    collected is one count a bucket, so a number for each bucket_bytes of text.
+    that repeat keep a slot each, and many equal ones spread over the buckets. A null doc_id stays null. An empty table gives no rows. Other
+    columns are ignored. The driver holds two numbers, of bytes and of rows.
     """
-    out = buckets_of(docs, seed, bucket_bytes)
-    counts = out.groupBy("bucket").count().orderBy("bucket").collect()
-    before = np.concatenate([[0], np.cumsum([c for _, c in counts])]).astype(int)
-    total = int(before[-1])
-    starts = out.sparkSession.createDataFrame([(int(b), int(x)) for (b, _), x in zip(counts, before)] or [(0, 0)], "bucket long, before long")
-    first = [-(-s * total // shards) for s in range(shards + 1)]
-    row = F.col("before") + F.col("place")
-    ranked = out.join(F.broadcast(starts), "bucket").withColumn("row", row)
-    of = F.lit(0)
-    for s in range(1, shards):
-        of = F.when(F.col("row") >= first[s], s).otherwise(of)
-    begin = F.element_at(F.array(*[F.lit(x) for x in first]), F.col("shard") + 1)
-    return ranked.withColumn("shard", of.cast("int")).withColumn("slot", (F.col("row") - begin).cast("long")).drop("row", "before")
+    out, total = shuffled(docs, seed, bucket_bytes)
+    out = out.withColumn("shard", F.expr(f"(row * {shards}L) div {max(1, total)}L").cast("int"))
+    begin = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
+    return out.withColumn("slot", F.col("row") - begin).drop("row")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard() of all documents by the law `rows`; nulls, ties and repeated rows as there."""
     rows = shard(documents(spark, sf_dir))
     return rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

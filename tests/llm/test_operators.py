@@ -572,3 +572,24 @@ def test_scores_do_not_depend_on_shares(spark):
     frequencies, (n, mean, longest) = decontamination.statistics(items.where("text is not null").select("text"))
     assert (n, longest) == (stats.n, stats.longest) and abs(mean - stats.mean) < 1e-9
     assert {r.term % 2**64: r.n for r in frequencies.collect()} == dict(zip(stats.terms.tolist(), stats.df.tolist()))
+
+
+def test_sharding_spreads_equal_rows(spark):
+    rows = [(1, "same text here")] * 3000 + [(i, f"t{i}") for i in range(500)] + [(None, None)] * 40
+    docs = spark.createDataFrame(rows, DOCS).repartition(5).selectExpr("doc_id", "text", "1 as bucket", "2 as TEXT", "3 as row")
+    got = sharding.shard(docs, shards=5, bucket_bytes=20000)
+    held = Counter(r.bucket for r in got.collect())
+    assert len(held) > 8 and max(held.values()) < 2 * sum(held.values()) / len(held)
+    rows_ = sorted((r.shard, r.slot, -1 if r.doc_id is None else r.doc_id, r.text) for r in got.collect())
+    assert Counter((d if d >= 0 else None, t) for _, _, d, t in rows_) == Counter((d, t or "") for d, t in rows)
+    assert Counter(s for s, *_ in rows_) == Counter({i: 708 for i in range(5)})
+    again = sharding.shard(docs.repartition(9), shards=5, bucket_bytes=20000)
+    assert rows_ == sorted((r.shard, r.slot, -1 if r.doc_id is None else r.doc_id, r.text) for r in again.collect())
+
+
+def test_running_sums_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEVEL", 3)
+    rnd = random.Random(2)
+    counts = {b: rnd.randint(1, 9) for b in rnd.sample(range(40), 25)}
+    got = {r.bucket: r.before for r in sharding.starts(spark.createDataFrame(list(counts.items()), "bucket long, count long")).collect()}
+    assert got == {b: sum(n for x, n in counts.items() if x < b) for b in counts}
