@@ -127,6 +127,8 @@ def digest(turns: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest() of all conversations and of conversation -7, read back from the formatted tokens; nulls, ties and repeated rows as in format_turns(). A
+    conversation is hashed in order, so its rows, and all rows without conv_id, meet in one task, which sorts them on disk."""
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")

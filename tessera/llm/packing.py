@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, split_by_size, texts
 from tessera.llm.tokens import byte_ids
 
-_TAILS = "doc_id long, doc_tokens long, start long, length long, ids binary, crc long"
+_TAILS = "doc_id long, doc_tokens long, start long, length long, ids binary, crc long, copy long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
@@ -49,28 +49,31 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     """Packs the ids of every whole text, with end_id after it, into sequences of window tokens at most.
 
     Whole windows of long documents are sequences of their own. What is left of each document goes to one of the
-    groups of about group_docs documents, by a hash of the id, and is balanced within it, so a task's memory is bounded by the
-    group, and less than a window is padded in each group. Null and empty texts are one token. Documents that
-    repeat are packed each time. An empty table gives no piece. Other columns are ignored. Losing an executor
+    groups of about group_docs documents, by a hash of its id, its tokens and how many of the same its task met before, and is balanced
+    within it; so rows with one id, or none, or the same rows many times, spread over the groups, a task's memory is bounded by the
+    group, and less than a window is padded in each group. Null and empty texts are one token; a null doc_id stays null. Documents that
+    repeat are packed each time; equal pieces go by id, then start. An empty table gives no piece. Other columns are ignored. Losing an executor
     repeats its tasks with the same result, as groups don't depend on the order of rows.
     """
     docs = texts(docs)
     groups = max(1, -(-docs.count() // group_docs))
 
     def encode(batches):
-        enc = byte_ids(vocabulary)
+        enc, met = byte_ids(vocabulary), {}
         for b in split_by_size(batches, "text"):
-            rows = [[] for _ in range(6)]
+            rows = [[] for _ in range(7)]
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.append(np.frombuffer(enc.ids(x), np.uint16), np.uint16(end_id))
                 full = len(ids) // window * window
+                own = hash((d, x))
+                met[own] = copy = met.get(own, -1) + 1
                 for s in range(0, full, window):
-                    for r, v in zip(rows, (d, len(ids), s, window, None, zlib.crc32(ids[s : s + window].astype("<u4").tobytes()))):
+                    for r, v in zip(rows, (d, len(ids), s, window, None, zlib.crc32(ids[s : s + window].astype("<u4").tobytes()), copy)):
                         r.append(v)
                 if full < len(ids):
-                    for r, v in zip(rows, (d, len(ids), full, len(ids) - full, ids[full:].tobytes(), None)):
+                    for r, v in zip(rows, (d, len(ids), full, len(ids) - full, ids[full:].tobytes(), None, copy)):
                         r.append(v)
-            yield pa.record_batch([pa.array(r, t) for r, t in zip(rows, (pa.int64(),) * 4 + (pa.binary(), pa.int64()))], names=["doc_id", "doc_tokens", "start", "length", "ids", "crc"])
+            yield pa.record_batch([pa.array(r, t) for r, t in zip(rows, (pa.int64(),) * 4 + (pa.binary(), pa.int64(), pa.int64()))], names=["doc_id", "doc_tokens", "start", "length", "ids", "crc", "copy"])
 
     def place(key, table):
         group = key[0].as_py()
@@ -90,11 +93,12 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
         return pa.table(columns, names=names)
 
     tails = docs.mapInArrow(encode, _TAILS)
-    group = F.when(F.col("crc").isNull(), F.xxhash64("doc_id", "doc_tokens")).otherwise(F.xxhash64("doc_id", "start"))
-    return tails.withColumn("grp", F.pmod(group, F.lit(groups))).groupBy("grp").applyInArrow(place, _PIECES)
+    group = F.xxhash64("doc_id", "doc_tokens", "start", F.coalesce("crc", F.xxhash64("ids")), "copy")
+    return tails.withColumn("grp", F.pmod(group, F.lit(groups))).drop("copy").groupBy("grp").applyInArrow(place, _PIECES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents' ids by byte_bpe_50k.json into sequences of 2048; nulls, ties and repeated rows as there."""
     import public_tokenizers
 
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

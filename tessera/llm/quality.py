@@ -23,7 +23,7 @@ LEAST_RATIO = 1.35
 SYMBOLS = 0.01
 #: Bands that are sent to all executors, at most; more go by a shuffled join.
 MOST_LANGUAGES = 100_000
-_START = 2  # stands before a text's first byte
+_START = 0xFF  # stands before a text's first byte; no UTF-8 text holds it
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 
@@ -131,7 +131,7 @@ class KneserNey:
         for n, (lang, gram, c) in enumerate(counts, 1):
             ctx = self.key(n - 1, lang, gram >> np.uint64(8)) if n > 1 else self.key(0, lang, gram * np.uint64(0))
             uniq, at = np.unique(ctx, return_inverse=True)
-            d = discounts[n - 1] if discounts else self.discounts([[int(((c == k) & (lang == i)).sum()) for k in (1, 2, 3, 4)] for i in range(len(langs))])
+            d = discounts[n - 1] if discounts else self.discounts(np.bincount(lang * 5 + np.minimum(c, 5) - 1, minlength=5 * len(langs)).reshape(-1, 5)[:, :4].tolist())
             total = np.bincount(at, c)
             taken = d[lang, np.minimum(c, 3)]
             left = np.bincount(at, taken) / total
@@ -319,4 +319,5 @@ def banded(out: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all documents; nulls, ties and repeated rows as there."""
     return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_ppl", "low", "high")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from heapq import heapify, heappop, heappush
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,23 +14,25 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, split_by_size, texts
 
 SEP = "\x1f"
-#: Entries of a worker's cache; it is emptied when full, so memory is bounded and results don't change.
-CACHE = 1_500_000
+#: Bytes of a worker's cache, keys, values and table; it is emptied when full, so memory is bounded and results don't change.
+CACHE_BYTES = 192 << 20
 LONGEST_CACHED = 48
 
 
 class Cache(dict):
     """What f gives for short segments."""
 
-    def __init__(self, f, most: int):
+    def __init__(self, f, most: int = CACHE_BYTES):
         super().__init__()
-        self.f, self.most = f, most
+        self.f, self.most, self.held = f, most, 0
 
     def __missing__(self, part: str):
         got = self.f(part)
         if len(part) <= LONGEST_CACHED:
-            if len(self) >= self.most:
+            self.held += 104 + getsizeof(part) + getsizeof(got)  # a dictionary's slot takes 104 at most
+            if self.held > self.most:
                 self.clear()
+                self.held = 0
             self[part] = got
         return got
 
@@ -54,7 +57,7 @@ class PieceCounter:
         letter = rf"[^\W\d_{re.escape(''.join(a for a, b in joined if b in '.,' and re.match(r'[^\W\d_]', a)))}]"
         self.odd = re.compile(rf"(?<!{letter})[.,]|  ")
         self.cut = re.compile(rf"(?<={letter})(?=[.,])|(?<=[^ ])(?= )|(?<=\n)|(?=\n)")
-        self.cache = Cache(lambda p: self.merge(p.replace(" ", "▁")) if p else 0, CACHE)
+        self.cache = Cache(lambda p: self.merge(p.replace(" ", "▁")) if p else 0)
 
     def merge(self, s: str) -> int:
         """Pieces of one segment, spaces as U+2581 already."""
@@ -122,6 +125,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts() of all documents by piece_bpe_32k.model; nulls and repeated rows as there."""
     import public_tokenizers
 
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
@@ -152,7 +156,7 @@ class ByteIds:
         assert max([*ranks.values(), *special.values()]) < 65536
         self.special = list(special)
         self.enc = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.cache = Cache(lambda p: array("H", self.enc.encode_ordinary(p)).tobytes(), CACHE // 2)
+        self.cache = Cache(lambda p: array("H", self.enc.encode_ordinary(p)).tobytes())
 
     def ids(self, text: str, special: bool = True) -> bytes:
         """special: whether special strings inside the text become their ids, as the library does by default."""
