@@ -300,6 +300,7 @@ def test_buckets_cut_into_blocks_lose_no_link(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(neardup, "BLOCK", 7)
     monkeypatch.setattr(neardup, "SURE", 0.25)  # all links are left to the buckets
+    rows += [(100 + i, " ".join(base[: 60 + i])) for i in range(91)]  # sizes of a factor of 2.6, each linked to the next
     assert {r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == {0}
 
 
@@ -593,3 +594,33 @@ def test_running_sums_of_buckets(spark, monkeypatch):
     counts = {b: rnd.randint(1, 9) for b in rnd.sample(range(40), 25)}
     got = {r.bucket: r.before for r in sharding.starts(spark.createDataFrame(list(counts.items()), "bucket long, count long")).collect()}
     assert got == {b: sum(n for x, n in counts.items() if x < b) for b in counts}
+
+
+def test_near_duplicates_of_repeated_ids_and_odd_columns(spark):
+    rnd = random.Random(16)
+    a, b, c, d = (_words(rnd, 60) for _ in range(4))
+    rows = [(5, a), (5, b), (5, None), (7, b), (3, a + " x"), (9, c), (None, c + " y"), (None, d), (None, None), (11, d + " z"), (12, "é " * 30000), (13, "é " * 30000)]
+    want = [(3, 3), (5, 3), (5, 3), (5, 5), (7, 3), (9, 9), (11, 11), (12, 12), (13, 12), (None, None), (None, None), (None, None)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, DOCS).repartition(parts).selectExpr("doc_id", "text", "1 as node", "2 as TEXT", "3 as class_id", "4 as n")
+        got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0))
+        assert got == want
+
+
+def test_pairs_in_bands_reach_the_stated_recall():
+    """Of pairs of similarity 0.8 or more, those that share a band: 0.9 of them at least, at the threshold itself as well."""
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+    n, cells, of, sims = 400, [], [], []
+    for i in range(n):
+        own = rng.integers(0, 2**63, 240).astype(np.uint64)
+        both = int(rng.integers(214, 238))  # similarities of 0.8 to 0.98
+        two = np.concatenate([own[:both], rng.integers(0, 2**63, 240 - both).astype(np.uint64)])
+        cells += [own, two]
+        of += [np.full(240, 2 * i), np.full(240, 2 * i + 1)]
+        sims.append(both / (480 - both))
+    sig = neardup.signatures(np.concatenate(cells), np.concatenate(of), 2 * n, neardup.BANDS * neardup.ROWS)
+    same = (sig[::2] == sig[1::2]).reshape(n, neardup.BANDS, neardup.ROWS).all(axis=2).any(axis=1)
+    sims = np.array(sims)
+    assert same[sims >= 0.8].mean() > 0.99 and same[(sims >= 0.8) & (sims < 0.84)].mean() > 0.95
