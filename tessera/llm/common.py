@@ -116,23 +116,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Deletes the tables that are written within it when it ends, but those that keep() names; nothing may read them later."""
+    """The list of the tables written within it; those that are still in it when it ends are deleted, so nothing may read them later."""
     _open.append([])
     try:
-        yield
+        yield _open[-1]
     finally:
         delete(spark, _open.pop())
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df, whose table outlives the scratch it was written in: it passes to the next one out, if there is one."""
-    if _open:
-        path = _open[-1].pop()
-        if len(_open) > 1:
-            _open[-2].append(path)
-    return df
-
-
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders of written tables, in any store that Spark writes to."""
     jvm = spark._jvm

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buffers, documents, in_small_batches, mix, pick, shingles, split_by_size, words, written
+from tessera.llm.common import buffers, documents, flattened, in_small_batches, mix, pick, shingles, split_by_size, words, written
 
 #: Bytes of an n-gram, at every size; and the longest n-grams a share of the model may have: with more, the model is cut into shares
 #: of half as many on average, which are built, sent and applied one after the other.
@@ -297,11 +297,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. Texts are scored once, in a written table; bands are read from its scores alone."""
-    names = {n: f"c{docs.columns.index(n)}" for n in ("text", "lang")}
-    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    out = written(scored(flat, train(_normal(docs)), names["text"], names["lang"]), "scored").withColumn("lang", F.coalesce(names["lang"], F.lit("")))
-    return banded(out).where("kept").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
+    """The rows of docs that judge() keeps, with all their columns, whatever their names; a missing text is null, a missing language the empty one.
+    Texts are scored once, in a written table; bands are read from its scores alone."""
+    flat, at = flattened(docs)
+    seen = flat.withColumns({"_text": F.col(at["text"]).cast("string") if "text" in at else F.lit(None).cast("string"), "_lang": F.coalesce(F.col(at["lang"]).cast("string"), F.lit("")) if "lang" in at else F.lit("")})
+    out = written(scored(seen, train(_normal(docs)), "_text", "_lang"), "scored").withColumn("lang", F.col("_lang"))
+    return banded(out).where("kept").select(*flat.columns).toDF(*docs.columns)
 
 
 def banded(out: DataFrame) -> DataFrame:
