@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The shares of the six signals.
@@ -62,6 +62,18 @@ def first_of(text: Column) -> Column:
     return F.try_element_at(json_list(text), F.lit(1))
 
 
+def fresh_for(asked: DataFrame, mem: DataFrame, as_of: str) -> DataFrame:
+    """asked (with kind, a type of query) with valid and invalid, the numbers of memories that are young enough for its kind and that are not, and
+    needs_tool. Memories are counted once, for the few kinds there are."""
+    from tessera.functions import text as X
+
+    age = age_hours(parsed(F.col("when_ts")), as_of)
+    counts = mem.agg(*[F.count(F.when(age <= float(h), 1)).alias(k) for k, h in X.VALID_HOURS.items()], F.count("*").alias("_all"))
+    by = counts.select("_all", F.explode(F.create_map(*[x for k in X.VALID_HOURS for x in (F.lit(k), F.col(k))])).alias("kind", "valid"))
+    rows = asked.join(F.broadcast(by), "kind").withColumn("invalid", F.col("_all") - F.col("valid")).drop("_all")  # a row for each kind
+    return rows.withColumn("needs_tool", (F.col("valid") == 0) & F.col("kind").isin(*X.TIME_SENSITIVE))
+
+
 def usage(accesses: Column, full: float = 50.0) -> Column:
     return F.least(F.lit(1.0), F.coalesce(accesses, F.lit(0)) / F.lit(full))
 

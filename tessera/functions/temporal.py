@@ -9,8 +9,25 @@ from tessera.functions.text import contains_any
 
 #: What is removed from a query, in this order.
 PHRASES = ("yesterday", "today", "last week", "last month", "last year", "ago", "recent", "recently", "earlier", "before", "previous", r"\d{4}-\d{2}-\d{2}", r"\d+\s+(day|week|month|year)s?\s+ago")
+#: A number of units ago; days back to the first and the last day of a relative date, and the rows it takes at most; rows of other dates.
 _AGO = r"(\d+)\s+(day|week|month|year)s?\s+ago"
 
+RELATIVE = {"today": (0, 0, 200), "yesterday": (1, 1, 200), "last_week": (7, 0, 300), "last_month": (30, 0, 500), "last_year": (365, 0, 1000)}
+DATE_CAP = 500
+
+
+def window(hint: Column, as_of: str) -> Column:
+    """first and last day and the row cap of a hint (as hint() gives it); relative words that RELATIVE lacks mean the last week; nulls for no hint."""
+    day = F.lit(as_of[:10]).cast("date")
+    made = lambda first, last, cap: F.struct(first.alias("first"), last.alias("last"), F.lit(cap).alias("cap"))
+    word = lambda w: made(F.date_sub(day, RELATIVE[w][0]), F.date_sub(day, RELATIVE[w][1]), RELATIVE[w][2])
+    relative = word("last_week")
+    for w in RELATIVE:
+        relative = F.when(hint["value"] == w, word(w)).otherwise(relative)
+    none = F.lit(None).cast("date")
+    dates = F.when(hint["first"].isNotNull(), made(F.try_to_date(hint["first"]), F.try_to_date(hint["last"]), DATE_CAP))
+    return F.coalesce(F.when(hint["kind"] == "relative", relative), dates, made(none, none, DATE_CAP))
+
 
 def hint(text: Column, as_of: str) -> Column:
     """kind (relative, date, range), value (the relative word), first and last date; null if the text says none."""

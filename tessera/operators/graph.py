@@ -7,21 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
 
-#: Members of one activation or access list that pairs are made of, at most; it is the size of one answer's context.
+#: Members of one activation or access list that meet in one group, at most; longer lists are cut.
 MOST_ACTIVE = 1000
 
 
-def pairs(lists: DataFrame, key: str, item: str = "memory_id") -> DataFrame:
-    """How often two items stand in the same list: m1 < m2, n. Lists of over MOST_ACTIVE items are refused, as their pairs grow with the square."""
-    own = lists.select(key, item).distinct()
-    sized = own.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("xs")).withColumn("xs", F.when(F.size("xs") > MOST_ACTIVE, F.raise_error(F.lit("an activation list is too long"))).otherwise(F.col("xs")))
-    one = sized.select("xs", F.posexplode("xs").alias("i", "m1"))
-    two = one.select("m1", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("m2"))
-    return two.groupBy("m1", "m2").agg(F.count("*").alias("n"))
-
-
 def all_pairs(lists: DataFrame, key: str, item: str = "memory_id", block: int = MOST_ACTIVE // 2) -> DataFrame:
-    """pairs() of lists of any length: long ones are cut into blocks of about block items, of which each two meet in a group of their own."""
+    """How often two items stand in the same list: m1 < m2, n. Lists are of any length: long ones are cut into blocks of about block items, of
+    which each two meet in a group of their own."""
     own = lists.select(F.col(key).alias("k"), F.col(item).alias("x")).where("x is not null").distinct()
     size = own.groupBy(F.col("k").alias("long")).agg(F.count("*").alias("n")).where(F.col("n") > block)
     cut = own.join(size, F.col("k").eqNullSafe(F.col("long")) & F.col("n").isNotNull(), "left").select("k", "x", F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int").alias("n"))
@@ -66,11 +58,23 @@ def keep_or_forget(scores: DataFrame, budget: int) -> DataFrame:
     return scores.join(kept, "memory_id", "left").select("memory_id", "importance", F.coalesce("_k", F.lit(False)).alias("keep"))
 
 
-def affinity(vectors: DataFrame, co: DataFrame, last: DataFrame) -> DataFrame:
-    """For each pair of a bounded set of memories (memory_id, embedding): 0.4 of shared accesses up to ten, 0.3 of nearness of their last
-    accesses, 0.3 of cosine; 0.5 where a time or vector is missing."""
+#: Memories that one pass of affinity() sends to all executors.
+ASKED_BLOCK = 1024
+
+
+def affinity(vectors: DataFrame, co: DataFrame, last: DataFrame, asked: DataFrame) -> DataFrame:
+    """m1, m2, affinity of each memory m1 of a given set (asked: memory_id) to all others of vectors (memory_id, embedding): 0.4 of shared accesses
+    up to ten (co: m1 < m2, n), 0.3 of nearness of their last accesses, 0.3 of cosine; 0.5 where a time or vector is missing. The set is held
+    against all rows in blocks of about ASKED_BLOCK, which are counted before they are sent."""
     v = vectors.join(last, "memory_id", "left").select("memory_id", "embedding", "last_access")
-    both = v.toDF("m1", "e1", "t1").join(v.toDF("m2", "e2", "t2"), F.col("m1") < F.col("m2")).join(co, ["m1", "m2"], "left")
+    own = v.join(asked.select("memory_id").distinct(), "memory_id", "left_semi").toDF("m1", "e1", "t1")
+    blocks, both = max(1, -(-own.count() // ASKED_BLOCK)), None
+    for b in range(blocks):
+        some = own if blocks == 1 else own.where(F.pmod(F.xxhash64("m1"), F.lit(blocks)) == b)
+        met = v.toDF("m2", "e2", "t2").join(F.broadcast(some), F.col("m1") != F.col("m2"))
+        both = met if both is None else both.unionByName(met)
+    each = co.select("m1", "m2", "n").union(co.select(F.col("m2").alias("m1"), F.col("m1").alias("m2"), "n"))
+    both = both.join(each.join(asked.select(F.col("memory_id").alias("m1")).distinct(), "m1", "left_semi"), ["m1", "m2"], "left")
     gap = F.abs(F.unix_micros("t1") - F.unix_micros("t2")) / 1e6
     time = F.coalesce(F.exp(-gap / 86400.0), F.lit(0.5))
     sem = F.coalesce((S.cosine(F.col("e1"), F.col("e2")) + 1) / 2, F.lit(0.5))
@@ -78,8 +82,9 @@ def affinity(vectors: DataFrame, co: DataFrame, last: DataFrame) -> DataFrame:
 
 
 def pulls(affinities: DataFrame, clusters: DataFrame, energy: DataFrame) -> DataFrame:
-    """memory_id, cluster, pull: mean affinity to the members of each other cluster, times its energy (0.5 if unknown)."""
-    way = affinities.select("m1", "m2", "affinity").union(affinities.select("m2", "m1", "affinity")).toDF("memory_id", "other", "affinity")
+    """memory_id, cluster, pull of each m1 of affinities (m1, m2, affinity): mean affinity to the members of each other cluster, times its energy
+    (0.5 if unknown)."""
+    way = affinities.select("m1", "m2", "affinity").toDF("memory_id", "other", "affinity")
     at = clusters.select(F.col("memory_id").alias("other"), F.col("cluster").alias("target"))
     rows = way.join(at, "other").join(clusters.select("memory_id", "cluster"), "memory_id").where("target <> cluster")
     mean = rows.groupBy("memory_id", F.col("target").alias("cluster")).agg(F.avg("affinity").alias("a"))

@@ -10,23 +10,34 @@ from tessera.functions import text as X
 from tessera.operators import vector
 
 SIGNALS = tuple(S.WEIGHTS)
+#: Rows of queries that are sent to all executors, at most; more go by a shuffled join.
+MOST_SENT = 100_000
 
 
-def candidates(mem: DataFrame, queries: DataFrame, k: int = 50, actor_cap: int = 100, date_cap: int = 200) -> DataFrame:
+#: Fixed value: rows that an actor hint takes at most.
+ACTOR_CAP = 500
+
+
+def candidates(mem: DataFrame, queries: DataFrame, k: int = 50, actor_cap: int = ACTOR_CAP) -> DataFrame:
     """query_id, memory_id, and from which sources it comes: semantic (its similarity as 0 to 1, else 0), actor, temporal (0 or 1).
 
-    queries: query_id, query (a vector), text, actor (or null), day (a date, or null). Actors and days take their newest rows up to the caps.
+    queries: query_id, query (a vector), text, actor (or null), first, last and cap (the days of a date hint, or null, and the rows it takes at
+    most, as temporal.window() has them). Actors and days take their newest rows up to the caps.
     """
     near = vector.knn(mem, queries, k).select("query_id", "memory_id", S.unit(F.col("similarity")).alias("semantic"), F.lit(0.0).alias("actor"), F.lit(0.0).alias("temporal"))
     newest = Window.partitionBy("query_id").orderBy(F.col("when_ts").desc(), "memory_id")
     by = mem.select("memory_id", "who_id", "when_ts")
 
-    def hinted(on: Column, cap: int, actor: float, temporal: float) -> DataFrame:
-        hit = by.join(F.broadcast(queries.select("query_id", F.col("actor").alias("hint"), "day")), on)
+    def hinted(asked: DataFrame, on: Column, cap: int | Column, actor: float, temporal: float) -> DataFrame:
+        # a given set of queries, of which ids, hints and days are sent only, if they are few
+        asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
+        hit = by.join(asked, on)
         return hit.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= cap).select("query_id", "memory_id", F.lit(0.0).alias("semantic"), F.lit(actor).alias("actor"), F.lit(temporal).alias("temporal"))
 
-    actors = hinted(F.col("who_id") == F.col("hint"), actor_cap, 1.0, 0.0)
-    days = hinted(F.to_date(F.substring("when_ts", 1, 10)) == F.col("day"), date_cap, 0.0, 1.0)
+    actors = hinted(queries.where("actor is not null").select("query_id", F.col("actor").alias("hint")), F.col("who_id") == F.col("hint"), actor_cap, 1.0, 0.0)
+    # a row for each day of a hint, so that days meet by equality and not by range
+    dated = queries.where("first <= last").select("query_id", "cap", F.explode(F.sequence("first", "last")).alias("day"))
+    days = hinted(dated, F.to_date(F.substring("when_ts", 1, 10)) == F.col("day"), F.col("cap"), 0.0, 1.0)
     return near.unionByName(actors).unionByName(days).groupBy("query_id", "memory_id").agg(*[F.max(c).alias(c) for c in ("semantic", "actor", "temporal")])
 
 
@@ -36,7 +47,7 @@ def signals(cands: DataFrame, mem: DataFrame, queries: DataFrame, as_of: str, so
     rows = cands.withColumnRenamed("actor", "_actor").join(mem.drop("embedding", "accesses") if usage is not None else mem.drop("embedding"), "memory_id")
     if usage is not None:
         rows = rows.join(usage.select("memory_id", "accesses"), "memory_id", "left")
-    rows = rows.join(F.broadcast(queries.select("query_id", F.col("text").alias("_text"), F.col("actor").alias("_hint"))), "query_id")
+    rows = rows.join(queries.select("query_id", F.col("text").alias("_text"), F.col("actor").alias("_hint")), "query_id")
     when = S.first_of(F.col("when_list")) if source == "when_list" else F.col(source)
     actor = F.when((F.col("_actor") > 0) | F.coalesce(S.first_of(F.col("who_list")) == F.col("_hint"), F.lit(False)), 1.0).otherwise(0.0)
     spatial = F.when(F.contains(F.lower("_text"), F.lower("where_value")), 1.0).otherwise(0.0)
@@ -50,13 +61,13 @@ def ranked(rows: DataFrame, weights: dict[str, float] | None = None, k: int | No
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def search(mem: DataFrame, queries: DataFrame, as_of: str, k: int = 50, weights: dict[str, float] | None = None, group: bool = False, source: str = "when_list") -> DataFrame:
+def search(mem: DataFrame, queries: DataFrame, as_of: str, k: int = 50, weights: dict[str, float] | None = None, group: bool = False, source: str = "when_list", literal: bool = False, half_life: float = 168.0) -> DataFrame:
     """The flagship: candidates, signals, recency damped by group size, rank. Other weights re-rank what the
-    default weights let through: the cut at k is by the defaults."""
-    rows = signals(candidates(mem, queries, k), mem, queries, as_of, source)
+    default weights let through: the cut at k is by the defaults. literal: grouped() by the letter."""
+    rows = signals(candidates(mem, queries, k), mem, queries, as_of, source, half_life)
     size = F.lit(1)
     if group:
-        rows = grouped(rows)
+        rows = grouped(rows, literal)
         size = F.count("*").over(Window.partitionBy("query_id", "group_id"))
     top = ranked(rows.withColumn("recency", S.smart(F.col("recency"), size)), None, k)
     return ranked(top, S.completed(weights)) if weights is not None else top

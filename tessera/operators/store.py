@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Days back and row caps of relative dates.
-RELATIVE = {"today": (0, 0, 200), "yesterday": (1, 1, 200), "last_week": (7, 0, 300), "last_month": (30, 0, 500), "last_year": (365, 0, 1000)}
-SORTABLE = ("when_ts", "created_at", "who_id", "who_type", "where_value", "what", "token_count", "session_id")
+from tessera.functions.temporal import RELATIVE
+
+#: The columns that lists are sorted by, scores among them.
+SORTABLE = ("when_ts", "created_at", "memory_id", "session_id", "who_id", "who_type", "where_type", "where_value", "what", "why", "how", "token_count", "score", "rank", "accesses")
 
 
 def lookup(mem: DataFrame, ids: DataFrame) -> DataFrame:

@@ -12,23 +12,79 @@ QUERY_BLOCK = 1024
 
 
 def knn(mem: DataFrame, queries: DataFrame, k: int, key: str = "memory_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
-    """For each query its k nearest rows by inner product: query, key, similarity, rank. Ties go to the lesser key.
+    """For each query its k nearest rows by inner product in doubles: query, key, similarity, rank. Ties go to the lesser key; rows without a
+    vector are left out; a vector of another length than a query's is an error.
 
-    Queries are a given set; they go to the rows in blocks of QUERY_BLOCK, so what is broadcast is bounded by block size times
-    dimension. Each partition keeps k rows of each query before the shuffle.
+    Queries are a given set; they go to the rows in blocks of about QUERY_BLOCK, so what is broadcast is bounded by block size times
+    dimension. Products are of Arrow batches; each partition keeps k rows of each query before the shuffle.
     """
-    base = mem.select(F.col(key), F.col(vector).alias("_v")).where("_v is not null")
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    base = mem.select(key, F.col(vector).alias("_v")).where("_v is not null")
+    asked = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull())
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {mem.schema[key].dataType.simpleString()}, similarity double"
     out = None
     for b in range(blocks):
-        q = queries.select(F.col(query_key), F.col(query_vector).alias("_q"))
-        q = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
-        scored = base.join(F.broadcast(q)).select(query_key, key, S.dot(F.col("_v"), F.col("_q")).alias("similarity"))
-        w = Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), key)
-        got = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = got if out is None else out.unionByName(got)
-    return out
+        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).toArrow()
+        near = base.mapInArrow(_nearest(rows, k), kinds)
+        out = near if out is None else out.unionByName(near)
+    w = Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), key)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _matrix(column):
+    """A column of equally long vectors as doubles, a row each."""
+    import numpy as np
+
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _nearest(asked, k: int):
+    """For mapInArrow: the k best rows of a partition for each of the queries (id, vector)."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids, at = asked.column(0).combine_chunks(), _matrix(asked.column(1).combine_chunks())
+
+    def run(batches):
+        n = len(ids)
+        best = [(np.zeros(0), np.zeros(0, object))] * n
+        least = np.full(n, -np.inf)
+        kind = None
+        for whole in batches:
+            kind = whole.column(0).type
+            for i in range(0, whole.num_rows if n else 0, 4096):
+                b = whole.slice(i, 4096)
+                names = np.array(b.column(0).to_pylist(), object)
+                product = _matrix(b.column(1)) @ at.T
+                for j in np.flatnonzero(product.max(axis=0) >= least):
+                    own = product[:, j]
+                    take = own >= max(least[j], np.partition(own, -k)[-k] if len(own) > k else -np.inf)
+                    scores, keys = np.append(best[j][0], own[take]), np.append(best[j][1], names[take])
+                    order = np.lexsort((keys, -scores))[:k]
+                    best[j] = scores[order], keys[order]
+                    if len(order) == k:
+                        least[j] = scores[order[-1]]
+        if kind is not None:
+            size = [len(s) for s, _ in best]
+            yield pa.record_batch([ids.take(pa.array(np.repeat(np.arange(n), size))), pa.array([x for _, ks in best for x in ks], kind), pa.array(np.concatenate([s for s, _ in best]) if n else [], pa.float64())], names=["query", "key", "similarity"])
+
+    return run
+
+
+def vectors(mem: DataFrame, limit: int | None = None, vector: str = "embedding") -> DataFrame:
+    """memory_id and vector of the first limit places of the index, which is in order of ids; places without a vector count, but give no row."""
+    rows = mem.select("memory_id", vector).orderBy("memory_id")
+    return (rows if limit is None else rows.limit(limit)).where(F.col(vector).isNotNull())
+
+
+def vector_of(mem: DataFrame, memory_id: str, vector: str = "embedding") -> DataFrame:
+    """The vector of a memory, or no row."""
+    return mem.where((F.col("memory_id") == memory_id) & F.col(vector).isNotNull()).select("memory_id", vector)
+
+
+def raw_search(index: DataFrame, store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest of the index with the store's rows, scores as they are; an id that the store lacks is shown without data."""
+    return knn(index, queries, k).join(store.drop("embedding"), "memory_id", "left")
 
 
 def audit(mem: DataFrame, vector: str = "embedding") -> DataFrame:

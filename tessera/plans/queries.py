@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import chunks, scoring as S, temporal, text as X
 from tessera.operators import analytics as A, blocks as B, graph as G, retrieval as R, store, vector
 from tessera.sources import conversations as C, fixtures as fx
-from tessera.sources.fixtures import AS_OF, MEM, QUERY_IDS
+from tessera.sources.fixtures import AS_OF, MEM, QUERY_STEP
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,9 +35,15 @@ def mem(spark, sf) -> DataFrame:
     return fx.memories(spark, sf)
 
 
-def asked(m: DataFrame) -> DataFrame:
-    """The query set: the vectors, actors and days of three memories, and a text that names the place."""
-    return m.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.concat(F.lit("notes from "), F.col("where_value"), F.lit(" yesterday")).alias("text"), F.col("who_id").alias("actor"), F.to_date(F.substring("when_ts", 1, 10)).alias("day"))
+def asked(m: DataFrame, hint: str | None = None) -> DataFrame:
+    """The query set: the vectors and actors of every QUERY_STEP-th memory, and a text that names the place. The date hint is the memory's day, or what
+    the phrase says."""
+    rows = m.where(F.col("vec_id") % QUERY_STEP == 0)
+    day = F.to_date(F.substring("when_ts", 1, 10))
+    own = F.struct(day.alias("first"), day.alias("last"), F.lit(temporal.DATE_CAP).alias("cap"))
+    when = own if hint is None else temporal.window(temporal.hint(F.lit(hint), AS_OF), AS_OF)
+    text = F.concat(F.lit("notes from "), F.col("where_value"), F.lit(" yesterday"))
+    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), text.alias("text"), F.col("who_id").alias("actor"), day.alias("day"), when.alias("w")).select("*", "w.*").drop("w")
 
 
 COLS = "memory_id, session_id, who_id, where_value, when_ts, token_count"
@@ -163,7 +169,7 @@ def export_rows(spark, sf):
 
 # ---- vectors -----------------------------------------------------------------------------------
 
-_Q = "q AS (SELECT vec_id AS query_id, embedding AS query, 'notes from ' || where_value || ' yesterday' AS text, who_id AS actor, substr(when_ts,1,10) AS day FROM memories WHERE vec_id IN (0, 7, 42))"
+_Q = "q AS (SELECT vec_id AS query_id, embedding AS query, 'notes from ' || where_value || ' yesterday' AS text, who_id AS actor, substr(when_ts,1,10) AS day FROM memories WHERE vec_id % 20 = 0)"
 _DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 _SIM = f"sim AS (SELECT query_id, memory_id, {_DOT.format(a='m.embedding', b='q.query')} AS similarity FROM memories m CROSS JOIN q), near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS rank FROM sim)"
 
@@ -180,10 +186,23 @@ def knn_normalised(spark, sf):
     return vector.knn(m, asked(m), 50).select("query_id", "memory_id", F.round(S.unit(F.col("similarity")), 6).alias("semantic"))
 
 
-@query(f"{MEM} SELECT memory_id, round(embedding[1]::DOUBLE * 3 / (3 * sqrt({_DOT.format(a='embedding', b='embedding')}) + 1e-8), 6) AS first, 1.0::DOUBLE AS length FROM memories")
+@query(f"{MEM}, n AS (SELECT memory_id, embedding, 3 * sqrt({_DOT.format(a='embedding', b='embedding')}) + 1e-8 AS norm FROM memories) SELECT memory_id, unnest(range(len(embedding))) AS i, round(unnest(embedding)::DOUBLE * 3 / norm, 6) AS x FROM n")
 def l2_norm(spark, sf):
     v = S.normalised(F.transform("embedding", lambda x: x.cast("double") * 3))
-    return mem(spark, sf).select("memory_id", F.round(F.element_at(v, 1), 6).alias("first"), F.round(S.norm(v), 6).alias("length"))
+    return mem(spark, sf).select("memory_id", F.posexplode(v).alias("i", "x")).select("memory_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(f"{MEM} SELECT memory_id, embedding[1] AS first, embedding[64] AS last FROM (SELECT * FROM memories ORDER BY memory_id LIMIT 40) WHERE vec_id % 13 <> 0")
+def all_vectors(spark, sf):
+    m = mem(spark, sf).withColumn("embedding", F.when(F.col("vec_id") % 13 != 0, F.col("embedding")))
+    return vector.vectors(m, 40).select("memory_id", F.element_at("embedding", 1).alias("first"), F.element_at("embedding", 64).alias("last"))
+
+
+@query(f"{MEM}, {_Q}, {_SIM} SELECT query_id, n.memory_id, rank, round(similarity, 6) AS similarity, m.what, m.when_ts FROM near n LEFT JOIN (SELECT * FROM memories WHERE vec_id % 3 <> 0) m USING (memory_id) WHERE rank <= 10")
+def raw_search(spark, sf):
+    m = mem(spark, sf)
+    got = vector.raw_search(m, m.where("vec_id % 3 <> 0"), asked(m), 10)
+    return got.select("query_id", "memory_id", "rank", F.round("similarity", 6).alias("similarity"), "what", "when_ts")
 
 
 @query(f"{MEM}, e AS (SELECT memory_id, CASE WHEN vec_id % 13 = 0 THEN 'missing' WHEN vec_id % 17 = 0 THEN 'zero' ELSE 'valid' END AS status FROM memories) SELECT status, count(*) AS n FROM e GROUP BY 1")
@@ -203,9 +222,10 @@ def consistency(spark, sf):
 _AGE = "(epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us({t}::TIMESTAMP)) / 3.6e9"
 _REC = "CASE WHEN {w} IS NULL OR NOT regexp_matches({w}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}([T ]\\d{{2}}:\\d{{2}}.*)?$') THEN 0.5 ELSE least(1, greatest(0, pow(0.5, " + _AGE.format(t="try_cast({w} AS TIMESTAMP)") + " / 168.0))) END"
 _WHEN1 = "(when_list::JSON ->> '$[0]')"
-_SIGNALS = f"""top AS (SELECT query_id, memory_id, least(1, greatest(0, (similarity + 1) / 2)) AS semantic, 0.0 AS actor, 0.0 AS temporal FROM near WHERE rank <= 50),
-act AS (SELECT query_id, memory_id, 0.0 AS semantic, 1.0 AS actor, 0.0 AS temporal FROM (SELECT q.query_id, m.memory_id, row_number() OVER (PARTITION BY q.query_id ORDER BY when_ts DESC, memory_id) AS n FROM memories m JOIN q ON m.who_id = q.actor) WHERE n <= 100),
-tem AS (SELECT query_id, memory_id, 0.0 AS semantic, 0.0 AS actor, 1.0 AS temporal FROM (SELECT q.query_id, m.memory_id, row_number() OVER (PARTITION BY q.query_id ORDER BY when_ts DESC, memory_id) AS n FROM memories m JOIN q ON substr(m.when_ts,1,10) = q.day) WHERE n <= 200),
+def _signals(on: str = "substr(m.when_ts,1,10) = q.day", cap: int = 500) -> str:
+    return f"""top AS (SELECT query_id, memory_id, least(1, greatest(0, (similarity + 1) / 2)) AS semantic, 0.0 AS actor, 0.0 AS temporal FROM near WHERE rank <= 50),
+act AS (SELECT query_id, memory_id, 0.0 AS semantic, 1.0 AS actor, 0.0 AS temporal FROM (SELECT q.query_id, m.memory_id, row_number() OVER (PARTITION BY q.query_id ORDER BY when_ts DESC, memory_id) AS n FROM memories m JOIN q ON m.who_id = q.actor) WHERE n <= 500),
+tem AS (SELECT query_id, memory_id, 0.0 AS semantic, 0.0 AS actor, 1.0 AS temporal FROM (SELECT q.query_id, m.memory_id, row_number() OVER (PARTITION BY q.query_id ORDER BY when_ts DESC, memory_id) AS n FROM memories m JOIN q ON {on}) WHERE n <= {cap}),
 cand AS (SELECT query_id, memory_id, max(semantic)::DOUBLE AS semantic, max(actor)::DOUBLE AS actor0, max(temporal)::DOUBLE AS temporal FROM (SELECT * FROM top UNION ALL SELECT * FROM act UNION ALL SELECT * FROM tem) GROUP BY 1, 2),
 sig AS (SELECT c.query_id, m.*, c.semantic, c.temporal, {_REC.format(w=_WHEN1)} AS recency0,
   CASE WHEN c.actor0 > 0 OR coalesce((m.who_list::JSON ->> '$[0]') = q.actor, false) THEN 1.0 ELSE 0.0 END AS actor,
@@ -214,7 +234,10 @@ sig AS (SELECT c.query_id, m.*, c.semantic, c.temporal, {_REC.format(w=_WHEN1)}
 one AS (SELECT *, recency0 * 0.1 AS recency FROM sig),
 sco AS (SELECT *, 0.68 * semantic + 0.02 * recency + 0.10 * actor + 0.10 * temporal + 0.05 * spatial + 0.05 * usage AS score FROM one),
 ran AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, memory_id) AS rank FROM sco)"""
-_FULL = f"{MEM}, {_Q}, {_SIM}, {_SIGNALS}"
+
+
+#: Fixed values of the definition: 500 rows of an actor and of a date or range; relative words have their own number.
+_FULL = f"{MEM}, {_Q}, {_SIM}, {_signals()}"
 
 
 @query(f"{MEM} SELECT memory_id, round({_REC.format(w=_WHEN1)}, 6) AS from_list, round({_REC.format(w='when_ts')}, 6) AS from_ts FROM memories")
@@ -222,9 +245,9 @@ def recency(spark, sf):
     return mem(spark, sf).select("memory_id", F.round(S.recency(S.first_of(F.col("when_list")), AS_OF), 6).alias("from_list"), F.round(S.recency(F.col("when_ts"), AS_OF), 6).alias("from_ts"))
 
 
-def _found(spark, sf, **kw):
+def _found(spark, sf, hint=None, **kw):
     m = mem(spark, sf)
-    return R.search(m, asked(m), AS_OF, **kw)
+    return R.search(m, asked(m, hint), AS_OF, **kw)
 
 
 @query(f"{_FULL} SELECT query_id, memory_id, {', '.join(f'round({s}, 6) AS {s}' for s in R.SIGNALS)} FROM one")
@@ -239,6 +262,12 @@ def hybrid_search(spark, sf):
     return _found(spark, sf).select("query_id", "memory_id", "rank", F.round("score", 6).alias("score"))
 
 
+_BETWEEN = "substr(m.when_ts,1,10)::DATE BETWEEN DATE '2024-01-31' - {a} AND DATE '2024-01-31' - {b}"
+for _n, _phrase, _a, _b, _cap in (("hybrid_last_week", "last week", 7, 0, 300), ("hybrid_last_month", "past month", 30, 0, 500), ("hybrid_last_year", "last year", 365, 0, 1000), ("hybrid_yesterday", "yday", 1, 1, 200), ("hybrid_weeks_ago", "2 weeks ago", 14, 7, 500)):
+    _sql = f"{MEM}, {_Q}, {_SIM}, {_signals(_BETWEEN.format(a=_a, b=_b), _cap)} SELECT query_id, memory_id, rank, round(temporal, 6) AS temporal, round(score, 6) AS score FROM ran WHERE rank <= 50"
+    made(_n, lambda spark, sf, h=_phrase: _found(spark, sf, h).select("query_id", "memory_id", "rank", "temporal", F.round("score", 6).alias("score")), _sql)
+
+
 @query(f"{_FULL}, re AS (SELECT query_id, memory_id, (0.3 * semantic + 0.4 * recency + 0.10 * actor + 0.10 * temporal + 0.05 * spatial + 0.05 * usage) AS score FROM ran WHERE rank <= 50) SELECT query_id, memory_id, round(score, 6) AS score FROM re")
 def custom_weights(spark, sf):
     return _found(spark, sf, weights={"semantic": 0.3, "recency": 0.4}).select("query_id", "memory_id", F.round("score", 6).alias("score"))
@@ -281,11 +310,11 @@ def exclusion_threshold(spark, sf):
     return R.narrowed(_found(spark, sf), ids, 0.4, 10).select("query_id", "memory_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""{MEM}, {_Q}, c AS (SELECT m.memory_id, {_DOT.format(a='m.embedding', b='q.query')} AS semantic, {_REC.format(w='when_ts')} AS recency, CASE WHEN who_id = actor THEN 1.0 ELSE 0.0 END AS actor, CASE WHEN substr(when_ts,1,10) = day THEN 1.0 ELSE 0.0 END AS temporal, CASE WHEN contains(lower(q.text), lower(where_value)) THEN 1.0 ELSE 0.0 END AS spatial, least(1, coalesce(accesses,0) / 50.0) AS usage FROM memories m CROSS JOIN q WHERE query_id = 7)
+@query(f"""{MEM}, {_Q}, c AS (SELECT m.memory_id, {_DOT.format(a='m.embedding', b='q.query')} AS semantic, {_REC.format(w='when_ts')} AS recency, CASE WHEN who_id = actor THEN 1.0 ELSE 0.0 END AS actor, CASE WHEN substr(when_ts,1,10) = day THEN 1.0 ELSE 0.0 END AS temporal, CASE WHEN contains(lower(q.text), lower(where_value)) THEN 1.0 ELSE 0.0 END AS spatial, least(1, coalesce(accesses,0) / 50.0) AS usage FROM memories m CROSS JOIN q WHERE query_id = 20)
 SELECT memory_id, {', '.join(f'round({s}, 6) AS {s}' for s in R.SIGNALS)}, round(.35 * semantic + .2 * recency + .15 * actor + .1 * temporal + .15 * usage, 6) AS total, CASE WHEN semantic > 0.7 THEN 'strong' WHEN semantic > 0.4 THEN 'moderate' ELSE 'weak' END AS verbal FROM c""")
 def compare_memory(spark, sf):
     m = mem(spark, sf)
-    got = R.compared(m, asked(m).where("query_id = 7"), AS_OF)
+    got = R.compared(m, asked(m).where("query_id = 20"), AS_OF)
     return got.select("memory_id", *[F.round(c, 6).alias(c) for c in (*R.SIGNALS, "total")], "verbal")
 
 
@@ -342,21 +371,19 @@ def timeline_last_days(spark, sf):
     return A.daily(mem(spark, sf), 7).withColumn("day", F.col("day").cast("string"))
 
 
-_LONG = "memories AS (SELECT o_orderdate::DATE::VARCHAR AS when_ts, o_custkey AS session_id, o_orderpriority AS who_list FROM orders {w})"
+_LONG = "memories AS (SELECT o_orderdate::DATE::VARCHAR AS when_ts, o_custkey AS session_id, o_orderpriority AS who_list FROM orders)"
 
 
-def _long(spark, sf, where="true"):
-    o = fx.table(spark, sf, "orders").where(where)
+def _long(spark, sf):
+    o = fx.table(spark, sf, "orders")
     return o.select(F.col("o_orderdate").cast("date").cast("string").alias("when_ts"), F.col("o_custkey").alias("session_id"), F.col("o_orderpriority").alias("who_list"))
 
 
-_HALF = "CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'"
-for _n, _u, _w in (("timeline_weekly", "week", _HALF), ("timeline_monthly", "month", "true")):
-    made(_n, lambda spark, sf, u=_u, w=_w: A.rolled(A.daily(_long(spark, sf, w)), u).withColumn("period", F.col("period").cast("string")), f"WITH {_LONG.format(w='WHERE ' + _w)}, d AS ({_DAY}) SELECT strftime(date_trunc('{_u}', day), '%Y-%m-%d') AS period, sum(n)::BIGINT AS n, count(DISTINCT sessions) AS sessions, count(DISTINCT actors) AS actors FROM d GROUP BY 1")
-    made(_n + "_distinct", lambda spark, sf, u=_u, w=_w: A.by_period(_long(spark, sf, w), u).withColumn("period", F.col("period").cast("string")), f"WITH {_LONG.format(w='WHERE ' + _w)} SELECT strftime(date_trunc('{_u}', when_ts::DATE), '%Y-%m-%d') AS period, count(*) AS n, count(DISTINCT session_id) AS sessions, count(DISTINCT who_list) AS actors FROM memories GROUP BY 1")
+for _n, _u in (("timeline_weekly", "week"), ("timeline_monthly", "month")):
+    made(_n, lambda spark, sf, u=_u: A.rolled(A.daily(_long(spark, sf)), u).withColumn("period", F.col("period").cast("string")), f"WITH {_LONG}, d AS ({_DAY}) SELECT strftime(date_trunc('{_u}', day), '%Y-%m-%d') AS period, sum(n)::BIGINT AS n, count(DISTINCT sessions) AS sessions, count(DISTINCT actors) AS actors FROM d GROUP BY 1")
+    made(_n + "_distinct", lambda spark, sf, u=_u: A.by_period(_long(spark, sf), u).withColumn("period", F.col("period").cast("string")), f"WITH {_LONG} SELECT strftime(date_trunc('{_u}', when_ts::DATE), '%Y-%m-%d') AS period, count(*) AS n, count(DISTINCT session_id) AS sessions, count(DISTINCT who_list) AS actors FROM memories GROUP BY 1")
 
 _ITEM = {
-    "what": ("what", "unnest(from_json(what, '[\"VARCHAR\"]'))", "what LIKE '[%]'"),
     "who": ("who_list", "unnest(from_json(who_list, '[\"VARCHAR\"]'))", "who_list IS NOT NULL"),
     "when": ("when_list", "unnest(from_json(when_list, '[\"VARCHAR\"]'))", "when_list IS NOT NULL"),
     "where": ("where_list", "unnest(from_json(where_list, '[\"VARCHAR\"]'))", "where_list IS NOT NULL"),
@@ -367,8 +394,6 @@ _ITEM = {
 
 def _items(spark, sf, component):
     m = mem(spark, sf)
-    if component == "what":  # regular expressions differ on other letters than ASCII, so lists only
-        m = m.where("what LIKE '[%]'")
     if component == "how":
         m = m.withColumn("how", F.concat("how", F.lit(" and by hand")))
     return A.items(m, component)
@@ -382,12 +407,13 @@ def _item_sql(component):
 _COOC = """, met AS (SELECT item, min((-epoch(created_at::TIMESTAMP), memory_id, spot)) AS met FROM i GROUP BY 1), r AS (SELECT item, row_number() OVER (ORDER BY met) AS r FROM met),
 o AS (SELECT DISTINCT memory_id, item, r FROM i JOIN r USING (item)), p AS (SELECT a.item AS source, b.item AS target, count(*) AS weight, a.r AS ra, b.r AS rb FROM o a JOIN o b USING (memory_id) WHERE a.r <= 50 AND b.r > a.r AND b.r <= a.r + 19 GROUP BY 1, 2, 4, 5 ORDER BY ra, rb LIMIT 100)
 SELECT source, target, weight FROM p"""
+# entities of plain texts are found by patterns that differ in SQL on other letters than ASCII: those of what are tested against a plain model
 for _c in A.COMPONENTS:
-    made(f"network_{_c}", lambda spark, sf, c=_c: A.frequency(_items(spark, sf, c)), f"{_item_sql(_c)} SELECT item, count(*) AS n FROM i GROUP BY 1 ORDER BY n DESC, item LIMIT 50")
-made("entity_freq", QUERIES["network_what"], ORACLES["network_what"])
-made("entity_cooccur", lambda spark, sf: A.cooccurrence(_items(spark, sf, "what")), _item_sql("what") + _COOC)
+    made(f"network_{_c}", lambda spark, sf, c=_c: A.frequency(_items(spark, sf, c)), None if _c == "what" else f"{_item_sql(_c)} SELECT item, count(*) AS n FROM i GROUP BY 1 ORDER BY n DESC, item LIMIT 50")
+made("entity_cooccur", lambda spark, sf: A.cooccurrence(_items(spark, sf, "what")))
 made("network_when_cooccur", lambda spark, sf: A.cooccurrence(_items(spark, sf, "when")), _item_sql("when") + _COOC)
-made("entity_cloud", lambda spark, sf: A.cloud(_items(spark, sf, "what")).withColumn("size", F.round("size", 6)), f"{_item_sql('what')}, t AS (SELECT item, count(*) AS n FROM i GROUP BY 1 ORDER BY n DESC, item LIMIT 20) SELECT item, n, round(least(2.0, 0.8 + 1.2 * n / (SELECT max(n) FROM t)), 6) AS size FROM t")
+made("entity_cloud", lambda spark, sf: A.cloud(_items(spark, sf, "what")).withColumn("size", F.round("size", 6)))
+made("place_cloud", lambda spark, sf: A.cloud(_items(spark, sf, "where")).withColumn("size", F.round("size", 6)), f"{_item_sql('where')}, t AS (SELECT item, count(*) AS n FROM i GROUP BY 1 ORDER BY n DESC, item LIMIT 20) SELECT item, n, round(least(2.0, 0.8 + 1.2 * n / (SELECT max(n) FROM t)), 6) AS size FROM t")
 
 
 @query(f"{MEM} SELECT who_list, count(*) AS n FROM memories WHERE who_list IS NOT NULL GROUP BY 1 ORDER BY n DESC, who_list LIMIT 10")
@@ -432,12 +458,11 @@ def entities_regex(spark, sf):
     return d.select("doc_id", F.array_join(X.entities(F.col("text")), "|").alias("entities"), F.array_join(X.rule_entities(F.col("text")), "|").alias("by_rule"))
 
 
-_TEXTS = ("Do you remember the trip to Rome?", "what was said about IGF-1 yesterday", "Recall MEMORY of Acme Corp, and memories", "nothing here", "weather now in Oslo", "snow tonight", "will it rain", "stock of tea", "ethereum", "latest headlines", "news today", "headlines", "match", "commute", "concert", "how much", "cinema", "what is love", "how to bake", "when did it end", "a study", "plain", "it was 3 days ago at noon or so", "2 weeks ago we met somewhere", "1 month ago in the big house", "4 years ago on 2020-05-06 it was", "on 2023-12-24 we had dinner", "last month there was some talk", "past year was a good one for us", "yday", "recently", "I know that", 'say {"a": 1, "b": "x"} end', 'list [{"a": 2}] ok', 'Use <tool_call>{"name": "web_search"}</tool_call> now', "find out the price")
-_VALUES = "t AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(_TEXTS)) + ") v(id, text))"
+_VALUES = "t AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations)"
 
 
-def _phrases(spark):
-    return spark.createDataFrame(list(enumerate(_TEXTS)), "id int, text string")
+def _messages(spark, sf):
+    return fx.conversations(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
 def _case(rules):
@@ -453,7 +478,7 @@ _RECALL = _case([(f"contains(lower(text), '{k}')", f"'memory_recall: ' || substr
 
 @query(f"WITH {_VALUES} SELECT id, {_RECALL} AS why FROM t")
 def recall_topic(spark, sf):
-    return _phrases(spark).select("id", X.recall_topic(F.col("text")).alias("why"))
+    return _messages(spark, sf).select("id", X.recall_topic(F.col("text")).alias("why"))
 
 
 _TYPE = _case([(_any(w), _case([(_any(s) if s else "true", f"'{n}'") for s, n in cases]) + " END") for w, cases in X.QUERY_RULES]) + " ELSE 'default' END"
@@ -461,24 +486,20 @@ _TYPE = _case([(_any(w), _case([(_any(s) if s else "true", f"'{n}'") for s, n in
 
 @query(f"WITH {_VALUES} SELECT id, {_TYPE} AS kind, CASE WHEN {_any(X.SEARCH_TRIGGERS)} THEN 'web_search' END AS tool FROM t")
 def query_type(spark, sf):
-    return _phrases(spark).select("id", X.query_type(F.col("text")).alias("kind"), X.wants_search(F.col("text")).alias("tool"))
+    return _messages(spark, sf).select("id", X.query_type(F.col("text")).alias("kind"), X.wants_search(F.col("text")).alias("tool"))
 
 
 _HOURS = "h AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {float(v)}::DOUBLE)" for k, v in X.VALID_HOURS.items()) + ") v(kind, hours))"
 
 
-@query(f"{MEM}, {_VALUES}, {_HOURS}, y AS (SELECT id, {_TYPE} AS kind FROM t) SELECT id, kind, count(*) FILTER ({_AGE.format(t='when_ts')} <= hours) AS valid, count(*) FILTER (NOT {_AGE.format(t='when_ts')} <= hours) AS invalid, count(*) FILTER ({_AGE.format(t='when_ts')} <= hours) = 0 AND kind IN {X.TIME_SENSITIVE} AS needs_tool FROM y JOIN h USING (kind) CROSS JOIN memories GROUP BY id, kind, hours")
+@query(f"{MEM}, {_VALUES}, {_HOURS}, y AS (SELECT id, {_TYPE} AS kind FROM t), v AS (SELECT kind, count(*) FILTER ({_AGE.format(t='when_ts')} <= hours) AS valid, count(*) FILTER (NOT {_AGE.format(t='when_ts')} <= hours) AS invalid FROM h CROSS JOIN memories GROUP BY kind) SELECT id, kind, valid, invalid, valid = 0 AND kind IN {X.TIME_SENSITIVE} AS needs_tool FROM y JOIN v USING (kind)")
 def freshness(spark, sf):
-    ages = mem(spark, sf).select(S.age_hours(S.parsed(F.col("when_ts")), AS_OF).alias("age"))
-    q = _phrases(spark).select("id", X.query_type(F.col("text")).alias("kind")).withColumn("hours", X.valid_hours(F.col("kind")))
-    fresh = F.sum(F.when(F.col("age") <= F.col("hours"), 1).otherwise(0))
-    rows = ages.join(F.broadcast(q)).groupBy("id", "kind").agg(fresh.alias("valid"), (F.count("*") - fresh).alias("invalid"))
-    return rows.withColumn("needs_tool", (F.col("valid") == 0) & F.col("kind").isin(*X.TIME_SENSITIVE))
+    return S.fresh_for(_messages(spark, sf).select("id", X.query_type(F.col("text")).alias("kind")), mem(spark, sf), AS_OF)
 
 
-@query(f"WITH {_VALUES}, j AS (SELECT id, nullif(regexp_extract(text, '\\{{.*\\}}'), '') AS o FROM t) SELECT id, (CASE WHEN json_valid(o) THEN o::JSON ->> '$.a' END) AS a FROM j")
+@query(f"WITH {_VALUES}, j AS (SELECT id, nullif(regexp_extract(text, '(?s)\\{{.*\\}}'), '') AS o FROM t) SELECT id, (CASE WHEN json_valid(o) THEN o::JSON ->> '$.a' END) AS a FROM j")
 def json_salvage(spark, sf):
-    return _phrases(spark).select("id", X.first_json(F.col("text"), "struct<a:string>")["a"].alias("a"))
+    return _messages(spark, sf).select("id", X.first_json(F.col("text"), "struct<a:string>")["a"].alias("a"))
 
 
 @query()
@@ -499,7 +520,7 @@ _HINT += [(f"{_ISO} <> ''", f"['date', '', {_ISO}, {_ISO}]")]
 
 @query(f"WITH {_VALUES}, h AS (SELECT id, {_case(_HINT)} END AS h FROM t) SELECT id, h[1] AS kind, nullif(h[2], '') AS value, nullif(h[3], '') AS first, nullif(h[4], '') AS last FROM h")
 def temporal_rule(spark, sf):
-    return _phrases(spark).select("id", temporal.hint(F.col("text"), AS_OF).alias("h")).select("id", "h.kind", "h.value", "h.first", "h.last")
+    return _messages(spark, sf).select("id", temporal.hint(F.col("text"), AS_OF).alias("h")).select("id", "h.kind", "h.value", "h.first", "h.last")
 
 
 _CLEAN = "text"
@@ -509,7 +530,7 @@ for _p in temporal.PHRASES:
 
 @query(f"WITH {_VALUES}, c AS (SELECT id, text, trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')) AS c FROM t) SELECT id, CASE WHEN length(c) < 10 THEN text ELSE c END AS cleaned FROM c")
 def temporal_clean(spark, sf):
-    return _phrases(spark).select("id", temporal.cleaned(F.col("text")).alias("cleaned"))
+    return _messages(spark, sf).select("id", temporal.cleaned(F.col("text")).alias("cleaned"))
 
 
 @query(f"{MEM} SELECT memory_id, 'WHAT: ' || what || '\nWHY: ' || why || '\nHOW: ' || how || '\nRAW: ' || raw_text AS embed_text, 'WHAT: ' || what || '\nWHY: ' || why || '\nHOW: ' || coalesce(who_label, 'None') AS part_text FROM memories")
@@ -517,14 +538,13 @@ def embed_text(spark, sf):
     return mem(spark, sf).select("memory_id", X.embed_text(F.col("what"), F.col("why"), F.col("how"), F.col("raw_text")).alias("embed_text"), X.embed_text(F.col("what"), F.col("why"), F.col("who_label")).alias("part_text"))
 
 
-_CODE = "t AS (SELECT 'import os\nfrom a import b\ndef f():\n  def g():\nclass A:\nfunction z() {\nletter = 1\nstruct S {' AS text)"
+_CODE = "t AS (SELECT doc_id, text FROM documents)"
 
 
-@query(f"WITH {_CODE}, l AS (SELECT string_split(text, '\n') AS l FROM t) SELECT array_to_string([trim(x) for x in l if regexp_matches(x, '^(import|from|const|let|var|require)')][1:10], '|') AS imports, array_to_string([trim(x) for x in l if regexp_matches(x, '^(def |function |func |fn |sub )')][1:10], '|') AS functions, array_to_string([trim(x) for x in l if regexp_matches(x, '^(class |interface |struct |enum )')][1:10], '|') AS classes FROM l")
+@query(f"WITH {_CODE}, l AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]') AS l FROM t) SELECT doc_id, array_to_string([trim(x) for x in l if regexp_matches(x, '^(import|from|const|let|var|require)')][1:10], '|') AS imports, array_to_string([trim(x) for x in l if regexp_matches(x, '^(def |function |func |fn |sub )')][1:10], '|') AS functions, array_to_string([trim(x) for x in l if regexp_matches(x, '^(class |interface |struct |enum )')][1:10], '|') AS classes FROM l")
 def code_outline(spark, sf):
-    t = spark.createDataFrame([("import os\nfrom a import b\ndef f():\n  def g():\nclass A:\nfunction z() {\nletter = 1\nstruct S {",)], "text string")
     o = X.code_outline(F.col("text"))
-    return t.select(*[F.array_join(o[c], "|").alias(c) for c in ("imports", "functions", "classes")])
+    return fx.table(spark, sf, "documents").select("doc_id", *[F.array_join(o[c], "|").alias(c) for c in ("imports", "functions", "classes")])
 
 
 @query("SELECT page_id, regexp_replace(html, '<[^<]+?>', '', 'g') AS text, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM pages")
@@ -588,15 +608,23 @@ def related(spark, sf):
 
 
 _COS = f"{_DOT.format(a='x.embedding', b='y.embedding')} / (sqrt({_DOT.format(a='x.embedding', b='x.embedding')}) * sqrt({_DOT.format(a='y.embedding', b='y.embedding')}))"
-_AFF = f"{_ACT}, sm AS (SELECT * FROM memories WHERE vec_id < 60), af AS (SELECT x.memory_id AS m1, y.memory_id AS m2, 0.4 * least(1.0, coalesce(pr.n, 0) / 10.0) + 0.3 * exp(-abs(epoch(x.when_ts::TIMESTAMP) - epoch(y.when_ts::TIMESTAMP)) / 86400.0) + 0.3 * ({_COS} + 1) / 2 AS affinity FROM sm x JOIN sm y ON x.memory_id < y.memory_id LEFT JOIN pr ON pr.m1 = x.memory_id AND pr.m2 = y.memory_id)"
-_CL = "cl AS (SELECT memory_id, vec_id % 4 AS cluster FROM sm), en AS (SELECT * FROM (VALUES (0, 0.9), (1, 0.2), (2, 0.5)) v(cluster, energy))"
-_PULL = "bo AS (SELECT m1 AS memory_id, m2 AS other, affinity FROM af UNION ALL SELECT m2, m1, affinity FROM af), pu AS (SELECT bo.memory_id, t.cluster, avg(affinity) * any_value(coalesce(energy, 0.5)) AS pull FROM bo JOIN cl t ON t.memory_id = bo.other JOIN cl o ON o.memory_id = bo.memory_id LEFT JOIN en ON en.cluster = t.cluster WHERE t.cluster <> o.cluster GROUP BY 1, 2)"
+_AFF = f"{_ACT}, pb AS (SELECT m1, m2, n FROM pr UNION ALL SELECT m2, m1, n FROM pr), sm AS (SELECT * FROM memories WHERE vec_id % 20 = 0), af AS (SELECT x.memory_id AS m1, y.memory_id AS m2, 0.4 * least(1.0, coalesce(pb.n, 0) / 10.0) + 0.3 * exp(-abs(epoch(x.when_ts::TIMESTAMP) - epoch(y.when_ts::TIMESTAMP)) / 86400.0) + 0.3 * ({_COS} + 1) / 2 AS affinity FROM sm x JOIN memories y ON x.memory_id <> y.memory_id LEFT JOIN pb ON pb.m1 = x.memory_id AND pb.m2 = y.memory_id)"
+_CL = "cl AS (SELECT memory_id, vec_id % 4 AS cluster, vec_id % 20 = 0 AS asked FROM memories), en AS (SELECT * FROM (VALUES (0, 0.9), (1, 0.2), (2, 0.5)) v(cluster, energy))"
+_PULL = "pu AS (SELECT af.m1 AS memory_id, t.cluster, avg(affinity) * any_value(coalesce(energy, 0.5)) AS pull FROM af JOIN cl t ON t.memory_id = af.m2 JOIN cl o ON o.memory_id = af.m1 LEFT JOIN en ON en.cluster = t.cluster WHERE t.cluster <> o.cluster GROUP BY 1, 2)"
+
+
+def _affine(m):
+    """The affinities of the query set's memories to all others, and all memories' clusters."""
+    last = m.select("memory_id", F.to_timestamp("when_ts").alias("last_access"))
+    return G.affinity(m.select("memory_id", "embedding"), G.all_pairs(_acts(m), "act"), last, _set(m)), _clusters(m)
+
 
+def _set(m):
+    return m.where(F.col("vec_id") % QUERY_STEP == 0).select("memory_id")
 
-def _few(m):
-    few = m.where("vec_id < 60")
-    last = few.select("memory_id", F.to_timestamp("when_ts").alias("last_access"))
-    return few, G.affinity(few.select("memory_id", "embedding"), G.all_pairs(_acts(m), "act"), last), few.select("memory_id", (F.col("vec_id") % 4).alias("cluster"))
+
+def _clusters(m):
+    return m.select("memory_id", (F.col("vec_id") % 4).alias("cluster"))
 
 
 def _energy(spark):
@@ -605,19 +633,20 @@ def _energy(spark):
 
 @query(f"{MEM}, {_AFF} SELECT m1, m2, round(affinity, 6) AS affinity FROM af")
 def affinity(spark, sf):
-    return _few(mem(spark, sf))[1].withColumn("affinity", F.round("affinity", 6))
+    return _affine(mem(spark, sf))[0].withColumn("affinity", F.round("affinity", 6))
 
 
 @query(f"{MEM}, {_AFF}, {_CL}, {_PULL} SELECT memory_id, cluster, round(pull, 6) AS pull FROM pu")
 def cluster_pull(spark, sf):
-    _, a, c = _few(mem(spark, sf))
+    a, c = _affine(mem(spark, sf))
     return G.pulls(a, c, _energy(spark)).withColumn("pull", F.round("pull", 6))
 
 
-@query(f"{MEM}, {_AFF}, {_CL}, {_PULL}, b AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY pull DESC, cluster) AS n FROM pu) SELECT cl.memory_id, CASE WHEN b.pull > 0.1 THEN b.cluster ELSE cl.cluster END AS cluster, coalesce(b.pull > 0.1, false) AS moved FROM cl LEFT JOIN b ON b.memory_id = cl.memory_id AND n = 1")
+@query(f"{MEM}, {_AFF}, {_CL}, {_PULL}, b AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY pull DESC, cluster) AS n FROM pu) SELECT cl.memory_id, CASE WHEN b.pull > 0.1 THEN b.cluster ELSE cl.cluster END AS cluster, coalesce(b.pull > 0.1, false) AS moved FROM cl LEFT JOIN b ON b.memory_id = cl.memory_id AND n = 1 WHERE asked")
 def flow_step(spark, sf):
-    _, a, c = _few(mem(spark, sf))
-    return G.flow(c, G.pulls(a, c, _energy(spark)))
+    m = mem(spark, sf)
+    a, c = _affine(m)
+    return G.flow(c.join(_set(m), "memory_id", "left_semi"), G.pulls(a, c, _energy(spark)))
 
 
 @query()
@@ -631,19 +660,20 @@ def kmeans(spark, sf):
     return G.kmeans(mem(spark, sf).select("memory_id", "embedding"), 8).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query(f"{MEM}, sm AS (SELECT * FROM memories WHERE vec_id < 60), {_CL}, h AS (SELECT cluster, count(*) AS n FROM cl WHERE substr(memory_id, 5)::BIGINT % 3 = 0 GROUP BY 1) SELECT cluster, round(least(1.0, coalesce(energy, 0.5) + 0.05 * coalesce(n, 0)) * 0.99, 6) AS energy FROM en FULL JOIN h USING (cluster)")
+@query(f"{MEM}, {_CL}, h AS (SELECT cluster, count(*) AS n FROM cl WHERE substr(memory_id, 5)::BIGINT % 3 = 0 GROUP BY 1) SELECT cluster, round(least(1.0, coalesce(energy, 0.5) + 0.05 * coalesce(n, 0)) * 0.99, 6) AS energy FROM en FULL JOIN h USING (cluster)")
 def energy(spark, sf):
-    m = mem(spark, sf).where("vec_id < 60")
-    c = m.select("memory_id", (F.col("vec_id") % 4).alias("cluster"))
+    m = mem(spark, sf)
+    c = _clusters(m)
     return G.cluster_energy(_energy(spark), c, m.where("vec_id % 3 = 0").select("memory_id")).withColumn("energy", F.round("energy", 6))
 
 
-@query(f"{MEM}, c AS (SELECT 'g' || (vec_id % 5) AS memory_id, list(embedding[1]::DOUBLE ORDER BY vec_id) AS xs, any_value(1) AS o FROM memories WHERE vec_id < 50 GROUP BY 1) SELECT memory_id, round(list_reduce(xs, lambda a, x: a * 0.95 + x * 0.05), 6) AS drift, round(0.7 * xs[1] + 0.3 * list_reduce(xs, lambda a, x: a * 0.95 + x * 0.05), 6) AS moved FROM c")
+@query(f"{MEM}, x AS (SELECT 'g' || (vec_id // 10) AS memory_id, vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM memories), c AS (SELECT memory_id, i, list(x ORDER BY vec_id) AS xs FROM x GROUP BY 1, 2), d AS (SELECT memory_id, i, xs[1] AS base, list_reduce(xs, lambda a, x: a * 0.95 + x * 0.05) AS drift FROM c) SELECT memory_id, i, round(drift, 6) AS drift, round(0.7 * base + 0.3 * drift, 6) AS moved FROM d")
 def drift(spark, sf):
-    m = mem(spark, sf).where("vec_id < 50").select(F.concat(F.lit("g"), F.col("vec_id") % 5).alias("memory_id"), F.col("vec_id").alias("at"), F.col("embedding").alias("context"))
+    m = mem(spark, sf).select(F.concat(F.lit("g"), F.floor(F.col("vec_id") / 10)).alias("memory_id"), F.col("vec_id").alias("at"), F.col("embedding").alias("context"))
     d = G.drift(m)
     base = m.groupBy("memory_id").agg(F.min_by("context", "at").alias("embedding"))
-    return G.drifted(base, d).join(d, "memory_id").select("memory_id", F.round(F.col("drift")[0], 6).alias("drift"), F.round(F.col("embedding")[0], 6).alias("moved"))
+    both = G.drifted(base, d).join(d, "memory_id").select("memory_id", F.posexplode(F.arrays_zip("drift", "embedding")).alias("i", "x"))
+    return both.select("memory_id", F.col("i").cast("long").alias("i"), F.round("x.drift", 6).alias("drift"), F.round("x.embedding", 6).alias("moved"))
 
 
 @query(f"{MEM}, {_SYN}, o AS (SELECT m1, m2, weight FROM s0 WHERE weight > 0.52), n AS (SELECT m1, m2, 2 * weight AS w FROM s0 WHERE weight > 0.32) SELECT m1, m2, round(CASE WHEN weight IS NULL THEN w ELSE least(1.0, weight + coalesce(w, 0)) END, 6) AS weight FROM o FULL JOIN n USING (m1, m2)")
@@ -658,9 +688,9 @@ def access_window(spark, sf):
     return G.recent_access(mem(spark, sf).select("memory_id", F.col("when_ts").alias("at")), AS_OF)
 
 
-@query(f"{MEM}, sm AS (SELECT * FROM memories WHERE vec_id < 60), {_CL} SELECT cluster, count(*) AS members, coalesce(any_value(energy), 0.5)::DOUBLE AS energy FROM cl LEFT JOIN en USING (cluster) GROUP BY 1")
+@query(f"{MEM}, {_CL} SELECT cluster, count(*) AS members, coalesce(any_value(energy), 0.5)::DOUBLE AS energy FROM cl LEFT JOIN en USING (cluster) GROUP BY 1")
 def cluster_summary(spark, sf):
-    return G.cluster_summary(mem(spark, sf).where("vec_id < 60").select("memory_id", (F.col("vec_id") % 4).alias("cluster")), _energy(spark))
+    return G.cluster_summary(_clusters(mem(spark, sf)), _energy(spark))
 
 
 @query("SELECT count(*) AS batches, sum(r)::BIGINT AS records, sum(m)::BIGINT AS memories, round(sum(r) / sum(s), 6) AS records_per_s, round(sum(m) / sum(s), 6) AS memories_per_s, round(100.0 * (sum(r) - sum(f)) / sum(r), 6) AS success_pct, round(avg(s), 6) AS avg_batch_s, max(s) AS max_batch_s FROM (SELECT event_id // 100 AS b, count(*) AS r, count(*) FILTER (event_type <> 'error') AS m, count(*) FILTER (event_type = 'error') AS f, 1.0 + (event_id // 100) % 5 AS s FROM events GROUP BY event_id // 100)")
@@ -710,13 +740,13 @@ def place_candidates(spark, sf):
     return legacy.hinted(mem(spark, sf), AS_OF, place="src3").withColumn("score", F.round("score", 6))
 
 
-@query(f"{_FULL} SELECT query_id, memory_id, round(least(1.0, (semantic + 0.1 * (actor > 0)::INT + 0.1 * (temporal > 0)::INT + 0.05 * least(1, coalesce(accesses, 0) / 100.0)) * CASE WHEN query_id = 7 THEN 1.5 ELSE 1.0 END), 6) AS score FROM one")
+@query(f"{_FULL} SELECT query_id, memory_id, round(least(1.0, (semantic + 0.1 * (actor > 0)::INT + 0.1 * (temporal > 0)::INT + 0.05 * least(1, coalesce(accesses, 0) / 100.0)) * CASE WHEN query_id = 20 THEN 1.5 ELSE 1.0 END), 6) AS score FROM one")
 def additive_rerank(spark, sf):
     from tessera.operators import legacy
 
     m = mem(spark, sf)
     rows = R.signals(R.candidates(m, asked(m)), m, asked(m), AS_OF, usage=m.select("memory_id", "accesses"))
-    return legacy.additive(rows, F.col("query_id") == 7).select("query_id", "memory_id", F.round("score", 6).alias("score"))
+    return legacy.additive(rows, F.col("query_id") == 20).select("query_id", "memory_id", F.round("score", 6).alias("score"))
 
 
 @query(f"{MEM} SELECT memory_id, '- ' || what || ' (' || substr(coalesce(why, ''), 1, 100) || ')' AS line FROM memories ORDER BY when_ts DESC, memory_id LIMIT 10")
@@ -725,8 +755,8 @@ def context_lines(spark, sf):
     return top.select("memory_id", F.concat(F.lit("- "), F.col("what"), F.lit(" ("), F.substring(F.coalesce("why", F.lit("")), 1, 100), F.lit(")")).alias("line"))
 
 
-for _n, _desc in (("who_id", False), ("token_count", True), ("where_value", False), ("created_at", True)):
-    made(f"sorted_by_{_n}", lambda spark, sf, n=_n, d=_desc: store.page(mem(spark, sf).select(*COL, "created_at"), n, d, 1, 30).select(*COL), f"{MEM} SELECT {COLS} FROM memories ORDER BY {_n} {'DESC NULLS LAST' if _desc else 'ASC NULLS FIRST'}, memory_id LIMIT 30")
+for _n, _desc in (("who_id", False), ("token_count", True), ("where_value", False), ("created_at", True), ("why", False), ("how", True), ("memory_id", False), ("accesses", True), ("where_type", False)):
+    made(f"sorted_by_{_n}", lambda spark, sf, n=_n, d=_desc: store.page(mem(spark, sf).select(*{*COL, "created_at", n}), n, d, 1, 30).select(*COL), f"{MEM} SELECT {COLS} FROM memories ORDER BY {_n} {'DESC NULLS LAST' if _desc else 'ASC NULLS FIRST'}, memory_id LIMIT 30")
 
 
 @query(f"{MEM}, s AS (SELECT session_id, substr(when_ts,1,10)::DATE AS day, count(*) AS n FROM memories GROUP BY 1, 2) SELECT session_id, max(n) AS busiest, count(*) AS days FROM s GROUP BY 1")

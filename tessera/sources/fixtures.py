@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The time that stands for now, as events end a day before.
 AS_OF = "2024-01-31T00:00:00"
-QUERY_IDS = (0, 7, 42)
+#: The query set of searches: every memory whose number this divides.
+QUERY_STEP = 20
+#: Where each session's memories of a folder lie, by (application, folder).
+_made: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +25,28 @@ def tokens(text):
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 3.5))).cast("int")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one where it is unset and the master is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory table of a folder: joined() written once a session, and read, as a store's memories are."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _made:
+        path = f"{shared(spark)}/memories-{uuid.uuid4().hex}"
+        joined(spark, sf_dir).write.parquet(path)
+        _made[key] = path
+    return spark.read.parquet(_made[key])
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One memory for each embedding: its event is every stride-th, its document the one of its number."""
     v, e, d = (table(spark, sf_dir, n) for n in ("embeddings", "events", "documents"))
     n_docs = d.count()

@@ -145,12 +145,6 @@ def test_pages(spark):
     assert (last.total, last.total_pages, last.has_prev, last.has_next) == (53, 6, True, False)
 
 
-def test_graph_refuses_long_lists(spark):
-    long = spark.range(graph.MOST_ACTIVE + 1).select(F.lit("a").alias("act"), F.col("id").cast("string").alias("memory_id"))
-    with pytest.raises(Exception, match="too long"):
-        graph.pairs(long, "act").count()
-
-
 def test_pairs_of_long_lists(spark):
     n = graph.MOST_ACTIVE + 100
     acts = spark.range(n).selectExpr("'a' as act", "lpad(id, 6, '0') as memory_id").union(spark.range(3).selectExpr("'b'", "lpad(id, 6, '0')"))
@@ -158,7 +152,7 @@ def test_pairs_of_long_lists(spark):
     assert got.where("m1 < m2").count() == got.count() == n * (n - 1) // 2
     assert got.where("weight > 0.015").count() == 3
     few = acts.where("memory_id < '000050'")
-    assert sorted(graph.all_pairs(few, "act", block=7).collect()) == sorted(graph.pairs(few, "act").collect())
+    assert sorted(graph.all_pairs(few, "act", block=7).collect()) == sorted(graph.all_pairs(few, "act").collect())
 
 
 def test_flow_and_merge(spark):
