@@ -116,18 +116,28 @@ def first_json(text: Column, shape: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(text, pattern, 0), F.lit("")), shape)
 
 
+#: How calls stand in an answer, in the order they are looked for.
+CALLS = (r"(?s)<tool_call>(.*?)</tool_call>", r"(?s)```tool_call\n(.*?)\n```", r"(?s)```json\n(.*?)\n```")
+
+
+def _calls(text: Column) -> Column:
+    """What stands in the places of calls and is one: its whole text and what it says, as (said, call)."""
+    found = F.concat(*[F.zip_with(all_matches(text, p, 0), all_matches(text, p, 1), lambda said, inner: F.struct(said.alias("said"), inner.alias("inner"))) for p in CALLS])
+    shape = "struct<name:string,tool:string,arguments:map<string,string>,params:map<string,string>>"
+    read = F.transform(found, lambda x: F.struct(x["said"].alias("said"), F.from_json(F.replace(F.trim(x["inner"]), F.lit("'"), F.lit('"')), shape).alias("call")))
+    return F.filter(read, lambda x: x["call"]["name"].isNotNull() | (x["call"]["tool"].isNotNull() & x["call"]["arguments"].isNotNull()))
+
+
 def tool_calls(text: Column) -> Column:
     """Calls in a model's answer: tagged, or in fenced blocks, as (name, arguments)."""
-    found = F.concat(*[all_matches(text, p, 1) for p in (r"(?s)<tool_call>(.*?)</tool_call>", r"(?s)```tool_call\n(.*?)\n```", r"(?s)```json\n(.*?)\n```")])
-    shape = "struct<name:string,tool:string,arguments:map<string,string>,params:map<string,string>>"
-    read = F.transform(found, lambda x: F.from_json(F.replace(F.trim(x), F.lit("'"), F.lit('"')), shape))
-    ok = F.filter(read, lambda x: x["name"].isNotNull() | (x["tool"].isNotNull() & x["arguments"].isNotNull()))
-    return F.transform(ok, lambda x: F.struct(F.coalesce(x["name"], x["tool"]).alias("name"), F.coalesce(x["arguments"], x["params"], F.create_map().cast("map<string,string>")).alias("arguments")))
+    none = F.create_map().cast("map<string,string>")
+    return F.transform(_calls(text), lambda x: F.struct(F.coalesce(x["call"]["name"], x["call"]["tool"]).alias("name"), F.coalesce(x["call"]["arguments"], x["call"]["params"], none).alias("arguments")))
 
 
 def without_tool_calls(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"(?s)<tool_call>.*?</tool_call>|```tool_call\n.*?\n```", "")
-    return F.trim(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
+    """The answer without its calls; what looks like one but doesn't parse stays."""
+    bare = F.aggregate(_calls(text), text, lambda left, x: F.replace(left, x["said"], F.lit("")))
+    return F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def wants_search(text: Column) -> Column:

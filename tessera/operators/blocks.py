@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 WINDOW, OUTPUT, SYSTEM = 20480, 1024, 512
 
 
+def left(window: int, output: int, system: int, overhead: int = 0, search: bool = False) -> int:
+    """budget() for one query, with other fixed parts."""
+    return max(512, window - output - system - overhead - (512 if search else 0))
+
+
 def budget(overhead: Column, search: bool = False) -> Column:
     """What is left of the window for memories, 512 at least; a search keeps 512 more."""
     left = F.lit(WINDOW - OUTPUT - SYSTEM) - overhead - (512 if search else 0)

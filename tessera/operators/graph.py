@@ -147,8 +147,11 @@ def kmeans(vectors: DataFrame, k: int = 64, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("memory_id", F.col("prediction").alias("cluster"))
 
 
-def drift(contexts: DataFrame, momentum: float = 0.95) -> DataFrame:
-    """memory_id, drift from (memory_id, at, context): the first context, then momentum of the old and the rest of the new, in order."""
+def drift(contexts: DataFrame, momentum: float = 0.95, before: DataFrame | None = None) -> DataFrame:
+    """memory_id, drift from (memory_id, at, context): the first context, or the drift before, then momentum of the old and the rest of the new, in order."""
+    contexts = contexts.select("memory_id", "at", F.col("context").cast("array<double>").alias("context"))
+    if before is not None:
+        contexts = before.select("memory_id", F.lit(None).alias("at"), F.col("drift").alias("context")).unionByName(contexts)  # nulls sort first
     rows = contexts.groupBy("memory_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "context"))), lambda x: x["context"]).alias("c"))
     step = lambda a, x: F.zip_with(a, x, lambda o, n: o * momentum + n.cast("double") * (1 - momentum))
     first = F.transform(F.col("c")[0], lambda x: x.cast("double"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
 from tessera.functions import text as X
+from tessera.functions.temporal import RELATIVE
 from tessera.operators import vector
 
 SIGNALS = tuple(S.WEIGHTS)
@@ -24,21 +25,25 @@ def candidates(mem: DataFrame, queries: DataFrame, k: int = 50, actor_cap: int =
     queries: query_id, query (a vector), text, actor (or null), first, last and cap (the days of a date hint, or null, and the rows it takes at
     most, as temporal.window() has them). Actors and days take their newest rows up to the caps.
     """
-    near = vector.knn(mem, queries, k).select("query_id", "memory_id", S.unit(F.col("similarity")).alias("semantic"), F.lit(0.0).alias("actor"), F.lit(0.0).alias("temporal"))
-    newest = Window.partitionBy("query_id").orderBy(F.col("when_ts").desc(), "memory_id")
+    near = vector.nearest(mem, queries, k).select("query_id", "memory_id", F.lit("semantic").alias("source"), F.lit(k).alias("cap"), "similarity", F.lit(None).cast("string").alias("when_ts"))
     by = mem.select("memory_id", "who_id", "when_ts")
 
-    def hinted(asked: DataFrame, on: Column, cap: int | Column, actor: float, temporal: float) -> DataFrame:
+    def hinted(asked: DataFrame, on: Column, source: str) -> DataFrame:
         # a given set of queries, of which ids, hints and days are sent only, if they are few
         asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
-        hit = by.join(asked, on)
-        return hit.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= cap).select("query_id", "memory_id", F.lit(0.0).alias("semantic"), F.lit(actor).alias("actor"), F.lit(temporal).alias("temporal"))
+        return by.join(asked, on).select("query_id", "memory_id", F.lit(source).alias("source"), "cap", F.lit(0.0).alias("similarity"), "when_ts")
 
-    actors = hinted(queries.where("actor is not null").select("query_id", F.col("actor").alias("hint")), F.col("who_id") == F.col("hint"), actor_cap, 1.0, 0.0)
+    actors = hinted(queries.where("actor is not null").select("query_id", F.col("actor").alias("hint"), F.lit(actor_cap).alias("cap")), F.col("who_id") == F.col("hint"), "actor")
     # a row for each day of a hint, so that days meet by equality and not by range
     dated = queries.where("first <= last").select("query_id", "cap", F.explode(F.sequence("first", "last")).alias("day"))
-    days = hinted(dated, F.to_date(F.substring("when_ts", 1, 10)) == F.col("day"), F.col("cap"), 0.0, 1.0)
-    return near.unionByName(actors).unionByName(days).groupBy("query_id", "memory_id").agg(*[F.max(c).alias(c) for c in ("semantic", "actor", "temporal")])
+    days = hinted(dated, F.to_date(F.substring("when_ts", 1, 10)) == F.col("day"), "temporal")
+    # one window for all sources; the constant bound lets each task drop rows before the shuffle
+    best = Window.partitionBy("query_id", "source").orderBy(F.col("similarity").desc(), F.col("when_ts").desc(), "memory_id")
+    rows = near.unionByName(actors).unionByName(days).withColumn("n", F.row_number().over(best))
+    rows = rows.where((F.col("n") <= max(k, actor_cap, *(x[2] for x in RELATIVE.values()))) & (F.col("n") <= F.col("cap")))
+    flag = lambda name: F.max(F.when(F.col("source") == name, 1.0).otherwise(0.0)).alias(name)
+    semantic = F.max(F.when(F.col("source") == "semantic", S.unit(F.col("similarity"))).otherwise(0.0)).alias("semantic")
+    return rows.groupBy("query_id", "memory_id").agg(semantic, flag("actor"), flag("temporal"))
 
 
 def signals(cands: DataFrame, mem: DataFrame, queries: DataFrame, as_of: str, source: str = "when_list", half_life: float = 168.0, usage: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,14 @@ QUERY_BLOCK = 1024
 
 def knn(mem: DataFrame, queries: DataFrame, k: int, key: str = "memory_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
     """For each query its k nearest rows by inner product in doubles: query, key, similarity, rank. Ties go to the lesser key; rows without a
-    vector are left out; a vector of another length than a query's is an error.
+    vector are left out; a vector of another length than a query's is an error."""
+    w = Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), key)
+    near = nearest(mem, queries, k, key, vector, query_key, query_vector)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest(mem: DataFrame, queries: DataFrame, k: int, key: str = "memory_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
+    """query, key, similarity of the k nearest rows of each partition, so all that knn() chooses among.
 
     Queries are a given set; they go to the rows in blocks of about QUERY_BLOCK, so what is broadcast is bounded by block size times
     dimension. Products are of Arrow batches; each partition keeps k rows of each query before the shuffle.
@@ -27,8 +34,7 @@ def knn(mem: DataFrame, queries: DataFrame, k: int, key: str = "memory_id", vect
         rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).toArrow()
         near = base.mapInArrow(_nearest(rows, k), kinds)
         out = near if out is None else out.unionByName(near)
-    w = Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), key)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out
 
 
 def _matrix(column):

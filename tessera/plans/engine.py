@@ -58,19 +58,25 @@ class MemoryStore:
         gone = m.where(F.col("memory_id").isin(ids or []) | (F.col("session_id") == session if session else F.lit(False)))
         return self.table.write(store.delete(m, gone))
 
-    def search(self, text: str, k: int = 50, as_of: str | None = None, actor: str | None = None, budget: bool = False, weights: dict | None = None) -> DataFrame:
-        """Ranked memories for a text; its phrases of time are a date hint and are not embedded. budget: only what fits the window."""
-        as_of = as_of or self.memories().agg(F.max("when_ts")).first()[0]
+    def search(self, text: str, k: int | None = None, as_of: str | None = None, actor: str | None = None, budget: bool = False, weights: dict | None = None, overhead: int = 0) -> DataFrame:
+        """Ranked memories for a text; its phrases of time are a date hint, of a day, a range or relative, and are not embedded. budget: only what fits
+        the window beside overhead tokens. k, weights, grouping and half-life are the settings' unless they are given."""
+        as_of = as_of or self.memories().agg(F.max("when_ts")).first()[0] or "1970-01-01"
+        k = k or self.config.get("topk_semantic")
+        if weights is None and any(x.startswith("weight_") for x in self.config.values):
+            weights = self.config.weights()
         one = self.spark.createDataFrame([(0, text, actor)], "query_id int, text string, actor string")
         one = one.withColumns({"hint": temporal.hint(F.col("text"), as_of), "clean": temporal.cleaned(F.col("text"))})
-        row = one.select("clean", "hint.first").first()
-        q = self.spark.createDataFrame([(0, [float(x) for x in self.embedder.encode([row[0]])[0]], text, actor, row[1])], "query_id int, query array<float>, text string, actor string, day string")
-        m = self.memories()
-        found = retrieval.search(m, q.withColumn("day", F.to_date("day")), as_of, k, weights, group=self.config.get("grouping") != "off")
+        row = one.select("clean", temporal.window(F.col("hint"), as_of).alias("w")).select("clean", "w.*").first()
+        vec = [float(x) for x in self.embedder.encode([row.clean])[0]]
+        q = self.spark.createDataFrame([(0, vec, text, actor, row.first, row.last, row.cap)], "query_id int, query array<float>, text string, actor string, first date, last date, cap int")
+        grouping = self.config.get("grouping")
+        found = retrieval.search(self.memories(), q, as_of, k, weights, grouping != "off", literal=grouping == "literal", half_life=self.config.get("half_life_hours"))
         if budget:
-            picked = blocks.knapsack(found, self.config.get("context_window") - self.config.get("reserve_output_tokens") - self.config.get("reserve_system_tokens"))
+            window = [self.config.get(x) for x in ("context_window", "reserve_output_tokens", "reserve_system_tokens")]
+            picked = blocks.knapsack(found, blocks.left(*window, overhead, True))
             found = found.join(picked.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_semi")
-        return retrieval.cards(found)
+        return retrieval.cards(found).orderBy("rank")
 
     def context(self, text: str, k: int = 10, as_of: str | None = None) -> str:
         """The best memories as lines for a prompt."""

@@ -779,6 +779,15 @@ def stream_timeline(spark, sf):
     return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "errors")
 
 
+@query("SELECT event_id AS id, event_type AS key, (value - 1)::DECIMAL(18,2)::VARCHAR AS old_value, value::DECIMAL(18,2)::VARCHAR AS new_value, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS changed_at FROM events WHERE event_type = 'click' ORDER BY changed_at DESC, id DESC LIMIT 50")
+def config_history(spark, sf):
+    from tessera.plans import config
+
+    value = F.col("value").cast("decimal(18,2)")
+    rows = fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("key"), (F.col("value") - 1).cast("decimal(18,2)").cast("string").alias("old_value"), value.cast("string").alias("new_value"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("changed_at"))
+    return config.history(rows, "click")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search with grouping, packed into a budget, as result cards."""
     m = mem(spark, sf)

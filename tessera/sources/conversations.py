@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MESSAGES = "array<struct<role:string,content:string>>"
+
+
 def parsed(text: Column) -> Column:
-    """A conversation column, JSON or a list whose objects lack commas between them, as an array of (role, content)."""
-    fixed = F.regexp_replace(text, r"\}\s*\n\s*\{", "}, {")
-    return F.from_json(fixed, "array<struct<role:string,content:string>>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
+    """A conversation column, JSON or a Python literal, whose objects may lack commas between them, as an array of (role, content); empty if it is
+    neither. What is plain JSON is read by Spark; only the rest goes through Python."""
+    fixed = F.trim(F.regexp_replace(text, r"\}\r?\n ?\{", "}, {"))
+    read = F.from_json(fixed, MESSAGES, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    plain = F.rlike(fixed, F.lit(r"^\[")) & read.isNotNull() & F.try_parse_json(fixed).isNotNull()
+
+    @F.pandas_udf(MESSAGES)
+    def literal(texts: pd.Series) -> pd.Series:
+        return pd.Series([_read(t) for t in texts], dtype=object)
+
+    return F.when(plain, read).otherwise(literal(F.when(~F.coalesce(plain, F.lit(False)), fixed)))
+
+
+def _read(text: str | None) -> list[dict] | None:
+    if text is None:
+        return None
+    try:
+        got = ast.literal_eval(text)
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        try:
+            got = json.loads(text)
+        except ValueError:
+            return []
+    said = lambda x: x if isinstance(x, str) or x is None else json.dumps(x, default=str)
+    return [{"role": said(m.get("role")), "content": said(m.get("content"))} for m in got if isinstance(m, dict)] if isinstance(got, list) else []
 
 
 def exploded(rows: DataFrame) -> DataFrame:
-    """A row for each message of a bulk file's rows (conversation_id, conversation)."""
+    """A row for each message of a bulk file's rows (conversation_id, conversation); a row that can't be read, or is null, gives none."""
     return rows.select(F.col("conversation_id").alias("conv_id"), F.posexplode(parsed(F.col("conversation"))).alias("turn", "m")).select("conv_id", "turn", "m.role", F.col("m.content").alias("text"))
 
 

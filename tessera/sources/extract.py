@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,51 @@ def parts(events: DataFrame) -> DataFrame:
     return _rows(named, what, _meta("location", default="local_ui"), _meta("intent", default="unspecified"), _meta("method", default="message"), False)
 
 
+def parts_by(events: DataFrame, extract: Callable[[list[dict]], list[list[dict]]], batch: int = 8) -> DataFrame:
+    """Several memories for each event. extract takes a list of events and gives a list of parts for each: who (type, id), what, where (type, value),
+    why, how, all of which may be missing. It is called in the executors with batch events at a time. An event without parts, or one that extract fails
+    on, is one part by the rule. Parts are numbered in their source_event_id; only the first holds the whole text. An event without an id, or
+    content, is kept with null and empty text."""
+
+    def run(batches):
+        import pandas as pd
+
+        for frame in batches:
+            rows = []
+            for i in range(0, len(frame), batch):
+                own = frame.iloc[i : i + batch].to_dict("records")
+                try:
+                    found = extract(own)
+                except Exception:  # a failing extractor falls back to the rule
+                    found = [[]] * len(own)
+                for e, ps in zip(own, found):
+                    rows += _parted(e, ps)
+            yield pd.DataFrame(rows, columns=_PART)
+
+    rule = parts(events)
+    flat = events.join(rule.select(F.regexp_replace("source_event_id", "_part0$", "").alias("event_id"), F.struct("who_type", "what", "where_value", "why", "how").alias("rule")), "event_id", "left")
+    flat = flat.select("event_id", "session_id", "event_type", "actor", "content", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("when_ts"), "rule.*")
+    rows = flat.mapInPandas(run, ", ".join(f"{c} {'int' if c in ('part_index', 'total_parts') else 'string'}" for c in _PART))
+    rows = rows.withColumn("memory_id", F.concat(F.lit("mem_"), F.substring(F.md5("source_event_id"), 1, 12)))
+    rows = rows.withColumn("embed_text", X.embed_text(F.col("what"), F.col("why"), F.col("how"), None))
+    return rows.withColumn("token_count", tokens(F.col("embed_text")))
+
+
+_PART = ["session_id", "source_event_id", "who_type", "who_id", "what", "when_ts", "where_type", "where_value", "why", "how", "raw_text", "part_index", "total_parts"]
+
+
+def _parted(event: dict, found: list[dict]) -> list[tuple]:
+    content = event["content"] or ""
+    given = found or [{"who": {"type": event["who_type"], "id": event["actor"]}, "what": event["what"], "where": {"value": event["where_value"]}, "why": event["why"], "how": event["how"]}]
+    out = []
+    for i, p in enumerate(given):
+        who, where = p.get("who") or {}, p.get("where") or {}
+        what = (p.get("what") or "").strip() or f"Part {i + 1} of {content[:100]}"
+        raw = content if i == 0 else f"[Part {i + 1}] {what}"
+        out.append((event["session_id"], f"{event['event_id']}_part{i}", who.get("type") or event["who_type"], who.get("id") or event["actor"], what, event["when_ts"], where.get("type") or "digital", where.get("value") or "local_ui", p.get("why") or "unspecified", p.get("how") or "message", raw, i, len(given)))
+    return out
+
+
 def _rows(events: DataFrame, what: Column, where: Column, why: Column, how: Column, raw: bool) -> DataFrame:
     rows = events.select(F.concat(F.lit("mem_"), F.substring(F.md5("event_id"), 1, 12)).alias("memory_id"), "session_id", F.col("event_id").alias("source_event_id"), X.who_type(F.col("event_type")).alias("who_type"), F.col("actor").alias("who_id"), what.alias("what"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("when_ts"), F.lit("digital").alias("where_type"), where.alias("where_value"), why.alias("why"), how.alias("how"), F.col("content").alias("raw_text"))
     said = X.embed_text(F.col("what"), F.col("why"), F.col("how"), F.col("raw_text") if raw else None)

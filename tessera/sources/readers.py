@@ -24,25 +24,25 @@ MOST_BYTES = 50 * 1024 * 1024
 RECORD = "raw_text string, text string, content string, memory_id string, session_id string, who_type string, who_id string, who_label string, what string, when_ts string, where_type string, where_value string, why string, how string"
 
 
-def csv_records(spark: SparkSession, path: str) -> DataFrame:
+def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text; quoted fields may hold commas and line ends."""
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
-def json_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """A list of records, a record, or an export, whose memories are the records."""
-    shape = f"struct<memories:array<struct<{_typed(schema)}>>,{_typed(schema)}>"
-    read = spark.read.text(path, wholetext=True).select(F.when(F.rlike(F.trim("value"), F.lit(r"(?s)^\[")), F.from_json("value", f"array<{shape}>")).otherwise(F.array(F.from_json("value", shape))).alias("rows"))
-    top = read.select(F.explode("rows").alias("r"))
-    inner = top.where("r.memories is not null").select(F.explode("r.memories").alias("m")).select("m.*")
-    return top.where("r.memories is null").select(*[F.col(f"r.{c}") for c in inner.columns]).unionByName(inner)
+def json_records(spark: SparkSession, path: str | list[str], schema: str = RECORD) -> DataFrame:
+    """A list of records, a record, or an export, whose memories are the records. Fields that schema lacks are in extra, as text."""
+    names = [c.split()[0] for c in schema.split(",")]
+    known = F.array(*[F.lit(n) for n in names])
+    text = F.trim("value")
+    rows = F.when(F.rlike(text, F.lit(r"(?s)^\[")), F.from_json("value", "array<map<string,string>>")).otherwise(F.array(F.from_json("value", "map<string,string>")))
+    top = spark.read.text(path, wholetext=True).select(F.explode(rows).alias("r"))
+    inner = F.when(F.map_contains_key("r", F.lit("memories")), F.from_json(F.col("r")["memories"], "array<map<string,string>>")).otherwise(F.array("r"))
+    one = top.where("r is not null").select(F.explode(inner).alias("m"))
+    extra = F.map_filter("m", lambda k, v: ~F.array_contains(known, k))
+    return one.select(*[F.col("m")[n].cast(t).alias(n) for n, t in (c.split() for c in schema.split(","))], F.when(F.size(extra) > 0, extra).alias("extra"))
 
 
-def _typed(schema: str) -> str:
-    return ",".join(":".join(c.split()) for c in schema.split(","))
-
-
-def text_records(spark: SparkSession, path: str) -> DataFrame:
+def text_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw_text")
 
 
@@ -56,9 +56,23 @@ def kind_of(content: str) -> str:
 
 
 def any_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a file of unknown kind, which its first part tells."""
-    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 1 << 20)).first()
-    return {"json": json_records, "csv": csv_records, "text": text_records}[kind_of(head[0] if head else "")](spark, path)
+    """Records of files of unknown kinds: each whole file tells its own, in the executors; the driver holds a kind for each file."""
+
+    def sniff(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            kinds = [kind_of(x.decode("utf-8", "replace")) for x in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(kinds, pa.string())], names=["path", "kind"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(sniff, "path string, kind string").collect()
+    out = None
+    for kind, read in (("json", json_records), ("csv", csv_records), ("text", text_records)):
+        own = sorted(f.path for f in files if f.kind == kind)
+        if own:
+            got = read(spark, own)
+            out = got if out is None else out.unionByName(got, allowMissingColumns=True)
+    return text_records(spark, path) if out is None else out
 
 
 def dispatch_columns(records: DataFrame) -> dict[str, Column]:
@@ -66,7 +80,7 @@ def dispatch_columns(records: DataFrame) -> dict[str, Column]:
     have = set(records.columns)
     col = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
     texts = [F.nullif(col(c), F.lit("")) for c in ("raw_text", "text", "content")]
-    content = F.coalesce(*texts, F.to_json(F.struct(*records.columns)))
+    content = F.coalesce(*texts, F.to_json(F.struct(*records.columns)))  # with extra, so all fields
     who = F.coalesce(col("who_type"), F.lit("user"))
     kind = F.when(who == "llm", "llm").when(who == "system", "system").otherwise("user")
     return {
@@ -185,7 +199,9 @@ def document_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] | N
     files = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
     if suffixes is not None:
         files = files.where(F.col("suffix").isin(*suffixes))
-    files = files.select("path", "suffix", F.col("length").alias("size"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
+    # the length is tested by the scan: what is too large is never loaded
+    own = files.where(F.col("length") <= most_bytes).select("path", "suffix", F.col("length").alias("size"), "content")
+    files = own.unionByName(files.where(F.col("length") > most_bytes).select("path", "suffix", F.col("length").alias("size"), F.lit(None).cast("binary").alias("content")))
 
     def read(batches):
         import pandas as pd

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ def import_json(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 class Versions:
-    """A table as a row of Parquet snapshots: a reader sees the last whole one, a failed write none of it."""
+    """A table as a row of Parquet snapshots: a reader sees the last whole one, a failed write none of it. A write goes to a folder of its own,
+    which is renamed to the next number when it is whole; where another writer has taken the number, the write fails and can be done again on
+    what that one wrote. clean() deletes old snapshots."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -43,11 +47,76 @@ class Versions:
         n = self.numbers()[-1] if version is None else version
         return self.spark.read.parquet(f"{self.path}/v{n}")
 
-    def write(self, rows: DataFrame) -> int:
-        n = (self.numbers() or [-1])[-1] + 1
-        rows.write.parquet(f"{self.path}/v{n}")
+    def write(self, rows: DataFrame, number: int | None = None) -> int:
+        """Writes the next version, or the given one; gives its number."""
+        n = (self.numbers() or [-1])[-1] + 1 if number is None else number
+        made = f"{self.path}/_made-{uuid.uuid4().hex}"
+        rows.write.parquet(made)
+        fs, jvm = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path
+        to = path(f"{self.path}/v{n}")
+        if fs.exists(to) or not fs.rename(path(made), to):
+            fs.delete(path(made), True)
+            raise FileExistsError(f"another writer made version {n} of {self.path}")
         return n
 
+    def clean(self, keep: int = 2) -> list[int]:
+        """Deletes all versions but the last keep; gives their numbers. Readers of older ones must be done."""
+        fs, jvm = self._fs()
+        old = self.numbers()[:-keep] if keep else self.numbers()
+        for n in old:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n}"), True)
+        return old
+
+
+class VectorIndex:
+    """Vectors by id in versions of a table. Removed ones stay as tombstones (removed) until the next rebuild; searches leave them out before the cut."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = Versions(spark, path)
+
+    def _now(self) -> DataFrame:
+        if self.table.numbers():
+            return self.table.read()
+        return self.table.spark.createDataFrame([], "memory_id string, embedding array<float>, removed boolean")
+
+    def add(self, rows: DataFrame) -> int:
+        """rows (memory_id, embedding) in place of those with their ids."""
+        new = rows.select("memory_id", F.col("embedding").cast("array<float>"), F.lit(False).alias("removed"))
+        return self.table.write(self._now().join(new.select("memory_id"), "memory_id", "left_anti").unionByName(new))
+
+    def remove(self, ids: DataFrame) -> int:
+        gone = ids.select("memory_id", F.lit(True).alias("_gone")).distinct()
+        rows = self._now().join(gone, "memory_id", "left")
+        return self.table.write(rows.select("memory_id", "embedding", (F.col("removed") | F.coalesce("_gone", F.lit(False))).alias("removed")))
+
+    def rows(self) -> DataFrame:
+        return self._now().where("not removed").drop("removed")
+
+    def rebuild(self) -> int:
+        """A version without tombstones."""
+        return self.table.write(self._now().where("not removed"))
+
+    def reset(self) -> int:
+        return self.table.write(self._now().limit(0))
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        from tessera.operators.vector import knn
+
+        return knn(self.rows(), queries, k)
+
+
+def save_state(synapses: DataFrame, importance: DataFrame, versions: Versions) -> int:
+    """Consolidation state, synapses and importance, as one version: both are there or neither."""
+    a = synapses.select(F.lit("synapse").alias("kind"), "m1", "m2", "weight", F.lit(None).cast("long").alias("connections"))
+    b = importance.select(F.lit("importance").alias("kind"), F.col("memory_id").alias("m1"), F.lit(None).cast("string").alias("m2"), F.col("importance").alias("weight"), F.col("connections").cast("long").alias("connections"))
+    return versions.write(a.unionByName(b))
+
+
+def load_state(versions: Versions, number: int | None = None) -> tuple[DataFrame, DataFrame]:
+    rows = versions.read(number)
+    return rows.where("kind = 'synapse'").select("m1", "m2", "weight"), rows.where("kind = 'importance'").select(F.col("m1").alias("memory_id"), F.col("weight").alias("importance"), "connections")
+
 
 def save_blocks(members: DataFrame, path: str) -> None:
     """Blocks, and their members by rank, as two tables."""

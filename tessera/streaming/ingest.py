@@ -1,4 +1,4 @@
-"""Structured Streaming: events to memories, timelines, freshness, synapses."""
+"""Structured Streaming: events to memories, timelines, freshness, and state in versions: synapses, energies, shared accesses, drift."""
 
 from __future__ import annotations
 
@@ -67,15 +67,46 @@ def latest(stream: DataFrame, ttl_hours: float = 24.0) -> DataFrame:
     return stream.withWatermark("timestamp", "1 hour").groupBy("session_id").applyInPandasWithState(step, out, held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def synapses(stream: DataFrame, key: str = "activation_id", rate: float = 0.01):
-    """For foreachBatch: adds each batch's activations (key, memory_id) to a versioned synapse table."""
+def updates(stream: DataFrame, versions, first: str, step):
+    """A query's writer that keeps state in versions of a table: step(state, batch) gives the next state, first is the schema of an empty one. The
+    version has the batch's number, so a batch that is repeated after a failure is skipped if its version is there, and else starts from the
+    version before it: it counts once."""
+
+    def write(batch: DataFrame, number: int):
+        done = versions.numbers()
+        if number in done:
+            return
+        old = [n for n in done if n < number]
+        state = versions.read(old[-1]) if old else batch.sparkSession.createDataFrame([], first)
+        versions.write(step(state, batch), number)
+
+    return stream.writeStream.foreachBatch(write)
+
+
+def synapses(stream: DataFrame, versions, key: str = "activation_id", rate: float = 0.01):
+    """Activations (key, memory_id) into synapses (m1, m2, weight)."""
+    from tessera.operators import graph
+
+    return updates(stream, versions, "m1 string, m2 string, weight double", lambda old, batch: graph.hebbian(old, batch, key, rate))
+
+
+def energies(stream: DataFrame, versions, clusters: DataFrame):
+    """Accesses (memory_id) into the energy of clusters (memory_id, cluster): each batch is one step."""
+    from tessera.operators import graph
+
+    return updates(stream, versions, "cluster long, energy double", lambda old, batch: graph.cluster_energy(old, clusters, batch))
+
+
+def co_access(stream: DataFrame, versions, key: str = "activation_id"):
+    """Access lists (key, memory_id) into numbers of shared accesses (m1, m2, n)."""
     from tessera.operators import graph
 
-    def to(versions):
-        def write(batch: DataFrame, number: int):
-            old = versions.read() if versions.numbers() else batch.sparkSession.createDataFrame([], "m1 string, m2 string, weight double")
-            versions.write(graph.hebbian(old, batch, key, rate))
+    add = lambda old, batch: old.unionByName(graph.all_pairs(batch, key)).groupBy("m1", "m2").agg(F.sum("n").alias("n"))
+    return updates(stream, versions, "m1 string, m2 string, n long", add)
 
-        return stream.writeStream.foreachBatch(write)
 
-    return to
+def drifts(stream: DataFrame, versions, momentum: float = 0.95):
+    """Contexts (memory_id, at, context) into drift vectors (memory_id, drift)."""
+    from tessera.operators import graph
+
+    return updates(stream, versions, "memory_id string, drift array<double>", lambda old, batch: graph.drift(batch, momentum, old))

@@ -321,3 +321,175 @@ def test_stored_synapses(spark):
     more = spark.createDataFrame([("b", "a", 0.5), ("d", "c", 1.5)], "m1 string, m2 string, weight double")
     got = {(r.m1, r.m2): r.weight for r in graph.stored(s, more).collect()}
     assert got == {("a", "b"): 1.0, ("a", "c"): 0.2, ("c", "d"): 1.5}
+
+
+def test_date_windows(spark):
+    said = ["yesterday", "last week", "past month", "last year", "3 days ago", "2 weeks ago", "on 2023-05-06", "nothing"]
+    got = one(spark, said, lambda c: temporal.window(temporal.hint(c, AS_OF), AS_OF))
+    want = [("2024-01-30", "2024-01-30", 200), ("2024-01-24", "2024-01-31", 300), ("2024-01-01", "2024-01-31", 500), ("2023-01-31", "2024-01-31", 1000), ("2024-01-28", "2024-01-28", 500), ("2024-01-17", "2024-01-24", 500), ("2023-05-06", "2023-05-06", 500), (None, None, 500)]
+    assert [(g["first"] and str(g["first"]), g["last"] and str(g["last"]), g["cap"]) for g in got] == want
+
+
+def test_search_takes_relative_dates_and_settings(spark, tmp_path):
+    rows = [{"event_id": f"e{i}", "session_id": "s", "event_type": "user_message", "timestamp": f"2024-01-{1 + i:02d}T10:00:00", "actor": "user:a", "content": "we spoke of Rome", "metadata": {}} for i in range(30)]
+    (tmp_path / "e.json").write_text("\n".join(map(json.dumps, rows)))
+    s = MemoryStore(spark, str(tmp_path / "db"))
+    s.ingest(spark.read.schema(extract.EVENT).json(str(tmp_path / "e.json")))
+    day = lambda r: int(r.when_ts[8:10])
+    found = s.search("what did we say about Rome last week", 30, "2024-01-30T12:00:00").collect()
+    assert [r.rank for r in found] == list(range(1, 31)) and {day(r) for r in found[:8]} == set(range(23, 31))  # the eight days of the hint come first
+    found = s.search("what did we say 2 weeks ago about Rome", 30, "2024-01-30T12:00:00").collect()
+    assert {day(r) for r in found[:8]} == set(range(16, 24))
+    s.config.set("topk_semantic", 3)
+    s.config.set("grouping", "literal")
+    assert s.search("Rome", as_of="2024-01-30T12:00:00").count() == 3
+    s.config.set("weight_semantic", 0.0)
+    s.config.set("weight_temporal", 1.0)
+    assert all(r.score > 0 for r in s.search("Rome 5 days ago", as_of="2024-01-30T12:00:00").collect()[:1])
+    s.config.set("context_window", 2048)
+    assert s.search("Rome", 30, "2024-01-30T12:00:00", budget=True, overhead=100000).count() < 30
+
+
+def test_candidates_take_500_of_an_actor_and_a_day(spark):
+    m = spark.range(1300).selectExpr("format_string('m%05d', id) as memory_id", "if(id < 600, 'a', 'b') as who_id", "if(id >= 600, '2024-01-05', '2024-01-04') as when_ts", "array(1.0F, id / 1300.0F) as embedding")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "a", "2024-01-05", 500), (2, [1.0, 0.0], None, None, 500)], "query_id int, query array<float>, actor string, day string, cap int").selectExpr("*", "to_date(day) as first", "to_date(day) as last")
+    got = retrieval.candidates(m, q, 10).collect()
+    assert sum(r.actor for r in got if r.query_id == 1) == 500 and sum(r.temporal for r in got if r.query_id == 1) == 500
+    assert sum(r.query_id == 2 for r in got) == 10
+
+
+def test_calls_are_taken_out_and_broken_ones_stay(spark):
+    t = ["a <tool_call>{'name': 'x', 'arguments': {}}</tool_call> b", 'say\n\n\n```json\n{"tool": "t", "arguments": {"q": 1}}\n```\n\n\nend ', "<tool_call>bad</tool_call> c", '```json\n{"a": 1}\n```', None, " plain "]
+    assert one(spark, t, X.without_tool_calls) == ["a  b", "say\n\nend", "<tool_call>bad</tool_call> c", '```json\n{"a": 1}\n```', None, "plain"]
+
+
+def test_bulk_conversations_as_literals(spark):
+    texts = {
+        "json": '[{"role": "user", "content": "it\'s \\u00e9"}]',
+        "python": "[{'role': 'user', 'content': None}, {'role': 'assistant', 'content': \"it's 'so'\\n\", 'redacted': True}]",
+        "torn": "[{'role': 'user', 'content': 'a'}\r\n {'role': 'assistant', 'content': 'b'}\n{'role': 'user', 'content': 'c'}]",
+        "bad": "[{'role': 'user', 'content': ",
+        "other": "{'role': 'user'}",
+        "null": None,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "conversation_id string, conversation string")
+    got = {}
+    for r in conversations.exploded(rows).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {"json": [("user", "it's é")], "python": [("user", None), ("assistant", "it's 'so'\n")], "torn": [("user", "a"), ("assistant", "b"), ("user", "c")]}
+
+
+def test_files_of_mixed_kinds_and_large_json(spark, tmp_path):
+    many = [{"text": f"record {i} " + "x" * 100, "more": {"a": i}} for i in range(15000)]  # over 1 MiB
+    (tmp_path / "a.json").write_text(json.dumps(many))
+    (tmp_path / "b.csv").write_text("raw_text,who_type\nhello,llm\n")
+    (tmp_path / "c.txt").write_text("just text")
+    (tmp_path / "d.json").write_text(json.dumps({"other": "field", "n": 1}))
+    rows = readers.any_records(spark, str(tmp_path))
+    assert rows.count() == 15003
+    said = {r.content for r in readers.dispatched(rows).collect()}
+    assert {"hello", "just text"} <= said and any('"other":"field"' in x for x in said)
+    assert rows.where("text like 'record 7 %'").first().extra == {"more": '{"a":7}'}
+
+
+def test_several_parts_of_an_event(spark, tmp_path):
+    events = spark.read.schema(extract.EVENT).json(_events(spark, tmp_path)).dropDuplicates(["event_id"])
+
+    def three(batch):
+        assert len(batch) <= 2
+        if any(e["event_id"] == "e2" for e in batch):
+            raise ValueError("broken")
+        return [[] if e["event_id"] == "e0" else [{"what": "one", "who": {"type": "llm", "id": "llm:x"}}, {"what": " "}, {"what": "three", "why": "w", "where": {"value": "v"}}] for e in batch]
+
+    got = {r.source_event_id: r for r in extract.parts_by(events.repartition(1).sortWithinPartitions("event_id"), three, 2).collect()}
+    assert {"e0_part0", "e2_part0"} <= set(got) and len({r.memory_id for r in got.values()}) == len(got)
+    several = [x for x in got if x.endswith("_part2")]
+    assert several or len(got) == 4
+    lone = events.where("event_id = 'e1'")
+    e1 = sorted(extract.parts_by(lone, three, 2).collect(), key=lambda r: r.part_index)
+    assert [(r.what, r.raw_text, r.total_parts, r.who_id) for r in e1] == [("one", "An answer", 3, "llm:x"), ("Part 2 of An answer", "[Part 2] Part 2 of An answer", 3, "user:a"), ("three", "[Part 3] three", 3, "user:a")]
+    assert e1[2].where_value == "v" and e1[0].why == "unspecified" and e1[0].embed_text == "WHAT: one\nWHY: unspecified\nHOW: message"
+
+
+def test_settings_are_stored(spark, tmp_path):
+    from tessera.plans import config as C
+
+    assert sum(not n.startswith("weight_") and n not in ("topk_semantic", "half_life_hours", "grouping") for n in C.SETTINGS) == 52
+    c = Config()
+    c.set("use_attention", "off", "me", "test")
+    c.set("w_actor", 0.2)
+    c.set("w_actor", 0.3)
+    for name, bad in (("db_path", "x"), ("embed_model", "other"), ("api_port", 80), ("cache_ttl", "soon")):
+        with pytest.raises(ValueError):
+            c.set(name, bad)
+    a, b = sinks.Versions(spark, str(tmp_path / "o")), sinks.Versions(spark, str(tmp_path / "h"))
+    c.save(a, b)
+    d = Config.load(a, b)
+    assert d.values == c.values == {"use_attention": False, "w_actor": 0.3} and d.history() == c.history()
+    rows = C.history(b.read(), "w_actor", 1).collect()
+    assert [(r.old_value, r.new_value, r.id) for r in rows] == [("0.2", "0.3", 3)]
+    e = Config()
+    assert e.loads(c.dumps()) == {"use_attention": None, "w_actor": None} and e.values == c.values
+    e.reset("w_actor")
+    assert e.get("w_actor") == 0.07 and e.history()[0]["why"] == "reset"
+    assert Config.load(sinks.Versions(spark, str(tmp_path / "n")), sinks.Versions(spark, str(tmp_path / "n"))).values == {}
+
+
+def test_versions_of_two_writers_and_an_index(spark, tmp_path):
+    v = sinks.Versions(spark, str(tmp_path / "v"))
+    assert v.write(spark.range(3)) == 0
+    with pytest.raises(FileExistsError):
+        v.write(spark.range(5), 0)
+    assert v.read().count() == 3 and [v.write(spark.range(n)) for n in (4, 5)] == [1, 2]
+    assert v.clean(1) == [0, 1] and v.numbers() == [2]
+    x = sinks.VectorIndex(spark, str(tmp_path / "x"))
+    x.add(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.0]), ("c", [0.0, 1.0])], "memory_id string, embedding array<float>"))
+    x.remove(spark.createDataFrame([("a",), ("z",)], "memory_id string"))
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query array<float>")
+    assert [r.memory_id for r in x.search(q, 2).orderBy("rank").collect()] == ["b", "c"]
+    x.rebuild()
+    assert x.table.read().count() == 2
+    x.reset()
+    assert x.rows().count() == 0
+    s = spark.createDataFrame([("a", "b", 0.5)], "m1 string, m2 string, weight double")
+    i = graph.importance(spark.createDataFrame([("a",), ("b",), ("c",)], "memory_id string"), s)
+    state = sinks.Versions(spark, str(tmp_path / "s"))
+    sinks.save_state(s, i, state)
+    s2, i2 = sinks.load_state(state)
+    assert s2.collect() == s.collect() and sorted(i2.collect()) == sorted(i.collect())
+
+
+def test_repeated_batches_count_once(spark, tmp_path):
+    acts = [("x", "a"), ("x", "b"), ("y", "a"), ("y", "b")]
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate((acts[:2], acts[2:])):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"activation_id": k, "memory_id": m}) for k, m in part))
+    v, held = sinks.Versions(spark, str(tmp_path / "v")), []
+    for run in range(2):  # the second run knows nothing of the first's progress, as after a lost checkpoint
+        stream = spark.readStream.schema("activation_id string, memory_id string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        ingest.synapses(stream, v).option("checkpointLocation", str(tmp_path / f"cp{run}")).trigger(availableNow=True).start().awaitTermination(120)
+        held.append([(r.m1, r.m2, round(r.weight, 6)) for r in v.read().collect()])
+    assert held == [[("a", "b", 0.02)]] * 2 and v.numbers() == [0, 1]
+
+
+def test_drift_goes_on_from_what_was(spark):
+    rows = [("m", i, [float(i), 1.0]) for i in range(5)] + [("n", 0, [2.0, 2.0])]
+    make = lambda x: spark.createDataFrame(x, "memory_id string, at long, context array<float>")
+    whole = sorted(graph.drift(make(rows)).collect())
+    steps = sorted(graph.drift(make(rows[3:]), before=graph.drift(make(rows[:3]))).collect())
+    assert [(r.memory_id, [round(x, 9) for x in r.drift]) for r in whole] == [(r.memory_id, [round(x, 9) for x in r.drift]) for r in steps]
+
+
+def test_knn_of_many_equal_rows(spark):
+    rng = random.Random(5)
+    rows = [(f"m{i:05d}", [1.0, 0.0] if i % 3 else [rng.random(), rng.random()]) for i in range(9000)]
+    m = spark.createDataFrame(rows, "memory_id string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)] + [(9, None)], "query_id int, query array<float>")
+    import numpy as np
+
+    f = lambda v: np.array(v, np.float32).astype(float)
+    for k in (7, 5000):
+        got = {}
+        for r in vector.knn(m, q, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.memory_id)
+        assert got == {i: [x for _, x in sorted((-float(f(v) @ f([1.0, float(i)])), x) for x, v in rows)[:k]] for i in range(3)}
