@@ -73,6 +73,12 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+def freed(spark: SparkSession) -> None:
+    """Frees what done steps hold in the driver: its own memory, and broadcasts and shuffle files, which Spark deletes when the JVM collects them."""
+    trim()
+    spark._jvm.System.gc()
+
+
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library

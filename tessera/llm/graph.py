@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from tessera.llm.common import delete, spread_join, written
 
 
+#: Edges of a node from which on they are spread.
+HUB = 1000
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the edges (a, b), longs: root is the least node of its component. An edge of a node to itself, or with a
     null end, joins nothing; edges may repeat; no edges give no rows.
 
     Alternates the large-star and small-star steps, each of which keeps components and moves edges to lesser
     nodes, until the edges are stars. Each round is a written table, so lost executors repeat a round at most; the round before is
-    deleted. A hub's least neighbour goes to its edges by spread_join(), so its edges stay spread over the tasks.
+    deleted. Where a node has many edges, its least neighbour goes to them by spread_join(), so they stay spread over the tasks.
     """
     spark = edges.sparkSession
 
@@ -22,19 +26,20 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         e = written(rows, name)
         return e, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), e.inputFiles()
 
-    def nearest(e: DataFrame, total: int, least) -> DataFrame:
-        return spread_join(e, e.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), ["u"], "n", total)
-
     e, before, files = round_of(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct())
     for _ in range(most_rounds):
         # large star: greater neighbours go to the least of the neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = nearest(both, 2 * before[0], F.least(F.min("v"), F.min("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"{name}-least")
+        most = least.agg(F.max("n")).first()[0] or 0
+        greater = both.where("v > u")
+        large = spread_join(greater, least, ["u"], "n", 2 * before[0]) if most > HUB else greater.join(least, "u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # a hub's edges mostly go to the same node
         # small star: lesser neighbours and the node itself go to the least
-        small = nearest(large, before[0], F.min("v")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         old = files
         e, now, files = round_of(small)
-        delete(spark, sorted({f.rsplit("/", 1)[0] for f in old}))
+        delete(spark, sorted({f.rsplit("/", 1)[0] for f in [*old, *least.inputFiles()]}))
         if before == now:
             break
         before = now

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buffers, documents, mix, shingles, split_by_size, spread_join, texts, words, written
+from tessera.llm.common import buffers, documents, freed, mix, shingles, split_by_size, spread_join, texts, words, written
 from tessera.llm.graph import components
 
 #: A band of ROWS coordinates; BANDS of them find a pair of similarity 0.8 with probability 0.9987.
@@ -107,11 +107,9 @@ def estimated(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (2, 3))
             yield pa.record_batch([b.column(0), b.column(1), pa.array((x == y).mean(axis=1) if b.num_rows else [], pa.float64())], names=["a", "b", "est"])
 
-    total, sig = pairs.count(), signed.select("node", "sig")
-    for end in ("a", "b"):  # a leader of a hot bucket is an end of many pairs
-        n = pairs.groupBy(end).agg(F.count("*").alias("n"))
-        pairs = spread_join(pairs, sig.toDF(end, f"sig_{end}").join(n, end), [end], "n", total).drop("n")
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, est double")
+    sig = signed.select("node", "sig")  # a leader of a hot bucket is an end of many pairs; adaptive execution splits what is too large for a task
+    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    return both.mapInArrow(run, "a long, b long, est double")
 
 
 def cell_sets(docs: DataFrame, nodes: DataFrame, broadcast_ids: int = 200_000) -> DataFrame:
@@ -233,7 +231,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(spread_join(buckets, leaders, ["band", "h"], "n", places), "buckets")  # buckets of two nodes at least
     star = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sure = estimated(written(star, "stars"), reps).where(F.col("est") >= LEAST + SURE).select("a", "b")
-    sure = written(sure.unionByName(same_documents(signed, reps, rows)), "links")
+    same = same_documents(signed, reps, rows)
+    sure = written(sure if same is None else sure.unionByName(same), "links")
+    freed(docs.sparkSession)
     roots = written(components(sure), "roots")
     # what the sure links leave apart, within each bucket
     placed = members.select("band", "h", "node", "size").join(roots, "node", "left").select("band", "h", "node", "size", F.coalesce("root", "node").alias("root"))
@@ -253,19 +253,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array([int(node[x]) for x, _ in got], pa.int64()), pa.array([int(node[y]) for _, y in got], pa.int64())], names=["a", "b"])
 
     links = held.groupBy("band", "h", "i", "j").applyInArrow(link, "a long, b long")
-    roots = written(components(sure.unionByName(links), "classes"), "roots")
-    own = written(reps.select("node", "doc", "ch1", "ch2", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "own")
-    classes = own.groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("nodes"))
-    classed = written(spread_join(own, classes, ["root"], "nodes", places // BANDS + 1).select("ch1", "ch2", "n", "class_id"), "classed")
-    worded = spread_join(signed.select("doc_id", "ch1", "ch2"), classed, ["ch1", "ch2"], "n", rows).select("doc_id", "class_id")
-    return worded.unionByName(signed.where("ch1 is null").select("doc_id", F.col("doc_id").alias("class_id")))
-
-
-def same_documents(signed: DataFrame, reps: DataFrame, rows: int) -> DataFrame:
-    """Links (a, b) between the nodes of texts that have the same doc_id."""
+    links = written(sure.unionByName(written(links, "links")), "all-links")
+    freed(docs.sparkSession)
+    roots = written(components(links, "classes"), "roots")
+    own = written(reps.select("node", "doc", "ch1", "ch2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "own")
+    classes = own.groupBy("root").agg(F.min("doc").alias("class_id"))
+    classed = own.join(classes, "root").select("ch1", "ch2", "class_id", F.lit(True).alias("worded"))
+    out = signed.select("doc_id", "ch1", "ch2").join(classed, ["ch1", "ch2"], "left")
+    return out.select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def same_documents(signed: DataFrame, reps: DataFrame, rows: int) -> DataFrame | None:
+    """Links (a, b) between the nodes of texts that have the same doc_id, if there are any."""
     texts_of = signed.where("doc_id is not null and ch1 is not null").select("doc_id", "ch1", "ch2")
     twice = texts_of.groupBy("doc_id").agg(F.min(F.struct("ch1", "ch2")).alias("low"), F.max(F.struct("ch1", "ch2")).alias("high"), F.count("*").alias("n")).where("low <> high").select("doc_id", "n")
     twice = written(twice, "same-ids")
+    if twice.isEmpty():
+        return None
     found = spread_join(texts_of, twice, ["doc_id"], "n", rows).select("doc_id", "ch1", "ch2").distinct()
     found = written(found.join(reps.select("ch1", "ch2", "node"), ["ch1", "ch2"]).select("doc_id", "node"), "same-nodes")
     least = found.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("n"))

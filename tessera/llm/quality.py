@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buffers, documents, flattened, in_small_batches, mix, pick, shingles, split_by_size, words, written
+from tessera.llm.common import buffers, documents, flattened, freed, in_small_batches, mix, pick, shingles, split_by_size, words, written
 
 #: Bytes of an n-gram, at every size; and the longest n-grams a share of the model may have: with more, the model is cut into shares
 #: of half as many on average, which are built, sent and applied one after the other.
@@ -260,6 +260,7 @@ def scored(docs: DataFrame, model: Shares, text: str = "text", lang: str = "lang
             sent.destroy()
         docs = docs.join(parts.groupBy("_row").agg(F.sum("_sum").alias("_sum")), "_row").drop("_row")
     shared = sc.broadcast(model.model(0)) if shares == 1 else None
+    freed(docs.sparkSession)  # the counts the model was made of
 
     def run(batches):
         for b in split_by_size(batches, text, 1 << 18):
