@@ -81,11 +81,16 @@ def sessions(mem: DataFrame, prefix: str = "chat", limit: int = 50) -> DataFrame
 
 def upsert(state: DataFrame, delta: DataFrame, key: str = "memory_id", order: str = "created_at") -> DataFrame:
     """state with delta's rows in place of those with their key; of equal keys in delta the latest wins."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*delta.columns))
-    last = delta.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    last = latest(delta, key, order)
     return state.join(last.select(key), key, "left_anti").select(*state.columns).unionByName(last)
 
 
+def latest(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """A row for each key: the last by order, of equals the one with the least hash."""
+    w = Window.partitionBy(key).orderBy(*([F.col(order).desc_nulls_last()] if order else []), F.xxhash64(*rows.columns))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def insert_ignore(state: DataFrame, delta: DataFrame, key: str = "memory_id") -> DataFrame:
     new = delta.join(state.select(key), key, "left_anti").dropDuplicates([key])
     return state.unionByName(new.select(*state.columns))

@@ -32,7 +32,7 @@ class Tools:
 
 
 class MemoryStore:
-    """Memories in versions of one table; each write is a new version, each read the last whole one."""
+    """Memories in versions of one table; each write is a new version of what it changes, each read the last whole one."""
 
     def __init__(self, spark: SparkSession, path: str, embedder=None, config: Config | None = None):
         self.spark, self.embedder, self.config = spark, embedder or vector.HashingEmbedder(), config or Config()
@@ -46,7 +46,7 @@ class MemoryStore:
         """Events (extract.EVENT) as memories with embeddings; those of the same event are replaced. Gives the version."""
         rows = extract.extracted(events, self.config.get("multi_part_threshold"))
         rows = vector.embedded_by(rows, self.embedder).withColumns({"who_list": F.to_json(F.array("who_id")), "when_list": F.to_json(F.array("when_ts")), "created_at": F.col("when_ts"), "accesses": F.lit(0), "who_label": F.lit(None).cast("string")})
-        return self.table.write(store.upsert(self.memories(), rows) if self.table.numbers() else rows)
+        return self.table.change(rows, "created_at")
 
     def ingest_records(self, records: DataFrame, session: str, at: str) -> int:
         """Records of an import as events of a session."""
@@ -54,9 +54,8 @@ class MemoryStore:
         return self.ingest(rows.select(F.concat(F.lit("evt_"), F.substring(F.md5("content"), 1, 12)).alias("event_id"), F.lit(session).alias("session_id"), "event_type", F.lit(at).cast("timestamp").alias("timestamp"), "actor", "content", F.create_map().cast("map<string,string>").alias("metadata")))
 
     def delete(self, ids: list[str] | None = None, session: str | None = None) -> int:
-        m = self.memories()
-        gone = m.where(F.col("memory_id").isin(ids or []) | (F.col("session_id") == session if session else F.lit(False)))
-        return self.table.write(store.delete(m, gone))
+        gone = self.memories().where(F.col("memory_id").isin(ids or []) | (F.col("session_id") == session if session else F.lit(False)))
+        return self.table.remove(gone)
 
     def search(self, text: str, k: int | None = None, as_of: str | None = None, actor: str | None = None, budget: bool = False, weights: dict | None = None, overhead: int = 0) -> DataFrame:
         """Ranked memories for a text; its phrases of time are a date hint, of a day, a range or relative, and are not embedded. budget: only what fits

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+from tessera.operators import store
+
+#: Changes that are laid over a snapshot, at most, before the table is written as a whole again.
+MOST_CHANGES = 16
 
 
 def export_json(rows: DataFrame, path: str, time: str) -> None:
@@ -24,12 +30,14 @@ def import_json(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 class Versions:
-    """A table as a row of Parquet snapshots: a reader sees the last whole one, a failed write none of it. A write goes to a folder of its own,
+    """A table as a row of Parquet versions: a reader sees the last whole one, a failed write none of it. A write goes to a folder of its own,
     which is renamed to the next number when it is whole; where another writer has taken the number, the write fails and can be done again on
-    what that one wrote. clean() deletes old snapshots."""
+    what that one wrote. A version is a snapshot of all rows, or a change: only the rows that are new, replaced or removed by their key, so that what
+    is written follows the change and not the table. read() lays the changes over their snapshot; after MOST_CHANGES of them a snapshot is
+    written again. clean() deletes old versions."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, key: str = "memory_id"):
+        self.spark, self.path, self.key = spark, path, key
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -44,26 +52,78 @@ class Versions:
         return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def read(self, version: int | None = None) -> DataFrame:
-        n = self.numbers()[-1] if version is None else version
-        return self.spark.read.parquet(f"{self.path}/v{n}")
+        have = self.numbers()
+        return self._laid(self._layers(have[-1] if version is None else version, have))
+
+    def _layers(self, n: int, have: list[int]) -> list[int]:
+        """The snapshot that a version begins from, and the changes up to it."""
+        fs, jvm = self._fs()
+        own, before = [n], [x for x in have if x < n]
+        while fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{own[0]}/_CHANGE")):
+            own.insert(0, before.pop())
+        return own
+
+    def _laid(self, layers: list[int]) -> DataFrame:
+        base = self.spark.read.parquet(f"{self.path}/v{layers[0]}")
+        if len(layers) == 1:
+            return base
+        kinds = StructType([*base.schema.fields, StructField("_gone", BooleanType()), StructField("_number", LongType())])
+        changes = self.spark.read.schema(kinds).parquet(*[f"{self.path}/v{n}" for n in layers[1:]])
+        newest = Window.partitionBy(self.key).orderBy(F.col("_number").desc())
+        last = changes.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+        return base.join(last.select(self.key), self.key, "left_anti").select(*base.columns).unionByName(last.where("not _gone").select(*base.columns))
 
     def write(self, rows: DataFrame, number: int | None = None) -> int:
-        """Writes the next version, or the given one; gives its number."""
-        n = (self.numbers() or [-1])[-1] + 1 if number is None else number
+        """Writes a snapshot as the next version, or the given one; gives its number."""
+        return self._made(rows, (self.numbers() or [-1])[-1] + 1 if number is None else number)
+
+    def _made(self, rows: DataFrame, n: int, change: bool = False) -> int:
         made = f"{self.path}/_made-{uuid.uuid4().hex}"
         rows.write.parquet(made)
         fs, jvm = self._fs()
         path = jvm.org.apache.hadoop.fs.Path
+        if change:
+            fs.create(path(f"{made}/_CHANGE")).close()
         to = path(f"{self.path}/v{n}")
         if fs.exists(to) or not fs.rename(path(made), to):
             fs.delete(path(made), True)
             raise FileExistsError(f"another writer made version {n} of {self.path}")
         return n
 
+    def change(self, rows: DataFrame, order: str | None = None) -> int:
+        """The next version, with rows in place of those with their keys; of equal keys in rows the last by order stays. rows have the table's
+        columns; a row without a key is an error. Gives the version's number."""
+        have = self.numbers()
+        keyed = F.when(F.col(self.key).isNull(), F.raise_error(F.lit(f"a row without {self.key}"))).otherwise(F.lit(True))
+        last = store.latest(rows.where(keyed), self.key, order)
+        if not have:
+            return self._made(last, 0)
+        kinds = self._laid(self._layers(have[-1], have)).schema
+        if set(rows.columns) != set(kinds.names):
+            raise ValueError(f"columns {sorted(rows.columns)} in place of {sorted(kinds.names)}")
+        return self._changed(last.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]).withColumn("_gone", F.lit(False)), have)
+
+    def remove(self, gone: DataFrame) -> int:
+        """The next version, without the rows whose keys are in gone; gives its number."""
+        have = self.numbers()
+        kinds = self._laid(self._layers(have[-1], have)).schema
+        keys = gone.select(self.key).where(F.col(self.key).isNotNull()).distinct()
+        return self._changed(keys.select(*[F.col(f.name) if f.name == self.key else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds], F.lit(True).alias("_gone")), have)
+
+    def _changed(self, rows: DataFrame, have: list[int]) -> int:
+        layers, n = self._layers(have[-1], have), have[-1] + 1
+        if len(layers) <= MOST_CHANGES:
+            return self._made(rows.withColumn("_number", F.lit(n).cast("long")), n, True)
+        now = self._laid(layers)
+        whole = now.join(rows.select(self.key), self.key, "left_anti").select(*now.columns)
+        return self._made(whole.unionByName(rows.where("not _gone").select(*now.columns)), n)
+
     def clean(self, keep: int = 2) -> list[int]:
-        """Deletes all versions but the last keep; gives their numbers. Readers of older ones must be done."""
+        """Deletes all versions but the last keep and what these are laid over; gives their numbers. Readers of older ones must be done."""
         fs, jvm = self._fs()
-        old = self.numbers()[:-keep] if keep else self.numbers()
+        have = self.numbers()
+        first = self._layers(have[-keep:][0], have)[0] if keep and have else None
+        old = [n for n in have if first is None or n < first]
         for n in old:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n}"), True)
         return old
@@ -83,12 +143,11 @@ class VectorIndex:
     def add(self, rows: DataFrame) -> int:
         """rows (memory_id, embedding) in place of those with their ids."""
         new = rows.select("memory_id", F.col("embedding").cast("array<float>"), F.lit(False).alias("removed"))
-        return self.table.write(self._now().join(new.select("memory_id"), "memory_id", "left_anti").unionByName(new))
+        return self.table.change(new)
 
     def remove(self, ids: DataFrame) -> int:
-        gone = ids.select("memory_id", F.lit(True).alias("_gone")).distinct()
-        rows = self._now().join(gone, "memory_id", "left")
-        return self.table.write(rows.select("memory_id", "embedding", (F.col("removed") | F.coalesce("_gone", F.lit(False))).alias("removed")))
+        gone = self._now().join(ids.select("memory_id").distinct(), "memory_id", "left_semi")
+        return self.table.change(gone.select("memory_id", "embedding", F.lit(True).alias("removed")))
 
     def rows(self) -> DataFrame:
         return self._now().where("not removed").drop("removed")

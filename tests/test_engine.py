@@ -459,6 +459,36 @@ def test_versions_of_two_writers_and_an_index(spark, tmp_path):
     assert s2.collect() == s.collect() and sorted(i2.collect()) == sorted(i.collect())
 
 
+def test_changes_are_written_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MOST_CHANGES", 3)
+    v, now, held, rng = sinks.Versions(spark, str(tmp_path / "v")), {}, {}, random.Random(5)
+    kind = "memory_id string, x int, created_at string"
+    for step in range(7):
+        if step % 3 == 2:
+            gone = [f"m{i}" for i in rng.sample(range(14), 5)]
+            n = v.remove(spark.createDataFrame([(x,) for x in [*gone, gone[0], None, "none"]], "memory_id string"))
+            now = {k: x for k, x in now.items() if k not in gone}
+        else:
+            ids = [f"m{i}" for i in rng.sample(range(12), 8)]
+            rows = [(k, 10 * step + t, f"2024-01-0{t}") for k in ids for t in (1, 2)]  # the later one of a key stays
+            n = v.change(spark.createDataFrame(rows, kind), "created_at")
+            now = now | {k: 10 * step + 2 for k in ids}
+        held[n] = dict(now)
+    for n, want in held.items():
+        got = v.read(n).collect()
+        assert {r.memory_id: r.x for r in got} == want and len(got) == len(want)
+    whole = [n for n in held if not (tmp_path / "v" / f"v{n}" / "_CHANGE").exists()]
+    assert whole == [0, 4] and spark.read.parquet(str(tmp_path / "v" / "v1")).count() == 8
+    with pytest.raises(FileExistsError):  # a writer that has seen less
+        v._changed(spark.createDataFrame([("a", 1, "", False)], kind + ", _gone boolean"), v.numbers()[:-1])
+    with pytest.raises(ValueError):
+        v.change(spark.createDataFrame([("a",)], "memory_id string"))
+    with pytest.raises(Exception, match="a row without memory_id"):
+        v.change(spark.createDataFrame([(None, 1, "")], kind))
+    assert v.numbers() == list(range(7)) and v.clean(1) == [0, 1, 2, 3]
+    assert {r.memory_id: r.x for r in v.read().collect()} == now
+
+
 def test_repeated_batches_count_once(spark, tmp_path):
     acts = [("x", "a"), ("x", "b"), ("y", "a"), ("y", "b")]
     (tmp_path / "in").mkdir()
