@@ -85,9 +85,9 @@ def upsert(state: DataFrame, delta: DataFrame, key: str = "memory_id", order: st
     return state.join(last.select(key), key, "left_anti").select(*state.columns).unionByName(last)
 
 
-def latest(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """A row for each key: the last by order, of equals the one with the least hash."""
-    w = Window.partitionBy(key).orderBy(*([F.col(order).desc_nulls_last()] if order else []), F.xxhash64(*rows.columns))
+def latest(rows: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
+    """A row for each key, of a column or several: the last by order, of equals the one with the least hash."""
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*([F.col(order).desc_nulls_last()] if order else []), F.xxhash64(*rows.columns))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

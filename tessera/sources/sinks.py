@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -30,14 +34,22 @@ def import_json(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 class Versions:
-    """A table as a row of Parquet versions: a reader sees the last whole one, a failed write none of it. A write goes to a folder of its own,
-    which is renamed to the next number when it is whole; where another writer has taken the number, the write fails and can be done again on
-    what that one wrote. A version is a snapshot of all rows, or a change: only the rows that are new, replaced or removed by their key, so that what
-    is written follows the change and not the table. read() lays the changes over their snapshot; after MOST_CHANGES of them a snapshot is
-    written again. clean() deletes old versions."""
+    """A table as a row of Parquet versions: a reader sees the last whole one, a failed write none of it.
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "memory_id"):
-        self.spark, self.path, self.key = spark, path, key
+    A write puts its rows into a folder of its own, and is done when the file of the next number, which names that folder, is there. That file is made at
+    once and only if there is none, so of two writers of a number one fails, with FileExistsError; change() and remove() then begin again on what the other wrote,
+    up to `tries` times. A version is a snapshot of all rows, or a change: only the rows that are new, replaced or removed by their key, so that
+    what is written follows the change and not the table. read() lays the changes over their snapshot; after MOST_CHANGES of them a snapshot is
+    written again. A version can name the batch of a stream that it is of, so that a batch which is repeated after a failure is skipped.
+
+    key: a column or several. clean() deletes old versions, sweep() what failed writes left.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str | list[str] = "memory_id", tries: int = 5):
+        self.spark, self.path, self.tries = spark, path.rstrip("/"), tries
+        self.keys = [key] if isinstance(key, str) else list(key)
+
+    # ---- the log ----
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -48,8 +60,49 @@ class Versions:
         fs, jvm = self._fs()
         if not fs.exists(jvm.org.apache.hadoop.fs.Path(self.path)):
             return []
-        found = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path))]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        found = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path))]
+        return sorted(int(x[1:-5]) for x in found if x.startswith("v") and x.endswith(".json"))
+
+    def entry(self, n: int) -> dict:
+        """What the file of a version says: folder, change, and the stream and batch it is of."""
+        fs, jvm = self._fs()
+        file = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n}.json"))
+        try:
+            return json.loads(bytes(file.readAllBytes()).decode())
+        finally:
+            file.close()
+
+    def _claim(self, n: int, entry: dict) -> None:
+        """Makes the file of a version, whole, and only if there is none: by a hard link on a local disk, elsewhere by a rename that never overwrites."""
+        fs, jvm = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path
+        made, to = path(f"{self.path}/_made-{uuid.uuid4().hex}"), path(f"{self.path}/v{n}.json")
+        out = fs.create(made)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        try:
+            if fs.getScheme() == "file":
+                place = lambda p: jvm.java.nio.file.Paths.get(jvm.org.apache.hadoop.fs.Path.getPathWithoutSchemeAndAuthority(p).toString(), self.spark.sparkContext._gateway.new_array(jvm.String, 0))
+                jvm.java.nio.file.Files.createLink(place(to), place(made))
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(made, to, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if "AlreadyExists" in type(e.java_exception).__name__ or "AlreadyExists" in e.java_exception.getClass().getName():
+                raise FileExistsError(f"another writer made version {n} of {self.path}") from None
+            raise
+        finally:
+            fs.delete(made, False)
+
+    def done(self, stream: str) -> int:
+        """The last batch of a stream that is in a version, -1 if none is."""
+        for n in reversed(self.numbers()):
+            got = self.entry(n).get("batches", {})
+            if stream in got:
+                return got[stream]
+        return -1
+
+    # ---- reading ----
 
     def read(self, version: int | None = None) -> DataFrame:
         have = self.numbers()
@@ -57,77 +110,113 @@ class Versions:
 
     def _layers(self, n: int, have: list[int]) -> list[int]:
         """The snapshot that a version begins from, and the changes up to it."""
-        fs, jvm = self._fs()
         own, before = [n], [x for x in have if x < n]
-        while fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{own[0]}/_CHANGE")):
+        while self.entry(own[0])["change"]:
             own.insert(0, before.pop())
         return own
 
     def _laid(self, layers: list[int]) -> DataFrame:
-        base = self.spark.read.parquet(f"{self.path}/v{layers[0]}")
+        folders = [f"{self.path}/{self.entry(n)['folder']}" for n in layers]
+        base = self.spark.read.parquet(folders[0])
         if len(layers) == 1:
             return base
         kinds = StructType([*base.schema.fields, StructField("_gone", BooleanType()), StructField("_number", LongType())])
-        changes = self.spark.read.schema(kinds).parquet(*[f"{self.path}/v{n}" for n in layers[1:]])
-        newest = Window.partitionBy(self.key).orderBy(F.col("_number").desc())
+        changes = self.spark.read.schema(kinds).parquet(*folders[1:])
+        newest = Window.partitionBy(*self.keys).orderBy(F.col("_number").desc())
         last = changes.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
-        return base.join(last.select(self.key), self.key, "left_anti").select(*base.columns).unionByName(last.where("not _gone").select(*base.columns))
+        return base.join(last.select(*self.keys), self.keys, "left_anti").select(*base.columns).unionByName(last.where("not _gone").select(*base.columns))
 
-    def write(self, rows: DataFrame, number: int | None = None) -> int:
-        """Writes a snapshot as the next version, or the given one; gives its number."""
-        return self._made(rows, (self.numbers() or [-1])[-1] + 1 if number is None else number)
+    # ---- writing ----
 
-    def _made(self, rows: DataFrame, n: int, change: bool = False) -> int:
-        made = f"{self.path}/_made-{uuid.uuid4().hex}"
-        rows.write.parquet(made)
-        fs, jvm = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path
-        if change:
-            fs.create(path(f"{made}/_CHANGE")).close()
-        to = path(f"{self.path}/v{n}")
-        if fs.exists(to) or not fs.rename(path(made), to):
-            fs.delete(path(made), True)
-            raise FileExistsError(f"another writer made version {n} of {self.path}")
+    def write(self, rows: DataFrame, number: int | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Writes a snapshot as the next version, or the given one; gives its number."""
+        return self._made(rows, (self.numbers() or [-1])[-1] + 1 if number is None else number, batch=batch)
+
+    def _made(self, rows: DataFrame, n: int, change: bool = False, batch: tuple[str, int] | None = None) -> int:
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        before = [x for x in self.numbers() if x < n]
+        batches = self.entry(before[-1]).get("batches", {}) if before else {}
+        try:
+            self._claim(n, {"folder": folder, "change": change, "batches": batches | ({batch[0]: batch[1]} if batch else {})})
+        except FileExistsError:
+            self._delete([folder])
+            raise
         return n
 
-    def change(self, rows: DataFrame, order: str | None = None) -> int:
+    def _delete(self, names: list[str]) -> None:
+        fs, jvm = self._fs()
+        for x in names:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}"), True)
+
+    def _again(self, step) -> int:
+        for k in range(self.tries):
+            try:
+                return step()
+            except FileExistsError:
+                if k == self.tries - 1:
+                    raise
+        raise ValueError("tries must be 1 or more")
+
+    def change(self, rows: DataFrame, order: str | None = None, batch: tuple[str, int] | None = None) -> int:
         """The next version, with rows in place of those with their keys; of equal keys in rows the last by order stays. rows have the table's
         columns; a row without a key is an error. Gives the version's number."""
-        have = self.numbers()
-        keyed = F.when(F.col(self.key).isNull(), F.raise_error(F.lit(f"a row without {self.key}"))).otherwise(F.lit(True))
-        last = store.latest(rows.where(keyed), self.key, order)
-        if not have:
-            return self._made(last, 0)
-        kinds = self._laid(self._layers(have[-1], have)).schema
-        if set(rows.columns) != set(kinds.names):
-            raise ValueError(f"columns {sorted(rows.columns)} in place of {sorted(kinds.names)}")
-        return self._changed(last.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]).withColumn("_gone", F.lit(False)), have)
-
-    def remove(self, gone: DataFrame) -> int:
+        lacking = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in self.keys])
+        keyed = F.when(lacking, F.raise_error(F.lit(f"a row without {', '.join(self.keys)}"))).otherwise(F.lit(True))
+        last = store.latest(rows.where(keyed), self.keys, order)
+
+        def step() -> int:
+            have = self.numbers()
+            if not have:
+                return self._made(last, 0, batch=batch)
+            kinds = self._laid(self._layers(have[-1], have)).schema
+            if set(rows.columns) != set(kinds.names):
+                raise ValueError(f"columns {sorted(rows.columns)} in place of {sorted(kinds.names)}")
+            return self._changed(last.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]).withColumn("_gone", F.lit(False)), have, batch)
+
+        return self._again(step)
+
+    def remove(self, gone: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """The next version, without the rows whose keys are in gone; gives its number."""
-        have = self.numbers()
-        kinds = self._laid(self._layers(have[-1], have)).schema
-        keys = gone.select(self.key).where(F.col(self.key).isNotNull()).distinct()
-        return self._changed(keys.select(*[F.col(f.name) if f.name == self.key else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds], F.lit(True).alias("_gone")), have)
+        keys = gone.select(*self.keys).dropna().distinct()
+
+        def step() -> int:
+            have = self.numbers()
+            kinds = self._laid(self._layers(have[-1], have)).schema
+            return self._changed(keys.select(*[F.col(f.name) if f.name in self.keys else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds], F.lit(True).alias("_gone")), have, batch)
 
-    def _changed(self, rows: DataFrame, have: list[int]) -> int:
+        return self._again(step)
+
+    def _changed(self, rows: DataFrame, have: list[int], batch: tuple[str, int] | None = None) -> int:
         layers, n = self._layers(have[-1], have), have[-1] + 1
         if len(layers) <= MOST_CHANGES:
-            return self._made(rows.withColumn("_number", F.lit(n).cast("long")), n, True)
+            return self._made(rows.withColumn("_number", F.lit(n).cast("long")), n, True, batch)
         now = self._laid(layers)
-        whole = now.join(rows.select(self.key), self.key, "left_anti").select(*now.columns)
-        return self._made(whole.unionByName(rows.where("not _gone").select(*now.columns)), n)
+        whole = now.join(rows.select(*self.keys), self.keys, "left_anti").select(*now.columns)
+        return self._made(whole.unionByName(rows.where("not _gone").select(*now.columns)), n, batch=batch)
+
+    # ---- housekeeping ----
 
     def clean(self, keep: int = 2) -> list[int]:
         """Deletes all versions but the last keep and what these are laid over; gives their numbers. Readers of older ones must be done."""
-        fs, jvm = self._fs()
         have = self.numbers()
         first = self._layers(have[-keep:][0], have)[0] if keep and have else None
         old = [n for n in have if first is None or n < first]
         for n in old:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n}"), True)
+            folder = self.entry(n)["folder"]
+            self._delete([f"v{n}.json", folder])  # the file first, so that no version lacks its rows
         return old
 
+    def sweep(self, hours: float = 24.0) -> list[str]:
+        """Deletes folders and files of writes that failed, if they are hours old; gives their names."""
+        fs, jvm = self._fs()
+        used = {self.entry(n)["folder"] for n in self.numbers()}
+        old = time.time() - hours * 3600
+        found = [s for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path)) if s.getModificationTime() / 1000 < old]
+        names = [x for x in (s.getPath().getName() for s in found) if x.startswith(("data-", "_made-")) and x not in used]
+        self._delete(names)
+        return names
+
 
 class VectorIndex:
     """Vectors by id in versions of a table. Removed ones stay as tombstones (removed) until the next rebuild; searches leave them out before the cut."""

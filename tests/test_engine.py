@@ -477,8 +477,8 @@ def test_changes_are_written_alone(spark, tmp_path, monkeypatch):
     for n, want in held.items():
         got = v.read(n).collect()
         assert {r.memory_id: r.x for r in got} == want and len(got) == len(want)
-    whole = [n for n in held if not (tmp_path / "v" / f"v{n}" / "_CHANGE").exists()]
-    assert whole == [0, 4] and spark.read.parquet(str(tmp_path / "v" / "v1")).count() == 8
+    whole = [n for n in held if not v.entry(n)["change"]]
+    assert whole == [0, 4] and spark.read.parquet(f"{v.path}/{v.entry(1)['folder']}").count() == 8
     with pytest.raises(FileExistsError):  # a writer that has seen less
         v._changed(spark.createDataFrame([("a", 1, "", False)], kind + ", _gone boolean"), v.numbers()[:-1])
     with pytest.raises(ValueError):
@@ -523,3 +523,31 @@ def test_knn_of_many_equal_rows(spark):
         for r in vector.knn(m, q, k).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.memory_id)
         assert got == {i: [x for _, x in sorted((-float(f(v) @ f([1.0, float(i)])), x) for x, v in rows)[:k]] for i in range(3)}
+
+
+def test_of_many_writers_of_a_version_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    v = sinks.Versions(spark, str(tmp_path / "v"))
+
+    def claim(n, who):
+        try:
+            v._claim(n, {"folder": f"data-{who}", "change": False})
+            return who
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        for n in range(12):
+            won = [w for w in pool.map(lambda who, n=n: claim(n, who), range(8)) if w is not None]
+            assert len(won) == 1 and v.entry(n)["folder"] == f"data-{won[0]}"
+    assert not list((tmp_path / "v").glob("_made*"))
+
+    t = sinks.Versions(spark, str(tmp_path / "t"), tries=20)
+    t.write(spark.createDataFrame([("m", -1)], "memory_id string, x int"))
+    rows = [spark.createDataFrame([(f"m{i}", i)], "memory_id string, x int") for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:  # each begins again on what another one wrote; none is lost
+        assert sorted(pool.map(t.change, rows)) == [1, 2, 3, 4, 5, 6]
+    assert sorted((r.memory_id, r.x) for r in t.read().collect()) == [("m", -1)] + [(f"m{i}", i) for i in range(6)]
+    (tmp_path / "t" / "data-lost").mkdir()
+    assert t.sweep(1) == [] and t.sweep(-1) == ["data-lost"] and t.read().count() == 7
