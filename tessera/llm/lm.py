@@ -19,7 +19,7 @@ ORDER, K, POWER = 3, (4.0, 1.0), 0.9
 #: Documents with this remainder by FOLDS are held out.
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text of a block, a whole text at least; tokens of a share.
-BLOCK_BYTES, SHARE_TOKENS = 16 << 20, 2_000_000
+BLOCK_BYTES, SHARE_TOKENS = 8 << 20, 1_500_000
 _END = np.uint64(0x1F2E3D4C5B6A7988)  # stands for the end of a text
 _PIECE = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -239,7 +239,8 @@ def asked(blocks: DataFrame, shares: int, order: int) -> DataFrame:
                             out.append(np.diff(np.append(_runs(w.parent[k + 1][own[k + 1]]), len(own[k + 1]))))
                     rows.append((s, packed(*out, count[own[order]])))
                 yield pa.record_batch([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "share", "data"])
-        trim()
+                del w, nodes, rows
+                trim()
 
     return blocks.select("block", "data").mapInArrow(run, "block long, share int, data binary")
 
