@@ -11,6 +11,7 @@ from tessera.functions import scoring as S, temporal, text as X
 from tessera.operators import analytics, blocks, retrieval, store, vector
 from tessera.plans.config import Config
 from tessera.sources import extract, readers, sinks
+from tessera.streaming import ingest
 
 
 class Tools:
@@ -34,8 +35,9 @@ class Tools:
 class MemoryStore:
     """Memories in versions of one table; each write is a new version of what it changes, each read the last whole one."""
 
-    def __init__(self, spark: SparkSession, path: str, embedder=None, config: Config | None = None):
-        self.spark, self.embedder, self.config = spark, embedder or vector.HashingEmbedder(), config or Config()
+    def __init__(self, spark: SparkSession, path: str, embedder=None, config: Config | None = None, extractor=None):
+        """extractor: for events worth several memories, see extract.parts_by()."""
+        self.spark, self.embedder, self.config, self.extractor = spark, embedder or vector.HashingEmbedder(), config or Config(), extractor
         self.table, self.tools = sinks.Versions(spark, f"{path}/memories"), Tools()
         self.tools.add("search_memories", "Finds memories like a text.", {"text": "string", "k": "integer"}, self.search)
 
@@ -44,9 +46,11 @@ class MemoryStore:
 
     def ingest(self, events: DataFrame) -> int:
         """Events (extract.EVENT) as memories with embeddings; those of the same event are replaced. Gives the version."""
-        rows = extract.extracted(events, self.config.get("multi_part_threshold"))
-        rows = vector.embedded_by(rows, self.embedder).withColumns({"who_list": F.to_json(F.array("who_id")), "when_list": F.to_json(F.array("when_ts")), "created_at": F.col("when_ts"), "accesses": F.lit(0), "who_label": F.lit(None).cast("string")})
-        return self.table.change(rows, "created_at")
+        return self.table.change(extract.stored(events, self.config.get("multi_part_threshold"), self.embedder, self.extractor), "created_at")
+
+    def ingest_stream(self, stream: DataFrame, name: str = "events"):
+        """The writer of a query that ingests a stream of events as they come; an event that comes again takes the place of what it made before."""
+        return ingest.upserts(stream, self.table, self.embedder, self.config.get("multi_part_threshold"), name, self.extractor)
 
     def ingest_records(self, records: DataFrame, session: str, at: str) -> int:
         """Records of an import as events of a session."""

@@ -33,12 +33,15 @@ def single(events: DataFrame) -> DataFrame:
     return _rows(events, what, _meta("location", "tool_name", default="local_ui"), why, _meta("method", "tool_name", default="message"), True)
 
 
+def _part_rule() -> tuple[Column, Column, Column, Column]:
+    """What, where, why and how of an event that is worth several parts."""
+    what = _meta("operation", default="")
+    return F.when(what == "", F.substring("content", 1, 160)).otherwise(what), _meta("location", default="local_ui"), _meta("intent", default="unspecified"), _meta("method", default="message")
+
+
 def parts(events: DataFrame) -> DataFrame:
     """The rule for several parts: one part with the event's whole text."""
-    what = _meta("operation", default="")
-    what = F.when(what == "", F.substring("content", 1, 160)).otherwise(what)
-    named = events.withColumn("event_id", F.concat("event_id", F.lit("_part0")))
-    return _rows(named, what, _meta("location", default="local_ui"), _meta("intent", default="unspecified"), _meta("method", default="message"), False)
+    return _rows(events.withColumn("event_id", F.concat("event_id", F.lit("_part0"))), *_part_rule(), False)
 
 
 def parts_by(events: DataFrame, extract: Callable[[list[dict]], list[list[dict]]], batch: int = 8) -> DataFrame:
@@ -62,9 +65,9 @@ def parts_by(events: DataFrame, extract: Callable[[list[dict]], list[list[dict]]
                     rows += _parted(e, ps)
             yield pd.DataFrame(rows, columns=_PART)
 
-    rule = parts(events)
-    flat = events.join(rule.select(F.regexp_replace("source_event_id", "_part0$", "").alias("event_id"), F.struct("who_type", "what", "where_value", "why", "how").alias("rule")), "event_id", "left")
-    flat = flat.select("event_id", "session_id", "event_type", "actor", "content", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("when_ts"), "rule.*")
+    what, where, why, how = _part_rule()
+    rule = [X.who_type(F.col("event_type")).alias("who_type"), what.alias("what"), where.alias("where_value"), why.alias("why"), how.alias("how")]
+    flat = events.select("event_id", "session_id", "event_type", "actor", "content", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("when_ts"), *rule)
     rows = flat.mapInPandas(run, ", ".join(f"{c} {'int' if c in ('part_index', 'total_parts') else 'string'}" for c in _PART))
     rows = rows.withColumn("memory_id", F.concat(F.lit("mem_"), F.substring(F.md5("source_event_id"), 1, 12)))
     rows = rows.withColumn("embed_text", X.embed_text(F.col("what"), F.col("why"), F.col("how"), None))
@@ -92,7 +95,29 @@ def _rows(events: DataFrame, what: Column, where: Column, why: Column, how: Colu
     return rows.withColumn("embed_text", said).withColumn("token_count", tokens(F.col("embed_text")))
 
 
-def extracted(events: DataFrame, threshold: int = MULTI) -> DataFrame:
-    """Each event by the rule that is_multi picks. One pass: the two are parts of the same scan."""
-    flag = events.withColumn("_multi", is_multi(threshold))
-    return single(flag.where("not _multi")).unionByName(parts(flag.where("_multi")))
+def extracted(events: DataFrame, threshold: int = MULTI, extractor: Callable[[list[dict]], list[list[dict]]] | None = None) -> DataFrame:
+    """Each event by the rule that is_multi picks; those worth several memories by the extractor of parts_by(), if there is one. One pass: the two are parts of the same scan."""
+    flag = events.withColumn("_multi", F.coalesce(is_multi(threshold), F.lit(False)))
+    many = flag.where("_multi")
+    if extractor is None:
+        return single(flag.where("not _multi")).unionByName(parts(many))
+    made = parts_by(many, extractor).drop("part_index", "total_parts")
+    return single(flag.where("not _multi")).unionByName(made, allowMissingColumns=True)
+
+
+def last_of_each(events: DataFrame) -> DataFrame:
+    """Of the events with the same event_id the latest, of equally late ones that of the least hash; events without an id stay."""
+    named = events.where("event_id is not null")
+    plain = [c for c, t in events.dtypes if not t.startswith("map")]
+    first = named.select(F.struct(*events.columns).alias("e"), F.struct(F.coalesce(F.unix_micros("timestamp"), F.lit(-(1 << 62))).alias("t"), F.xxhash64(*plain).alias("h")).alias("o"))
+    once = first.groupBy(F.col("e.event_id").alias("k")).agg(F.max_by("e", "o").alias("e")).select("e.*")
+    return once.unionByName(events.where("event_id is null"))
+
+
+def stored(events: DataFrame, threshold: int = MULTI, embedder=None, extractor=None) -> DataFrame:
+    """Events as rows of a memory store: extracted(), embedded, with their lists and counts. Events without an id, which no key could name, are left out."""
+    from tessera.operators import vector
+
+    rows = extracted(events.where("event_id is not null"), threshold, extractor)
+    rows = vector.embedded_by(rows, embedder or vector.HashingEmbedder())
+    return rows.withColumns({"who_list": F.to_json(F.array("who_id")), "when_list": F.to_json(F.array("when_ts")), "created_at": F.col("when_ts"), "accesses": F.lit(0), "who_label": F.lit(None).cast("string")})

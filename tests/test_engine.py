@@ -494,7 +494,7 @@ def test_repeated_batches_count_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i, part in enumerate((acts[:2], acts[2:])):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"activation_id": k, "memory_id": m}) for k, m in part))
-    v, held = sinks.Versions(spark, str(tmp_path / "v")), []
+    v, held = sinks.Versions(spark, str(tmp_path / "v"), ["m1", "m2"]), []
     for run in range(2):  # the second run knows nothing of the first's progress, as after a lost checkpoint
         stream = spark.readStream.schema("activation_id string, memory_id string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
         ingest.synapses(stream, v).option("checkpointLocation", str(tmp_path / f"cp{run}")).trigger(availableNow=True).start().awaitTermination(120)
