@@ -130,7 +130,7 @@ def _sorted_hashes(data: list[np.ndarray]) -> np.ndarray:
 
 def vocabulary(made: DataFrame, shares: int) -> DataFrame:
     """(block, share, words, data): for each block, the ids and training counts of its words, in the order of their hashes; a word that isn't in the training
-    texts has id 0. words is the number of training words of the share. Ids are dense: a word's place in its share times shares, plus the share's number."""
+    texts has id 0. words is the number of training words of the share. Ids are dense: a word's place in its share, by falling count, times shares, plus the share's number."""
 
     def ask(batches):
         for b in batches:
@@ -148,7 +148,9 @@ def vocabulary(made: DataFrame, shares: int) -> DataFrame:
         uniq, at = np.unique(h, return_inverse=True)
         c = np.bincount(at, np.concatenate([n for _, _, n in asked]), len(uniq)).astype(np.int64)
         share = key[0].as_py()
-        ids = np.where(c > 0, (np.cumsum(c > 0) - 1) * shares + share + 1, 0)
+        ids = np.empty(len(c), np.int64)
+        ids[np.argsort(-c, kind="stable")] = np.arange(len(c)) * shares + share + 1  # frequent words have small ids, which take less room
+        ids[c == 0] = 0
         ids, c, cut = ids[at], c[at], np.cumsum([0, *(len(x[0]) for x in asked)])
         n = table.num_rows
         return pa.table([table.column("block"), pa.array([share] * n, pa.int32()), pa.array([int(np.count_nonzero(np.bincount(at, np.concatenate([x for _, _, x in asked]))))] * n, pa.int64()), pa.array([packed(ids[i:j], c[i:j]) for i, j in zip(cut, cut[1:])], pa.binary())], names=["block", "share", "words", "data"])
@@ -285,9 +287,14 @@ def trained(parts: list[Asked], order: int):
             place = np.cumsum(y) - 1
             links.append(place[p.parent[k][x]] + shift)
             shift += int(y.sum())
-        names = np.unique(word)
-        uniq, base = np.unique(base[np.concatenate(links)] * len(names) + np.searchsorted(names, word), return_inverse=True)
-        levels.append((uniq // max(1, len(names)), names[uniq % max(1, len(names))] if len(names) else uniq))
+        up, most = base[np.concatenate(links)], int(word.max(initial=0)) + 1
+        if int(up.max(initial=0)) + 1 < (1 << 62) // most:  # the two in one number
+            uniq, base = np.unique(up * most + word, return_inverse=True)
+            levels.append((uniq // most, uniq % most))
+        else:
+            names, place = np.unique(word, return_inverse=True)
+            uniq, base = np.unique(up * len(names) + place, return_inverse=True)
+            levels.append((uniq // len(names), names[uniq % len(names)]))
     count = np.bincount(base, np.concatenate([p.train[x] for p, x in zip(parts, live)]), len(levels[-1][0])).astype(np.int64)
     counts = {order: count}
     for k in range(order, 2, -1):

@@ -12,7 +12,7 @@ _AT_ONCE = 1 << 16
 class Monotone:
     """An Elias-Fano sequence of n non-decreasing numbers: of each, the low bits packed side by side, and the rest in unary.
 
-    The directory of where each high part begins is made when the sequence is mapped.
+    When the sequence is mapped, the high parts and where each begins are read from the unary bits into a directory; the low bits stay as they are.
     """
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
@@ -20,6 +20,7 @@ class Monotone:
         self.words = np.ndarray((max(0, len(low) - 7),), "<u8", low, strides=(1,))  # a word at each byte
         ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))[:n]
         part = ones - np.arange(n)
+        self.part = part.astype(np.int32) if n and part[-1] < 1 << 31 else part
         self.first = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1))])
 
     @staticmethod
@@ -45,8 +46,7 @@ class Monotone:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places i."""
-        part = np.searchsorted(self.first, i, "right") - 1
-        return (part << self.bits) | self.low(i).astype(np.int64)
+        return (self.part[i].astype(np.int64) << self.bits) | self.low(i).astype(np.int64)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the first number that is x or more, n if there is none; and whether it is x: the numbers that share x's high part
