@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
+from tessera.operators.pairing import paired
 
-#: Query vectors that one pass sends to all executors.
-QUERY_BLOCK = 1024
+#: Query vectors that one pass sends to all executors, and passes at most; more queries meet the rows in blocks of both, by a shuffle.
+QUERY_BLOCK, PASSES = 1024, 4
 
 
 def knn(mem: DataFrame, queries: DataFrame, k: int, key: str = "memory_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
@@ -20,14 +21,17 @@ def knn(mem: DataFrame, queries: DataFrame, k: int, key: str = "memory_id", vect
 
 
 def nearest(mem: DataFrame, queries: DataFrame, k: int, key: str = "memory_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
-    """query, key, similarity of the k nearest rows of each partition, so all that knn() chooses among.
+    """query, key, similarity of the k nearest rows of each partition or block, so all that knn() chooses among.
 
-    Queries are a given set; they go to the rows in blocks of about QUERY_BLOCK, so what is broadcast is bounded by block size times
-    dimension. Products are of Arrow batches; each partition keeps k rows of each query before the shuffle.
+    Queries are a given set. Up to PASSES times QUERY_BLOCK of them go to the rows in blocks, each with a scan of the table, so what is broadcast is bounded by
+    block size times dimension. With more, blocks of queries and of rows are paired in one shuffle: scans, tasks' memory and the plan don't grow with
+    the queries. Products are of Arrow batches; each partition or block keeps k rows of each query before the shuffle.
     """
     base = mem.select(key, F.col(vector).alias("_v")).where("_v is not null")
     asked = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull())
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    if blocks > PASSES:
+        return nearest_in_blocks(base.withColumnRenamed("_v", vector), asked, k, key, vector, query_key, query_vector)
     kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {mem.schema[key].dataType.simpleString()}, similarity double"
     out = None
     for b in range(blocks):
@@ -37,6 +41,20 @@ def nearest(mem: DataFrame, queries: DataFrame, k: int, key: str = "memory_id",
     return out
 
 
+def nearest_in_blocks(rows: DataFrame, asked: DataFrame, k: int, key: str = "memory_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query", at: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """query, key, similarity of the k nearest rows of each block; see paired() for at and sizes."""
+    kinds = f"{query_key} {asked.schema[query_key].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, similarity double"
+
+    def meet(left, right):
+        import pyarrow as pa
+
+        made = list(_nearest(right.select([query_key, query_vector]), k)(left.select([key, vector]).to_batches()))
+        return pa.Table.from_batches(made).rename_columns([query_key, key, "similarity"])
+
+    at = at or []
+    return paired(rows.select(*at, key, vector), key, asked.select(*at, query_key, query_vector), query_key, meet, kinds, at, sizes)
+
+
 def _matrix(column):
     """A column of equally long vectors as doubles, a row each."""
     import numpy as np

@@ -8,7 +8,7 @@ import uuid
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -42,11 +42,12 @@ class Versions:
     what is written follows the change and not the table. read() lays the changes over their snapshot; after MOST_CHANGES of them a snapshot is
     written again. A version can name the batch of a stream that it is of, so that a batch which is repeated after a failure is skipped.
 
-    key: a column or several. clean() deletes old versions, sweep() what failed writes left.
+    key: a column or several. partition: a column that folders are partitioned by, so that a read of some of its values skips the others' files of the
+    snapshot; a change is read whole, as its row may take the place of one in another partition. clean() deletes old versions, sweep() what failed writes left.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str | list[str] = "memory_id", tries: int = 5):
-        self.spark, self.path, self.tries = spark, path.rstrip("/"), tries
+    def __init__(self, spark: SparkSession, path: str, key: str | list[str] = "memory_id", tries: int = 5, partition: str | None = None):
+        self.spark, self.path, self.tries, self.partition = spark, path.rstrip("/"), tries, partition
         self.keys = [key] if isinstance(key, str) else list(key)
 
     # ---- the log ----
@@ -104,9 +105,10 @@ class Versions:
 
     # ---- reading ----
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, where: Column | None = None) -> DataFrame:
+        """The rows of a version, the last one by default; those that a predicate of their own columns holds for."""
         have = self.numbers()
-        return self._laid(self._layers(have[-1] if version is None else version, have))
+        return self._laid(self._layers(have[-1] if version is None else version, have), where)
 
     def _layers(self, n: int, have: list[int]) -> list[int]:
         """The snapshot that a version begins from, and the changes up to it."""
@@ -115,16 +117,18 @@ class Versions:
             own.insert(0, before.pop())
         return own
 
-    def _laid(self, layers: list[int]) -> DataFrame:
+    def _laid(self, layers: list[int], where: Column | None = None) -> DataFrame:
+        where = F.lit(True) if where is None else where
         folders = [f"{self.path}/{self.entry(n)['folder']}" for n in layers]
         base = self.spark.read.parquet(folders[0])
         if len(layers) == 1:
-            return base
+            return base.where(where)
         kinds = StructType([*base.schema.fields, StructField("_gone", BooleanType()), StructField("_number", LongType())])
         changes = self.spark.read.schema(kinds).parquet(*folders[1:])
         newest = Window.partitionBy(*self.keys).orderBy(F.col("_number").desc())
         last = changes.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
-        return base.join(last.select(*self.keys), self.keys, "left_anti").select(*base.columns).unionByName(last.where("not _gone").select(*base.columns))
+        kept = base.where(where).join(last.select(*self.keys), self.keys, "left_anti").select(*base.columns)
+        return kept.unionByName(last.where("not _gone").select(*base.columns).where(where))
 
     # ---- writing ----
 
@@ -134,7 +138,10 @@ class Versions:
 
     def _made(self, rows: DataFrame, n: int, change: bool = False, batch: tuple[str, int] | None = None) -> int:
         folder = f"data-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{folder}")
+        if self.partition and not change:
+            rows.repartition(self.partition).write.partitionBy(self.partition).parquet(f"{self.path}/{folder}")
+        else:
+            rows.write.parquet(f"{self.path}/{folder}")
         before = [x for x in self.numbers() if x < n]
         batches = self.entry(before[-1]).get("batches", {}) if before else {}
         try:
