@@ -106,30 +106,6 @@ def centroids(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
     return mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def merged(vectors: DataFrame, clusters: DataFrame, energy: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """clusters after merging those with centroids nearer than threshold, in order of their numbers: the one with more energy stays, the
-    first of equals. What comes to the driver is a row for each near pair of clusters, of which there are few dozen."""
-    c = centroids(vectors, clusters)
-    near = c.toDF("a", "va").join(c.toDF("b", "vb"), F.col("a") < F.col("b")).where(S.cosine(F.col("va"), F.col("vb")) > threshold).select("a", "b").orderBy("a", "b").collect()
-    force = {r["cluster"]: r["energy"] for r in energy.collect()}
-    gone: dict = {}
-    for a, b in near:
-        if a in gone or b in gone:
-            continue
-        keep, drop = (a, b) if force.get(a, 0.5) >= force.get(b, 0.5) else (b, a)
-        gone[drop] = keep
-
-    def last(x):
-        while x in gone:
-            x = gone[x]
-        return x
-
-    out = F.col("cluster")
-    for x in gone:
-        out = F.when(F.col("cluster") == x, F.lit(last(x))).otherwise(out)
-    return clusters.select("memory_id", out.alias("cluster"))
-
-
 def cluster_energy(energy: DataFrame, clusters: DataFrame, accessed: DataFrame) -> DataFrame:
     """Each access adds 0.05 up to 1, then all fall by a hundredth; those under 0.1 go."""
     hits = accessed.join(clusters, "memory_id").groupBy("cluster").agg(F.count("*").alias("n"))

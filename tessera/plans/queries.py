@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import chunks, scoring as S, temporal, text as X
-from tessera.operators import analytics as A, blocks as B, graph as G, retrieval as R, store, vector
+from tessera.operators import analytics as A, blocks as B, graph as G, liquid, minibatch, retrieval as R, store, vector
 from tessera.sources import conversations as C, fixtures as fx
 from tessera.sources.fixtures import AS_OF, MEM, QUERY_STEP
 
@@ -652,7 +652,48 @@ def flow_step(spark, sf):
 @query()
 def merge_clusters(spark, sf):
     m = mem(spark, sf)
-    return G.merged(m.select("memory_id", "embedding"), m.select("memory_id", (F.col("vec_id") % 4).alias("cluster")), _energy(spark), 0.2)
+    return liquid.merged(m.select("memory_id", "embedding"), m.select("memory_id", (F.col("vec_id") % 4).alias("cluster")), _energy(spark), 0.2)
+
+
+#: Clusters over which the query set is spread, so that the first one, which has the most energy, pulls the others' memories.
+_CL2 = _CL.replace("vec_id % 4", "(vec_id // 20) % 4")
+
+
+@query(f"{MEM}, {_AFF}, {_CL2}, {_PULL}, b AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY pull DESC, cluster) AS n FROM pu) SELECT cl.memory_id, cl.cluster AS before, CASE WHEN b.pull > 0.1 THEN b.cluster ELSE cl.cluster END AS cluster, coalesce(b.pull > 0.1, false) AS moved, round(b.pull, 6) AS pull FROM cl LEFT JOIN b ON b.memory_id = cl.memory_id AND n = 1 WHERE asked")
+def flow_round(spark, sf):
+    """One round of the loop: the query set's memories and where they go."""
+    m, c, p = _flowing(spark, sf)
+    best = p.groupBy("memory_id").agg(F.round(F.max("pull"), 6).alias("pull"))
+    own = c.join(_set(m), "memory_id", "left_semi")
+    return G.flow(own, p).join(own.withColumnRenamed("cluster", "before"), "memory_id").join(best, "memory_id", "left")
+
+
+def _flowing(spark, sf):
+    m = mem(spark, sf)
+    c = m.select("memory_id", F.expr("(vec_id div 20) % 4").alias("cluster"))
+    last = m.select("memory_id", F.to_timestamp("when_ts").alias("last_access"))
+    return m, c, liquid.pulls(m.select("memory_id", "embedding"), last, G.all_pairs(_acts(m), "act"), c, _energy(spark), _set(m))
+
+
+@query()
+def flow_settled(spark, sf):
+    """The clusters when nothing moves any more, with the query set flowing and its accesses giving energy."""
+    m, c, _ = _flowing(spark, sf)
+    last = m.select("memory_id", F.to_timestamp("when_ts").alias("last_access"))
+    now, force, _ = liquid.settled(m.select("memory_id", "embedding"), last, liquid.written(G.all_pairs(_acts(m), "act"), "pairs"), c, _energy(spark), _set(m), _set(m))
+    return now.join(force, "cluster", "left").select("memory_id", "cluster", F.round("energy", 6).alias("energy"))
+
+
+@query(f"""{MEM}, v AS (SELECT memory_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM memories), c AS (SELECT memory_id AS c, x AS cx, row_number() OVER (ORDER BY memory_id) - 1 AS cluster FROM v ORDER BY memory_id LIMIT 8),
+d AS (SELECT v.memory_id, cluster, list_inner_product(cx, cx) - 2 * list_inner_product(x, cx) AS d FROM v, c), a AS (SELECT memory_id, arg_min(cluster, (d, cluster)) AS cluster FROM d GROUP BY 1)
+SELECT cluster::INTEGER AS cluster, i::INTEGER AS i, count(*) AS n, round(avg(x[i + 1]), 6) AS x FROM a JOIN v USING (memory_id), range(64) t(i) GROUP BY 1, 2""")
+def kmeans_step(spark, sf):
+    """The centroids after one batch, all memories, which starts from the first eight memories' vectors."""
+    m = mem(spark, sf).select("memory_id", "embedding")
+    first = m.orderBy("memory_id").limit(8).withColumn("cluster", (F.row_number().over(Window.orderBy("memory_id")) - 1).cast("int"))
+    start = first.select("cluster", F.transform("embedding", lambda x: x.cast("double")).alias("centroid"), F.lit(0).cast("long").alias("n"))
+    now = minibatch.moved(start, minibatch.sums(m, start)).where("n > 0")
+    return now.select("cluster", F.posexplode("centroid").alias("i", "x"), "n").select("cluster", "i", "n", F.round("x", 6).alias("x"))
 
 
 @query()

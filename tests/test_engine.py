@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import chunks, scoring as S, temporal, text as X
-from tessera.operators import blocks, graph, legacy, retrieval, store, vector
+from tessera.operators import blocks, graph, legacy, liquid, retrieval, store, vector
 from tessera.plans.config import Config, Settings
 from tessera.plans.engine import MemoryStore
 from tessera.sources import conversations, extract, readers, sinks
@@ -159,7 +159,7 @@ def test_flow_and_merge(spark):
     v = spark.createDataFrame([(f"m{i}", [1.0, i / 100]) for i in range(6)] + [("z", [-1.0, 0.0])], "memory_id string, embedding array<double>")
     c = spark.createDataFrame([(f"m{i}", i % 2) for i in range(6)] + [("z", 5)], "memory_id string, cluster long")
     e = spark.createDataFrame([(0, 0.2), (1, 0.9)], "cluster long, energy double")
-    assert {r.memory_id: r.cluster for r in graph.merged(v, c, e).collect()} == {f"m{i}": 1 for i in range(6)} | {"z": 5}
+    assert {r.memory_id: r.cluster for r in liquid.merged(v, c, e).collect()} == {f"m{i}": 1 for i in range(6)} | {"z": 5}
 
 
 def test_knn_ties_and_missing(spark):
