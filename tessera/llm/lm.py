@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 
@@ -22,6 +23,8 @@ FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES, SHARE_TOKENS = 8 << 20, 1_500_000
 _END = np.uint64(0x1F2E3D4C5B6A7988)  # stands for the end of a text
 _PIECE = 2 << 20
+#: Of zstd.
+LEVEL = 7
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -39,7 +42,7 @@ def packed(*arrays: np.ndarray) -> bytes:
         width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
         out += [struct.pack("<QB", len(x), width), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
     raw = b"".join(out)
-    return struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+    return struct.pack("<Q", len(raw)) + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
@@ -391,18 +394,23 @@ def scores(docs: DataFrame, order: int = ORDER, share_tokens: int = SHARE_TOKENS
     rows; other columns are ignored.
     """
     spark = docs.sparkSession
+
+    def done() -> None:  # shuffle files go when nothing holds their step's plan
+        gc.collect()
+        freed(spark)
+
     with scratch(spark) as tables:
         made = written(blocks(docs), "blocks")
         total, tokens = made.agg(F.sum("train"), F.sum("tokens")).first()
         shares = max(2, -(-(tokens or 0) // share_tokens))
         known = written(vocabulary(made, shares), "words")
         v = known.groupBy("share").agg(F.first("words").alias("n")).agg(F.sum("n")).first()[0] or 0
-        freed(spark)
+        done()
         ready = written(coded_blocks(made, known), "coded")
         tables.pop()  # read until the end
-    freed(spark)
+    done()
     answers = written(answered(asked(ready, shares, order), order), "answers")
-    freed(spark)
+    done()
     return summed(ready, answers, order, shares, total or 0, v)
 
 
