@@ -164,12 +164,15 @@ def valid_hours(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), kind), F.lit(float(VALID_HOURS["default"])))
 
 
+# How lines of each kind begin.
+OUTLINE = {"imports": r"^(import|from|const|let|var|require)", "functions": r"^(def |function |func |fn |sub )", "classes": r"^(class |interface |struct |enum )"}
+
+
 def code_outline(text: Column) -> Column:
     """imports, functions and classes of source text: lines by their beginning, the first ten each, a line in the first kind that fits."""
     lines = F.split(text, "\r\n|[\n\r\x0b\x0c]")
-    kinds = {"imports": r"^(import|from|const|let|var|require)", "functions": r"^(def |function |func |fn |sub )", "classes": r"^(class |interface |struct |enum )"}
     fields, before = [], []
-    for name, p in kinds.items():
+    for name, p in OUTLINE.items():
         fields.append(F.slice(F.transform(_lines(lines, p, before), lambda x: F.trim(x)), 1, 10).alias(name))
         before.append(p)
     return F.struct(*fields)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.sources.binary import doc_document, jpeg_document, pdf_document, png_document
 
 # Suffixes that are read, and the size over which a file is refused.
 CODE = ("py", "js", "ts", "jsx", "tsx", "java", "cpp", "c", "h", "hpp", "cs", "rb", "go", "rs", "php", "swift", "kt", "scala", "r", "sql", "sh")
@@ -164,8 +165,14 @@ def toml_document(data: bytes) -> tuple[str, dict]:
 
 
 def yaml_document(data: bytes) -> tuple[str, dict]:
+    """Where the yaml library is installed the parsed text, written anew, and its keys; else the text and what looks like a key."""
     text = data.decode("utf-8", "ignore")
-    return text, {"keys": ",".join(re.findall(r"(?m)^([\w-]+):", text))}
+    try:
+        import yaml
+    except ImportError:
+        return text, {"keys": ",".join(re.findall(r"(?m)^([\w-]+):", text))}
+    got = yaml.safe_load(text)
+    return yaml.safe_dump(got, sort_keys=False, allow_unicode=True) if isinstance(got, (dict, list)) else text, {"keys": ",".join(map(str, got))} if isinstance(got, dict) else {}
 
 
 def docx_document(data: bytes) -> tuple[str, dict]:
@@ -183,12 +190,19 @@ def plain_document(data: bytes) -> tuple[str, dict]:
     return data.decode("utf-8", "ignore"), {}
 
 
-def _unread(data: bytes) -> tuple[str, dict]:
-    raise ValueError("no reader for this kind is installed")
+def code_document(data: bytes) -> tuple[str, dict]:
+    """The text, its number of lines, and the first ten lines that begin like imports, functions and classes."""
+    text = data.decode("utf-8", "ignore")
+    meta: dict = {"type": "code", "lines": str(len(text.splitlines()))}
+    for line in text.splitlines():
+        kind = next((k for k, p in X.OUTLINE.items() if re.match(p, line)), None)
+        if kind and len(meta.setdefault(kind, [])) < 10:
+            meta[kind].append(line.strip())
+    return text, {k: "\n".join(v) if isinstance(v, list) else v for k, v in meta.items()}
 
 
 #: Readers by suffix; more can be added. What isn't listed is read as text.
-PARSERS: dict[str, Callable[[bytes], tuple[str, dict]]] = {"html": html_document, "htm": html_document, "md": markdown_document, "markdown": markdown_document, "json": json_document, "csv": csv_document, "xml": xml_document, "ini": ini_document, "cfg": ini_document, "toml": toml_document, "yaml": yaml_document, "yml": yaml_document, "docx": docx_document, "log": log_document, "pdf": _unread, "doc": _unread, "png": _unread, "jpg": _unread, "jpeg": _unread}
+PARSERS: dict[str, Callable[[bytes], tuple[str | None, dict]]] = {c: code_document for c in CODE} | {"html": html_document, "htm": html_document, "md": markdown_document, "markdown": markdown_document, "json": json_document, "csv": csv_document, "xml": xml_document, "ini": ini_document, "cfg": ini_document, "toml": toml_document, "yaml": yaml_document, "yml": yaml_document, "docx": docx_document, "log": log_document, "pdf": pdf_document, "doc": doc_document, "png": png_document, "jpg": jpeg_document, "jpeg": jpeg_document}
 
 
 def document_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] | None = SUFFIXES, recursive: bool = True, parsers: dict | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -215,6 +229,7 @@ def document_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] | N
                 else:
                     try:
                         text, meta = readers.get(s, plain_document)(bytes(data))
+                        text = f"[Image: {p.rsplit('/', 1)[-1]}]" if text is None else text
                     except Exception as e:  # any reader's failure is this file's error row
                         error = f"{type(e).__name__}: {e}"
                 out.append((p, s, n, text, {k: str(v) for k, v in meta.items()}, error))
