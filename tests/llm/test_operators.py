@@ -669,3 +669,11 @@ def test_the_pipeline_leaves_one_table(spark, tmp_path):
     before = set(os.listdir(at))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() >= 30 and [x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before] == ["packing"]
+
+
+def test_words_that_begin_like_keys_are_no_identifiers():
+    secret = "aB3dE5fG7hJ9kL1mN3pQ5rS7"
+    for word in ("asiatischerprobleme", "ASIATISCHERPROBLEME", "aroaABCDEFGHIJKL12"):
+        assert [k for _, _, k in secrets.spans_of(f"{word} {secret}") if k == "weak_id"] == []
+    for word in ("ASIAQWERTYUIOP12", "Client_ID: abcdef12"):
+        assert [k for _, _, k in secrets.spans_of(f"{word} {secret}") if k == "weak_id"] == ["weak_id"]
