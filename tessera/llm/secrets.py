@@ -17,10 +17,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
-#: Weak parts: what each looks like alone is common; kinds are listed after the base ones. An identifier is a key's prefix before capitals
-#: and digits, one at least, or named by an assignment; a secret is a run of 20 characters or more, however long, with both cases of letters and a digit.
+#: Weak parts: what each looks like alone is common; kinds are listed after the base ones. An identifier is a key's prefix before 16 capitals
+#: and digits, or before 12 or more with a digit among them, or is named by an assignment; a secret is a run of 20 characters or more, however long, with both cases of letters and a digit.
 NAMED_ID = r"(?:client|account|access|user)_?(?:key_?)?id[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_-]{6,})"
-WEAK_ID = re.compile(rf"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|ABIA|ACCA)(?=[A-Z]*[0-9])[A-Z0-9]{{12,}}|(?i:{NAMED_ID})", re.A)
+WEAK_ID = re.compile(rf"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|ABIA|ACCA)(?:[A-Z0-9]{{16}}(?![A-Za-z0-9])|(?=[A-Z]*[0-9])[A-Z0-9]{{12,}})|(?i:{NAMED_ID})", re.A)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}")
 NAMED = re.compile(NAMED_ID, re.I | re.A)
 ENDPOINT = re.compile(r"(?:https?|s3|amqps?|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?)://[^\s\"'<>]+", re.A)
