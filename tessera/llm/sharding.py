@@ -12,6 +12,9 @@ from tessera.llm.common import documents, texts, written
 #: Buckets that one window of running sums covers; sums over these windows are a second, short level.
 LEVEL = 4096
 
+#: Partitions of the scatter, at most.
+MOST_PARTITIONS = 4096
+
 
 def scattered(docs: DataFrame, seed: int, n: int) -> DataFrame:
     """doc_id, text and bucket of each row of texts: a seeded hash of the row, so that the same rows go to the same buckets in whatever order they
@@ -43,7 +46,8 @@ def starts(counts: DataFrame) -> DataFrame:
 def shuffled(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, int]:
     """Both passes: doc_id, text, bucket and row, its place in the whole shuffle, written in the shared folder in that order; and the number of rows.
 
-    Pass 1 scatters rows into as many buckets as keep each near bucket_bytes, a partition for each, so a task's memory is bounded. What
+    Pass 1 scatters rows into as many buckets as keep each near bucket_bytes, a partition for each up to MOST_PARTITIONS, beyond which buckets share
+    partitions and are sorted apart there, on disk if need be: a task holds a bucket at a time, and the shuffle has a bounded number of partitions. What
     stands before a bucket goes to it as a row among its rows, so nothing is collected or broadcast. Pass 2 puts a bucket in an order
     of its own (id, text), so that the result doesn't depend on how rows came, then shuffles it by Fisher and Yates with a generator
     seeded by seed and bucket, and writes it.
@@ -66,18 +70,25 @@ def shuffled(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame,
         return table.select(["doc_id", "text", "bucket"]).append_column("row", pa.array(base + np.arange(len(order), dtype=np.int64)))
 
     def shuffle(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        del got
-        buckets = table.column("bucket").to_numpy()
-        for b in np.unique(buckets):  # one, unless partitions were merged
-            yield from one(table.filter(pa.array(buckets == b))).to_batches()
+        held, now = [], None
+        for b in batches:  # a partition's buckets come one after the other
+            bucket = b.column("bucket").to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
+            for i, j in zip(cut, cut[1:]):
+                if j > i:
+                    if held and bucket[i] != now:
+                        yield from one(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    now = bucket[i]
+                    held.append(b.slice(i, j - i))
+        if held:
+            yield from one(pa.Table.from_batches(held)).to_batches()
 
     head = starts(dealt.groupBy("bucket").count()).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"), "bucket", "before")
     both = dealt.withColumn("before", F.lit(None).cast("long")).unionByName(head)
-    placed = both.repartitionById(n, F.col("bucket").cast("int")).mapInArrow(shuffle, "doc_id long, text string, bucket long, row long")
+    parts = min(n, MOST_PARTITIONS)
+    dealt_out = both.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    placed = (dealt_out.sortWithinPartitions("bucket") if n > parts else dealt_out).mapInArrow(shuffle, "doc_id long, text string, bucket long, row long")
     return written(placed, "shuffled"), rows
 
 

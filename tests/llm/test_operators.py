@@ -677,3 +677,23 @@ def test_words_that_begin_like_keys_are_no_identifiers():
         assert [k for _, _, k in secrets.spans_of(f"{word} {secret}") if k == "weak_id"] == []
     for word in ("ASIAQWERTYUIOP12", "Client_ID: abcdef12"):
         assert [k for _, _, k in secrets.spans_of(f"{word} {secret}") if k == "weak_id"] == ["weak_id"]
+
+
+def test_buckets_that_share_partitions_give_the_same_shuffle(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(rows * 4, DOCS).repartition(5)
+    read = lambda: [tuple(r) for r in sharding.shuffled(docs, 3, 3000)[0].select("row", "doc_id", "text", "bucket").orderBy("row").collect()]
+    want = read()
+    assert len({r[3] for r in want}) > 8 and [r[0] for r in want] == list(range(len(want)))
+    monkeypatch.setattr(sharding, "MOST_PARTITIONS", 3)
+    assert read() == want
+
+
+def test_the_order_of_a_bucket_is_that_of_fisher_and_yates(spark):
+    import numpy as np
+
+    rows = [(i, f"text {i}") for i in range(50)]
+    got = [tuple(r) for r in sharding.shuffled(spark.createDataFrame(rows, DOCS).repartition(4), 9, 1 << 20)[0].select("row", "doc_id", "bucket").orderBy("row").collect()]
+    rng, order = np.random.Generator(np.random.PCG64([9, 0])), list(range(50))
+    for i, j in zip(range(49, 0, -1), rng.integers(0, np.arange(50, 1, -1))):
+        order[i], order[j] = order[j], order[i]
+    assert [(r, d) for r, d, _ in got] == list(enumerate(order))
