@@ -111,9 +111,11 @@ def part_text(text: Column, part: Column, total: Column, source: Column) -> Colu
 
 
 def first_json(text: Column, shape: str) -> Column:
-    """What lies between the first opening and the last closing bracket, parsed."""
+    """What lies between the first opening and the last closing bracket, parsed; null if it isn't one value, as where words stand between two objects."""
     pattern = r"(?s)\[.*\]" if shape.startswith("array") else r"(?s)\{.*\}"
-    return F.from_json(F.nullif(F.regexp_extract(text, pattern, 0), F.lit("")), shape)
+    found = F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+    listed = F.from_json(F.concat(F.lit("["), found, F.lit("]")), f"array<{shape}>", {"allowSingleQuotes": "false"})  # in a list nothing can follow the value unseen
+    return F.when(F.size(listed) == 1, listed[0])
 
 
 #: How calls stand in an answer, in the order they are looked for.

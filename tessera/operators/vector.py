@@ -124,14 +124,40 @@ def consistency(mem: DataFrame, embeddings: DataFrame, index: DataFrame) -> Data
     return one(mem, "memories").crossJoin(one(embeddings, "embeddings")).crossJoin(one(index, "indexed")).crossJoin(missing)  # single rows
 
 
-def embedded_by(rows: DataFrame, embedder, text: str = "embed_text") -> DataFrame:
-    """rows with the vectors that embedder.encode(list of texts) gives, by batches."""
+def embedded_by(rows: DataFrame, embedder, text: str = "embed_text", tries: int = 3, pause: float = 0.5, batch: int = 32, failures=None) -> DataFrame:
+    """rows with the vectors that embedder.encode(list of texts) gives, by lists of `batch` texts.
+
+    A call that fails, or gives another number of vectors, is made again up to `tries` times, after pauses that double. Texts whose last try fails get vectors of
+    zeros, as long as embedder.dim or the vectors before them say, or none if nothing says it: audit() finds either, and repaired() makes them anew. failures: an
+    accumulator that is added the number of such texts; a task that runs twice adds twice."""
     import pyarrow as pa
 
     def run(batches):
+        import time
+
+        dim = getattr(embedder, "dim", None)
         for b in batches:
-            v = embedder.encode(b.column(b.schema.get_field_index(text)).to_pylist())
-            yield pa.record_batch([*b.columns, pa.array([list(map(float, x)) for x in v], pa.list_(pa.float32()))], names=[*b.schema.names, "embedding"])
+            said, out = b.column(b.schema.get_field_index(text)).to_pylist(), []
+            for i in range(0, len(said), batch):
+                own, made = said[i : i + batch], None
+                for k in range(tries):
+                    try:
+                        made = [list(map(float, x)) for x in embedder.encode(own)]
+                    except Exception:  # whatever a service raises; the texts are told by their vectors
+                        made = None
+                    if made is not None and len(made) == len(own):
+                        break
+                    made = None
+                    if k < tries - 1:
+                        time.sleep(pause * 2**k)
+                if made is None:
+                    made = [None if dim is None else [0.0] * dim] * len(own)
+                    if failures is not None:
+                        failures.add(len(own))
+                else:
+                    dim = len(made[0])
+                out += made
+            yield pa.record_batch([*b.columns, pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names, "embedding"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{kinds}, embedding array<float>")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import queries as _queries
+from tessera.plans import queries as _queries, told as _told  # noqa: F401  both declare queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 flagship = _queries.flagship
