@@ -143,12 +143,25 @@ def averages(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"avg_{c}") for c in SIGNALS], F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"))
 
 
-def temporal_rank(mem: DataFrame, day: str, cap: int = 200) -> DataFrame:
-    """Memories of a day, newest first, at 0.8 less a thousandth for each place."""
+def temporal_rank(mem: DataFrame, hint: str | tuple[str, str] | dict, as_of: str | None = None, cap: int | None = None) -> DataFrame:
+    """Memories of a date hint, newest first, at 0.8 less a thousandth for each place.
+
+    hint: a day; a first and a last day; a word such as last_week, which is counted back from as_of; or a parser's answer, a dict with value, or with first and last.
+    cap: rows at most; 200 for a day or range, by its word for a relative date, unless it is given."""
     from tessera.operators import store
 
+    if isinstance(hint, dict):
+        hint = (hint["first"], hint.get("last") or hint["first"]) if hint.get("first") else hint.get("value") or "last_week"
+    if isinstance(hint, str) and not hint[:1].isdigit():
+        if as_of is None:
+            raise ValueError("a relative date needs as_of")
+        rows, most = store.relative(mem, hint, as_of), store.RELATIVE.get(hint, store.RELATIVE["last_week"])[2]
+        rows = rows if cap is None or cap >= most else store.newest(rows, F.lit(True), cap)
+    else:
+        first, last = (hint, hint) if isinstance(hint, str) else hint
+        rows = store.between_dates(mem, first, last, 200 if cap is None else cap)
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("when_ts").desc(), "memory_id")  # at most cap rows
-    return store.between_dates(mem, day, day, cap).select("memory_id", "when_ts").withColumn("score", 0.8 - 0.001 * (F.row_number().over(w) - 1))
+    return rows.select("memory_id", "when_ts").withColumn("score", 0.8 - 0.001 * (F.row_number().over(w) - 1))
 
 
 def compared(mem: DataFrame, query: DataFrame, as_of: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import chunks, temporal, text as X
-from tessera.operators import analytics as A, liquid, trigrams
+from tessera.operators import analytics as A, liquid, retrieval as R, trigrams
 from tessera.plans.queries import _CLEAN, _COOC, _HINT, _RECALL, _TYPE, _any, _case, made, mem, query
 from tessera.sources import fixtures as fx
 from tessera.sources.fixtures import AS_OF, MEM
@@ -110,3 +110,8 @@ def text_search(spark, sf):
     table = trigrams.TrigramTable(spark, f"{fx.shared(spark)}/trigrams-{uuid.uuid4().hex}")
     table.build(m)
     return table.search(m, "tion%the").select("memory_id", "who_id", "when_ts")
+
+
+_RANKED = "t AS (SELECT memory_id, when_ts, row_number() OVER (ORDER BY when_ts DESC, memory_id) AS n FROM memories WHERE substr(when_ts, 1, 10)::DATE BETWEEN {a} AND {b}) SELECT memory_id, when_ts, round(0.8 - 0.001 * (n - 1), 6) AS score FROM t WHERE n <= {n}"
+made("temporal_rank_range", lambda spark, sf: R.temporal_rank(mem(spark, sf), ("2024-01-10", "2024-01-14")).withColumn("score", F.round("score", 6)), f"{MEM}, " + _RANKED.format(a="DATE '2024-01-10'", b="DATE '2024-01-14'", n=200))
+made("temporal_rank_relative", lambda spark, sf: R.temporal_rank(mem(spark, sf), {"type": "relative", "value": "last_week"}, AS_OF).withColumn("score", F.round("score", 6)), f"{MEM}, " + _RANKED.format(a="DATE '2024-01-24'", b="DATE '2024-01-31'", n=300))

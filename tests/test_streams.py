@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import text as X
+from tessera.functions import scoring as S, text as X
 from tessera.plans.engine import MemoryStore
 from tessera.sources import extract, sinks
 from tessera.streaming import ingest
@@ -118,3 +118,43 @@ def test_accesses_of_the_last_days(spark, tmp_path, store_of_state):
             seen = [t for t in ts if r["at"] - dt.timedelta(days=7) < t <= r["at"]]
             assert r["n"] == len(seen), (m, r)
         assert own[-1]["n"] == 0 and max(r["n"] for r in own) > 1
+
+
+class Parser:
+    def parse(self, text, as_of):
+        if "fail" in text:
+            raise ConnectionError
+        return {"first": "2024-01-02"} if "that day" in text else None
+
+
+class Decomposer:
+    def decompose(self, text):
+        return {"who": {"id": "user:2"}, "where": {"value": "rome"}, "why": "planning"}
+
+
+def test_parsers_and_settings_act_on_a_search(spark, tmp_path):
+    from tessera.plans.config import Config
+
+    rows = [(f"e{i}", "chat_1", "user_message", AT + dt.timedelta(days=i), f"user:{i % 3}", f"notes on topic {i}", {"location": "rome" if i % 2 else "oslo"}) for i in range(6)]
+    store = MemoryStore(spark, str(tmp_path / "s"), parser=Parser(), decomposer=Decomposer())
+    store.ingest(spark.createDataFrame(rows, extract.EVENT))
+    store.config.set("grouping", "off")
+    mems = store.memories().collect()
+    day = {r.memory_id: r.when_ts[:10] for r in mems}
+
+    def hit(signal, text="topic of that day"):
+        only = dict.fromkeys(S.WEIGHTS, 0.0) | {signal: 1.0}
+        return {r.memory_id for r in store.search(text, 6, "2024-01-07T00:00:00", weights=only).collect() if r.score > 0}
+
+    assert hit("temporal") == {m for m, d in day.items() if d == "2024-01-02"}
+    assert hit("actor") == {r.memory_id for r in mems if r.who_id == "user:2"} and hit("spatial") == {r.memory_id for r in mems if r.where_value == "rome"}
+    assert store.search("will fail", 6, "2024-01-07T00:00:00").count() == 6  # the rule in place of the parser
+    said = store.decompose("Where is Anna?")
+    assert said["who"] == {"id": "user:2"} and said["why"] == "planning" and "Anna" in said["entities"][0] and said["how"] == "message"
+    c = Config()
+    c.set("w_semantic", 0.0)
+    c.set("w_recency", 1.0)
+    c.set("grouping", "off")
+    store.config, store.decomposer = c, None
+    newest = store.search("topic", 3, "2024-01-07T00:00:00").orderBy("rank").collect()
+    assert day[newest[0].memory_id] == "2024-01-06"
