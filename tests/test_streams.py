@@ -156,5 +156,5 @@ def test_parsers_and_settings_act_on_a_search(spark, tmp_path):
     c.set("w_recency", 1.0)
     c.set("grouping", "off")
     store.config, store.decomposer = c, None
-    newest = store.search("topic", 3, "2024-01-07T00:00:00").orderBy("rank").collect()
+    newest = store.search("topic", 6, "2024-01-07T00:00:00").orderBy("rank").collect()
     assert day[newest[0].memory_id] == "2024-01-06"
