@@ -220,7 +220,7 @@ def _runs(x: np.ndarray) -> np.ndarray:
 
 
 def asked(blocks: DataFrame, shares: int, order: int) -> DataFrame:
-    """(block, share, data): the block's n-grams of a share: first words, their counts and numbers of second words; for each level from 2 up the last
+    """(block, share, data): the block's n-grams of a share: differences of the sorted first words, their counts and numbers of second words; for each level from 2 up the last
     words, and numbers of next words; and the training count of each n-gram of the last level. A row has an n-gram at least, so there are never more rows than n-grams."""
 
     def run(batches):
@@ -237,7 +237,7 @@ def asked(blocks: DataFrame, shares: int, order: int) -> DataFrame:
                         continue
                     first = w.parent[2][own[2]]
                     at = _runs(first)
-                    out = [ids[first[at]], c[first[at]], np.diff(np.append(at, len(first)))]
+                    out = [np.diff(ids[first[at]], prepend=0), c[first[at]], np.diff(np.append(at, len(first)))]  # first words rise
                     for k in range(2, order + 1):
                         out.append(ids[w.word[k][own[k]]])
                         if k < order:
@@ -255,7 +255,7 @@ class Asked:
 
     def __init__(self, data: bytes, order: int):
         got = unpacked(data)
-        self.first, self.count, more = got[0], got[1], got[2]
+        self.first, self.count, more = np.cumsum(got[0]), got[1], got[2]
         self.parent, self.word = {}, {}
         for k in range(2, order + 1):
             self.parent[k] = np.repeat(np.arange(len(more)), more)
