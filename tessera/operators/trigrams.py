@@ -13,6 +13,8 @@ from tessera.sources.sinks import Versions
 #: Trigrams of a pattern that are looked up, at most: the rarest. The others are left to the verification.
 MOST_GRAMS = 4
 TEXTS = ("raw_text", "what", "why", "how")
+#: Letters of the texts for a partition of postings: each gives a posting at most, so partitions grow in number with the texts and not in size.
+LETTERS = 4_000_000
 
 
 def grams(text: Column) -> Column:
@@ -50,7 +52,8 @@ class TrigramTable:
 
     def build(self, rows: DataFrame) -> int:
         made = postings(rows, self.key, self.columns)
-        n = self.table.write(made.repartitionByRange("gram", self.key).sortWithinPartitions("gram", self.key))
+        letters = rows.agg(F.sum(reduce(lambda a, b: a + b, [F.coalesce(F.length(c), F.lit(0)) for c in self.columns]))).first()[0] or 0
+        n = self.table.write(made.repartitionByRange(max(1, -(-letters // LETTERS)), "gram", self.key).sortWithinPartitions("gram", self.key))
         self.counts.write(self.table.read().groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram"))
         return n
 
