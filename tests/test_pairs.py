@@ -6,7 +6,9 @@ import math
 import random
 from collections import Counter
 
-from tessera.operators import graph
+from pyspark.sql import functions as F
+
+from tessera.operators import graph, pairing
 
 
 def _lists(rng):
@@ -72,3 +74,34 @@ def test_affinity_equals_a_plain_model(spark, monkeypatch):
     assert "CoGroups" not in plan and "FlatMapGroupsInArrow" in plan
     rows = got.collect()
     assert len(rows) == len(want) and all(abs(r.affinity - want[r.m1, r.m2]) < 1e-12 for r in rows)
+
+
+def _numbered(spark, n, asked):
+    """What affinity() takes, of n memories of which the first ones are asked for, with vectors and times by formulas."""
+    rng = random.Random(5)
+    rows = [(f"mem_{i:012d}", [rng.gauss(0, 1) for _ in range(64)], dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(43200))) for i in range(n)]
+    all_rows = spark.createDataFrame(rows, "memory_id string, embedding array<double>, last_access timestamp")
+    co = spark.createDataFrame([(rows[i][0], rows[i + 1][0], 1 + i % 12) for i in range(0, n - 1, 3)], "m1 string, m2 string, n long")
+    return all_rows.select("memory_id", "embedding"), co, all_rows.select("memory_id", "last_access"), spark.createDataFrame([(r[0],) for r in rows[:asked]], "memory_id string")
+
+
+def test_pairs_that_are_written_take_little_room(spark, tmp_path):
+    got = graph.affinity(*_numbered(spark, 2000, 500)).withColumn("affinity", F.round("affinity", 6))
+    got.write.parquet(str(tmp_path / "pairs"))
+    n = 500 * 1999
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == n
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 5 * n
+
+
+def test_pairs_are_the_same_however_blocks_and_pieces_are_cut(spark, monkeypatch):
+    args = _numbered(spark, 300, 70)
+    whole = graph.affinity(*args)
+    want = {(r.m1, r.m2): r.affinity for r in whole.collect()}
+    assert len(want) == 70 * 299 and whole.rdd.getNumPartitions() == pairing.SPREAD
+    monkeypatch.setattr(graph, "PAIR_BLOCK", 40)
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 100)
+    monkeypatch.setattr(graph, "PAIRS_IN_ORDER", 500)
+    parts = graph.affinity(*args)
+    assert parts.rdd.getNumPartitions() == pairing.SPREAD * 8 * 2  # few of the blocks share a task
+    rows = parts.collect()
+    assert len(rows) == len(want) and all(abs(r.affinity - want[r.m1, r.m2]) < 1e-12 for r in rows)
